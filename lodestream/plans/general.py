@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import grid, spikes
+from lodestream.operators import drift, grid, shred, spikes
 from lodestream.runtime import table
 
 
@@ -72,5 +72,41 @@ def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).groupBy("source_table", "field_name", "reason").agg(F.count("*").alias("n_flagged"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_reasons": p6_reasons}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a field between the files of a series."""
+    return drift.changes(table(spark, sf_dir, "result_files")).select("file_id", "change_kind", "field_path", "old_path")
+
+
+#: Columns of the typed table: name, path, type.
+P2_FIELDS = [
+    ("any_calibration_certified", "verdict/any_calibration_certified", "boolean"),
+    ("survives", "VERDICT/SURVIVES", "boolean"),
+    ("down_certified", "VERDICT/DOWN_certified", "boolean"),
+    ("ci_lo", "VERDICT/ci_lo", "double"),
+    ("breakeven", "breakeven", "double"),
+    ("stride", "stride", "double"),
+]
+
+
+def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One typed row per readable file, with the casts that failed."""
+    return drift.typed_table(table(spark, sf_dir, "result_files"), P2_FIELDS)
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "run_records")
+    return shred.occurrences(shred.latest_readable(runs, "run_key", "exported_at", "record_id", "payload"), "record_id", "payload")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object inside a counting payload with the object that holds it."""
+    return shred.bridge_table(_nodes(spark, sf_dir)).where("parent_path IS NOT NULL").select("record_id", "node_path", "parent_path")
+
+
+def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct objects with their number of occurrences."""
+    return shred.object_table(_nodes(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_reasons": p6_reasons}
 SQL = {"p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL}
