@@ -1,16 +1,20 @@
 """Queries over the driver's tables, each with its SQL where SQL can express it."""
 
-from lodestream.plans import general
+from lodestream.plans import aggregates, general
 
-MODULES = [general]
+MODULES = [general, aggregates]
 FLAGSHIP = general.p5_found
 
 
+def _of(module) -> tuple[dict, dict]:
+    return (module.query.queries, module.query.sql) if hasattr(module, "query") else (module.QUERIES, module.SQL)
+
+
 def queries() -> dict:
     """All queries of the core."""
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in _of(m)[0].items()}
 
 
 def oracle_sql() -> dict:
     """The SQL of those that have one."""
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+    return {k: v for m in MODULES for k, v in _of(m)[1].items()}

@@ -56,6 +56,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder and read again.
+
+    Unlike a checkpoint it brings no constraints of its origin along, which grow exponentially in
+    iterations that rename and merge columns, and it knows its size.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def value_or_null(col: Column) -> Column:
     """NaN as NULL: both mean "no value" in the input tables."""
     return F.when(~F.isnan(col), col)
