@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators.scan import running_total
-from lodestream.runtime import cut
+from lodestream.runtime import cut, written
 
+#: One vertex in so many stays and takes others in the first rounds of the contraction; later every other.
+HEADS = 4
 #: Copies of a label per vertex, over which the rows of a hot vertex spread in the last join.
 SALTS = 8
 #: Groups above this share of all rows are assigned one by one; there are at most 1 / share.
@@ -26,36 +28,38 @@ def clean_key(col: str) -> Column:
 def contract(edges: DataFrame) -> DataFrame:
     """(vertex, label) of every vertex of the edges (u, v): equal labels in a connected component.
 
-    Random-mate contraction. In each round every vertex tosses a coin; tails hook onto their
-    smallest neighbour with heads, which expectedly removes a quarter of the vertices or more; the
-    edges are rewritten to the remaining ones, loops and repetitions dropped, until none is left.
+    Random-mate contraction. In each round every vertex tosses a coin, with heads for one in HEADS;
+    tails hook onto their smallest neighbour with heads, which removes a good part of the vertices,
+    most of them where they have many neighbours; the edges are rewritten to the remaining ones, loops and repetitions dropped, until none is left.
     Then the hooks are unwound from the last round to the first. No component, link or label is
     gathered anywhere; a hub of any degree is one row of a hook table, as the minimum is
     pre-aggregated. Self-loops and NULL ends must be left out; without edges there are no rows.
     """
-    links = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    links = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "links")
     rounds: list[DataFrame] = []
     while not links.isEmpty():
-        heads = lambda c, r=len(rounds): F.xxhash64(F.lit(r), F.col(c)).bitwiseAND(1) == 1
+        heads = lambda c, r=len(rounds): F.pmod(F.xxhash64(F.lit(r), F.col(c)), F.lit(HEADS if r < 6 else 2)) == 0
         tossed = links.select("u", "v", heads("u").alias("hu"), heads("v").alias("hv")).where("hu <> hv")
-        hooks = cut(
+        hooks = written(
             tossed.select(F.when(F.col("hu"), F.col("v")).otherwise(F.col("u")).alias("vertex"), F.when(F.col("hu"), F.col("u")).otherwise(F.col("v")).alias("mate"))
-            .groupBy("vertex").agg(F.min("mate").alias("mate"))
+            .groupBy("vertex").agg(F.min("mate").alias("mate")),
+            "hooks",
         )
         rounds.append(hooks)
         for end in ("u", "v"):
-            links = links.join(hooks.select(F.col("vertex").alias(end), "mate"), end, "left").withColumn(end, F.coalesce("mate", end)).drop("mate")
-        links = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+            # merged, not broadcast: the driver would keep every round's relation
+            links = links.join(hooks.select(F.col("vertex").alias(end), "mate").hint("merge"), end, "left").withColumn(end, F.coalesce("mate", end)).drop("mate")
+        links = written(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "links")
     labels: DataFrame | None = None
     for at, hooks in enumerate(reversed(rounds)):
         if labels is None:
             labels = hooks.select("vertex", F.col("mate").alias("label"))
         else:
             above = labels.select(F.col("vertex").alias("mate"), "label")
-            own = hooks.join(above, "mate", "left").select("vertex", F.coalesce("label", "mate").alias("label"))
+            own = hooks.join(above.hint("merge"), "mate", "left").select("vertex", F.coalesce("label", "mate").alias("label"))
             labels = own.unionByName(labels)
         if at % 4 == 3:
-            labels = cut(labels)
+            labels = written(labels, "labels")
     if labels is None:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("label")).where("false")
     return labels.unionByName(labels.select(F.col("label").alias("vertex"), "label").distinct())
