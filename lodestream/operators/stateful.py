@@ -1,0 +1,107 @@
+"""Features that a recursion or a matrix decomposition defines: run per key and block of time.
+
+Every block reads a warm-up of earlier rows beside its own, so a key's rows are never in one task.
+For the recursions here the influence of older rows falls geometrically and is gone to double
+precision after the warm-up.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def by_blocks(df: DataFrame, key: str, ts: str, value: str, block_s: int, warmup_s: int, function: Callable[[np.ndarray], dict[str, np.ndarray]], out: list[str]) -> DataFrame:
+    """(key, ts, *out): function over each block of a key's time-ordered values with its warm-up.
+
+    Rows with NULL key, time or value are left out; each block gives its own rows only.
+    """
+    own = F.floor(F.col(ts) / block_s)
+    rows = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(value).isNotNull()).select(
+        key, ts, F.col(value).cast("double").alias("_v"), F.explode(F.sequence(own, F.floor((F.col(ts) + warmup_s) / block_s))).alias("_block")
+    )
+    kind = df.schema[ts].dataType.simpleString()
+
+    def run(group_key: tuple, rows: pa.Table) -> pa.Table:
+        t, v = rows[ts].to_numpy(), rows["_v"].to_numpy()
+        order = np.argsort(t, kind="stable")
+        t, v = t[order], v[order]
+        keep = t // block_s == group_key[1].as_py()
+        made = function(v)
+        return pa.table([pa.array([group_key[0].as_py()] * int(keep.sum()), pa.string()), pa.array(t[keep])] + [pa.array(np.asarray(made[c], float)[keep], from_pandas=True) for c in out], names=[key, ts, *out])
+
+    return rows.groupBy(key, "_block").applyInArrow(run, f"{key} string, {ts} {kind}, " + ", ".join(f"{c} double" for c in out))
+
+
+def local_trend(v: np.ndarray, level_gain: float = 0.2, slope_gain: float = 0.02) -> dict[str, np.ndarray]:
+    """Steady-gain Kalman filter of a local linear trend: slope and innovation."""
+    slope, innovation = np.zeros(len(v)), np.zeros(len(v))
+    level, s = (v[0] if len(v) else 0.0), 0.0
+    for i, x in enumerate(v):
+        e = x - (level + s)
+        level, s = level + s + level_gain * e, s + slope_gain * e
+        slope[i], innovation[i] = s, e
+    return {"slope": slope, "innovation": innovation}
+
+
+def two_state_filter(v: np.ndarray, stay: float = 0.98, ratio: float = 3.0) -> dict[str, np.ndarray]:
+    """Forward filter of a two-state volatility model: probability of the wild state."""
+    p, out = 0.5, np.zeros(len(v))
+    scale = 1.4826 * np.median(np.abs(v)) if len(v) else 1.0
+    scale = scale if scale > 0 else 1.0
+    for i, x in enumerate(v):
+        prior = p * stay + (1 - p) * (1 - stay)
+        z = (x / scale) ** 2
+        calm, wild = np.exp(-0.5 * z), np.exp(-0.5 * z / ratio**2) / ratio
+        total = prior * wild + (1 - prior) * calm
+        p = prior * wild / total if total > 0 else 1.0
+        out[i] = p
+    return {"wild": out}
+
+
+def fractional_difference(v: np.ndarray, d: float = 0.4, cutoff: float = 1e-4) -> dict[str, np.ndarray]:
+    """Fixed-width fractional difference: weights w_k = -w_(k-1) (d - k + 1) / k down to the cutoff."""
+    weights = [1.0]
+    while abs(weights[-1]) > cutoff and len(weights) < 512:
+        weights.append(-weights[-1] * (d - len(weights) + 1) / len(weights))
+    w = np.array(weights[:-1] if len(weights) > 1 else weights)
+    out = np.full(len(v), np.nan)
+    if len(v) >= len(w):
+        out[len(w) - 1 :] = np.convolve(v, w, mode="valid")
+    return {"ffd": out}
+
+
+def singular_spectrum(v: np.ndarray, window: int = 32, depth: int = 8) -> dict[str, np.ndarray]:
+    """Share of the first component of each window's trajectory matrix."""
+    out = np.full(len(v), np.nan)
+    if len(v) >= window:
+        frames = np.lib.stride_tricks.sliding_window_view(v, window)
+        inner = np.lib.stride_tricks.sliding_window_view(frames, depth, axis=1)
+        s = np.linalg.svd(inner - inner.mean(axis=(1, 2), keepdims=True), compute_uv=False) ** 2
+        out[window - 1 :] = s[:, 0] / np.maximum(s.sum(axis=1), 1e-300)
+    return {"first_share": out}
+
+
+def rescaled_range(v: np.ndarray, window: int = 64) -> dict[str, np.ndarray]:
+    """Hurst exponent log(R/S) / log(n / 2) of trailing windows."""
+    out = np.full(len(v), np.nan)
+    if len(v) >= window:
+        f = np.lib.stride_tricks.sliding_window_view(v, window)
+        path = np.cumsum(f - f.mean(axis=1, keepdims=True), axis=1)
+        sd = f.std(axis=1)
+        rs = (path.max(axis=1) - path.min(axis=1)) / np.where(sd > 0, sd, np.nan)
+        out[window - 1 :] = np.log(rs) / np.log(window / 2)
+    return {"hurst": out}
+
+
+def hysteresis(v: np.ndarray, width: float = 2.0) -> dict[str, np.ndarray]:
+    """Play operator: a band of the given width that is pushed along by the value."""
+    centre, out = (v[0] if len(v) else 0.0), np.zeros(len(v))
+    for i, x in enumerate(v):
+        centre = min(max(centre, x - width), x + width)
+        out[i] = centre
+    return {"play": out}

@@ -1,8 +1,8 @@
 """Queries over the driver's tables, each with its SQL where SQL can express it."""
 
-from lodestream.plans import aggregates, general
+from lodestream.plans import aggregates, evaluation, features, general, joins, streams, windows
 
-MODULES = [general, aggregates]
+MODULES = [general, aggregates, windows, joins, features, evaluation, streams]
 FLAGSHIP = general.p5_found
 
 

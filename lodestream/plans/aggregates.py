@@ -18,7 +18,7 @@ def ref_a01_time_bars(spark: SparkSession, sf: str) -> DataFrame:
     return minute_bars(spark, sf)
 
 
-@query(TICKS_SQL + """ SELECT stream_id, -(-epoch // 60) * 60 AS t, arg_min(quote, epoch) AS open, max(quote) AS high, min(quote) AS low, arg_max(quote, epoch) AS close, count(*) AS n
+@query(TICKS_SQL + """ SELECT stream_id, (epoch + 59) // 60 * 60 AS t, arg_min(quote, epoch) AS open, max(quote) AS high, min(quote) AS low, arg_max(quote, epoch) AS close, count(*) AS n
 FROM u GROUP BY ALL""")
 def ref_a02_right_closed_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Right-closed, right-labelled bars."""

@@ -13,6 +13,21 @@ from lodestream.runtime import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def no_negative_zero(sql: str) -> str:
+    """sql with 0 added to every round(...): DuckDB keeps the sign of a zero, Spark does not."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 0, start + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        out.append(f"{sql[at:start]}(round({no_negative_zero(sql[start + 6 : end - 1])}) + 0)")
+        at = end
+    return "".join(out) + sql[at:]
+
+
 class Registry:
     """Queries of a module by name, and the SQL of those that have one."""
 
@@ -24,7 +39,7 @@ class Registry:
         def add(function: Query) -> Query:
             self.queries[function.__name__] = function
             if sql:
-                self.sql[function.__name__] = sql
+                self.sql[function.__name__] = no_negative_zero(sql)
             return function
 
         return add

@@ -9,7 +9,7 @@ from lodestream.operators import asof as A
 from lodestream.operators import rolling as R
 from lodestream.operators.bars import keep_last
 from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks
-from lodestream.plans.windows import KEY, RET_SQL, W, returns, rolled
+from lodestream.plans.windows import KEY, RET_SQL, returns, rolled, win
 from lodestream.runtime import table
 
 query = Registry()
@@ -239,7 +239,7 @@ def ref_l03_triple_barrier(spark: SparkSession, sf: str) -> DataFrame:
     r = F.col("r")
     v = returns(spark, sf).select(
         "stream_id", "t", "close", (R.rolling(F.stddev_samp("r"), r, R.span(KEY, "t", 20), 20) * 2 / 10000).alias("k"),
-        F.collect_list("close").over(W.rowsBetween(1, 15)).alias("path"), (F.lead("t", 15).over(W) - F.col("t")).alias("span"),
+        F.collect_list("close").over(win().rowsBetween(1, 15)).alias("path"), (F.lead("t", 15).over(win()) - F.col("t")).alias("span"),
     ).where("span = 900 AND k > 0")
     place = lambda test: F.array_position(F.transform("path", test), True)
     h = v.withColumn("up", place(lambda x: x / F.col("close") - 1 >= F.col("k"))).withColumn("dn", place(lambda x: x / F.col("close") - 1 <= -F.col("k")))
@@ -252,7 +252,7 @@ def ref_l03_triple_barrier(spark: SparkSession, sf: str) -> DataFrame:
 @query(RET_SQL + """, f AS (SELECT stream_id, t, [(lead(close, k) OVER w / close - 1) * 10000 for k in [0, 1, 2, 3, 4, 5]] AS y FROM r WINDOW w AS (PARTITION BY stream_id ORDER BY t)) SELECT 1 AS x""".replace("[(lead(close, k) OVER w / close - 1) * 10000 for k in [0, 1, 2, 3, 4, 5]]", "[0.0, " + ", ".join(f"(lead(close, {k}) OVER w / close - 1) * 10000" for k in range(1, 6)) + "]").replace("SELECT 1 AS x", "SELECT stream_id, t, round((-2.5 * y[1] - 1.5 * y[2] - 0.5 * y[3] + 0.5 * y[4] + 1.5 * y[5] + 2.5 * y[6]) / 17.5, 5) AS slope FROM f WHERE y[6] IS NOT NULL"))
 def ref_l04_trend_scan(spark: SparkSession, sf: str) -> DataFrame:
     """OLS slope of the next five bars' path in closed form."""
-    lead = lambda k: (F.lead("close", k).over(W) / F.col("close") - 1) * 10000
+    lead = lambda k: (F.lead("close", k).over(win()) / F.col("close") - 1) * 10000
     slope = sum((lead(k) * ((k - 2.5) / 17.5) for k in range(1, 6)), F.lit(0.0))
     return returns(spark, sf).select("stream_id", "t", F.round(slope, 5).alias("slope")).where("slope IS NOT NULL")
 
@@ -261,7 +261,7 @@ def ref_l04_trend_scan(spark: SparkSession, sf: str) -> DataFrame:
 SELECT stream_id, t, CASE WHEN nxt > 0.5 * sd THEN 1 WHEN nxt < -0.5 * sd THEN -1 ELSE 0 END AS klass, (abs(r) > 4 * sd)::INT AS jump FROM v WHERE sd > 0 AND nxt IS NOT NULL AND r IS NOT NULL""")
 def ref_l05_deadband(spark: SparkSession, sf: str) -> DataFrame:
     """Three classes with a band that follows volatility, and a jump flag."""
-    v = returns(spark, sf).select("stream_id", "t", "r", R.rolling(F.stddev_samp("r"), F.col("r"), R.span(KEY, "t", 20, -1), 20).alias("sd"), F.lead("r").over(W).alias("nxt"))
+    v = returns(spark, sf).select("stream_id", "t", "r", R.rolling(F.stddev_samp("r"), F.col("r"), R.span(KEY, "t", 20, -1), 20).alias("sd"), F.lead("r").over(win()).alias("nxt"))
     v = v.where("sd > 0 AND nxt IS NOT NULL AND r IS NOT NULL")
     klass = F.when(F.col("nxt") > 0.5 * F.col("sd"), 1).when(F.col("nxt") < -0.5 * F.col("sd"), -1).otherwise(0)
     return v.select("stream_id", "t", klass.alias("klass"), (F.abs("r") > 4 * F.col("sd")).cast("int").alias("jump"))

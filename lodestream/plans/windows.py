@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodestream.operators import rolling as R
@@ -11,9 +11,15 @@ from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, min
 from lodestream.runtime import table
 
 query = Registry()
-W = Window.partitionBy("stream_id").orderBy("t")
 KEY = ["stream_id"]
 
+
+
+def win() -> WindowSpec:
+    """The bars of a stream in order."""
+    return Window.partitionBy("stream_id").orderBy("t")
+
+
 #: Bars with the return in basis points; faulty prices give wild returns, which are nulled.
 RET_SQL = BARS_SQL + """,
 r0 AS (SELECT *, (close / lag(close) OVER (PARTITION BY stream_id ORDER BY t) - 1) * 10000 AS r00 FROM b),
@@ -22,7 +28,7 @@ r AS (SELECT stream_id, t, open, high, low, close, n, CASE WHEN abs(r00) < 100 T
 
 def returns(spark: SparkSession, sf: str) -> DataFrame:
     """Bars with r, the return in basis points, NULL where it is wild."""
-    raw = (F.col("close") / F.lag("close").over(W) - 1) * 10000
+    raw = (F.col("close") / F.lag("close").over(win()) - 1) * 10000
     return minute_bars(spark, sf).withColumn("r", raw).withColumn("r", F.when(F.abs("r") < 100, F.col("r")))
 
 
@@ -41,14 +47,14 @@ def rolled(fn: str, col: str, rows: int, end: int = 0, least: int | None = None)
 FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY t)""")
 def ref_w01_lags(spark: SparkSession, sf: str) -> DataFrame:
     """Difference, percent change over 3 bars, log return over 5."""
-    c, lag = F.col("close"), lambda k: F.lag("close", k).over(W)
+    c, lag = F.col("close"), lambda k: F.lag("close", k).over(win())
     return minute_bars(spark, sf).select("stream_id", "t", F.round((c - lag(1)) * 100, 8).alias("diff"), F.round((c / lag(3) - 1) * 10000, 5).alias("pct3"), F.round(F.log(c / lag(5)) * 10000, 5).alias("log5"))
 
 
 @query(BARS_SQL + """ SELECT stream_id, t, CASE WHEN lead(t, 15) OVER w - t = 900 THEN round((lead(close, 15) OVER w / close - 1) * 10000, 5) END AS fwd FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY t)""")
 def ref_w02_forward_return(spark: SparkSession, sf: str) -> DataFrame:
     """Return over the next 15 bars if they are contiguous."""
-    fwd = F.when(F.lead("t", 15).over(W) - F.col("t") == 900, F.round((F.lead("close", 15).over(W) / F.col("close") - 1) * 10000, 5))
+    fwd = F.when(F.lead("t", 15).over(win()) - F.col("t") == 900, F.round((F.lead("close", 15).over(win()) / F.col("close") - 1) * 10000, 5))
     return minute_bars(spark, sf).select("stream_id", "t", fwd.alias("fwd"))
 
 
@@ -56,8 +62,8 @@ def ref_w02_forward_return(spark: SparkSession, sf: str) -> DataFrame:
 SELECT stream_id, t, gap_prev, min((gap_prev = 60)::INT) OVER (PARTITION BY stream_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS next_ok FROM g""")
 def ref_w03_gap_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Gap to the previous bar, and whether the next five have none."""
-    g = minute_bars(spark, sf).select("stream_id", "t", (F.col("t") - F.lag("t").over(W)).alias("gap_prev"))
-    return g.withColumn("next_ok", F.min((F.col("gap_prev") == 60).cast("int")).over(W.rowsBetween(1, 5)))
+    g = minute_bars(spark, sf).select("stream_id", "t", (F.col("t") - F.lag("t").over(win())).alias("gap_prev"))
+    return g.withColumn("next_ok", F.min((F.col("gap_prev") == 60).cast("int")).over(win().rowsBetween(1, 5)))
 
 
 @query(RET_SQL + f""" SELECT stream_id, t, round({rolled('avg(r)', 'r', 12)}, 6) AS mean12, round({rolled('sum(r)', 'r', 12, least=6)}, 6) AS sum12, round({rolled('stddev_samp(r)', 'r', 24)}, 6) AS sd24,
@@ -82,14 +88,14 @@ def ref_w05_time_range(spark: SparkSession, sf: str) -> DataFrame:
 @query(BARS_SQL + """ SELECT stream_id, t, max(n) OVER (PARTITION BY stream_id ORDER BY t ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS top FROM b""")
 def ref_w06_centred_max(spark: SparkSession, sf: str) -> DataFrame:
     """Centred maximum over 31 bars."""
-    return minute_bars(spark, sf).select("stream_id", "t", F.max("n").over(W.rowsBetween(-15, 15)).alias("top"))
+    return minute_bars(spark, sf).select("stream_id", "t", F.max("n").over(win().rowsBetween(-15, 15)).alias("top"))
 
 
 @query(RET_SQL + f""", l AS (SELECT *, lag(r) OVER (PARTITION BY stream_id ORDER BY t) AS p FROM r), q AS (SELECT *, CASE WHEN p IS NOT NULL THEN r END AS r2, CASE WHEN r IS NOT NULL THEN p END AS p2 FROM l)
 SELECT stream_id, t, round({rolled('corr(r2, p2)', 'r2', 20)}, 5) AS autocorr, round({rolled('covar_samp(r2, p2)', 'r2', 20)}, 5) AS cov, round({rolled('covar_samp(r2, p2)', 'r2', 20)} / nullif({rolled('var_samp(p2)', 'p2', 20)}, 0), 5) AS beta FROM q""")
 def ref_w07_rolling_corr(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling autocorrelation, covariance and OLS beta."""
-    q = returns(spark, sf).withColumn("p", F.lag("r").over(W))
+    q = returns(spark, sf).withColumn("p", F.lag("r").over(win()))
     q = q.withColumn("r2", F.when(F.col("p").isNotNull(), F.col("r"))).withColumn("p2", F.when(F.col("r").isNotNull(), F.col("p")))
     s = R.span(KEY, "t", 20)
     roll = lambda agg, c: R.rolling(agg, F.col(c), s, 20)
@@ -102,7 +108,7 @@ c AS (SELECT *, first_value(close) OVER (PARTITION BY stream_id ORDER BY t ROWS
 SELECT stream_id, t, CASE WHEN i >= 20 THEN round(regr_slope((close / c0 - 1) * 10000, i) OVER (PARTITION BY stream_id ORDER BY t ROWS 19 PRECEDING), 4) END AS slope FROM c""")
 def ref_w08_rolling_slope(spark: SparkSession, sf: str) -> DataFrame:
     """Slope of the relative price over the row number in 20 bars."""
-    i = minute_bars(spark, sf).withColumn("i", F.row_number().over(W)).withColumn("c0", F.first("close").over(W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    i = minute_bars(spark, sf).withColumn("i", F.row_number().over(win())).withColumn("c0", F.first("close").over(win().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     slope = F.regr_slope((F.col("close") / F.col("c0") - 1) * 10000, F.col("i")).over(R.span(KEY, "t", 20))
     return i.select("stream_id", "t", F.when(F.col("i") >= 20, F.round(slope, 4)).alias("slope"))
 
@@ -195,7 +201,7 @@ def ref_w18_cross_section(spark: SparkSession, sf: str) -> DataFrame:
 @query(BARS_SQL + """ SELECT stream_id, t, round((coalesce((close > lag(close, 1) OVER w)::INT, 0) + coalesce((close > lag(close, 5) OVER w)::INT, 0) + coalesce((close > lag(close, 15) OVER w)::INT, 0)) / 3, 6) AS votes FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY t)""")
 def ref_w19_alignment_votes(spark: SparkSession, sf: str) -> DataFrame:
     """Share of three horizons on which the price has risen."""
-    vote = lambda k: F.coalesce((F.col("close") > F.lag("close", k).over(W)).cast("int"), F.lit(0))
+    vote = lambda k: F.coalesce((F.col("close") > F.lag("close", k).over(win())).cast("int"), F.lit(0))
     return minute_bars(spark, sf).select("stream_id", "t", F.round((vote(1) + vote(5) + vote(15)) / 3, 6).alias("votes"))
 
 
