@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.shred import _by_batch, read_object
-from lodestream.runtime import cut
+from lodestream.runtime import cut, written
 
 #: Days of a series' files in one shard.
 SHARD_DAYS = 7
@@ -144,7 +144,7 @@ def changes(files: DataFrame) -> DataFrame:
     each in one file, of one type, with the same words level by level; `retyped`: another type than
     the field's last value (nulls have none). Empty tables give no rows.
     """
-    maps = cut(path_maps(files))
+    maps = written(path_maps(files).select("file_id", "paths", "kinds"), "maps")
     counting = cut(counting_files(files, maps))
     fields = (
         counting.join(maps, "file_id").select("series_id", "at", "file_id", F.arrays_zip("paths", "kinds").alias("z"))
