@@ -18,6 +18,16 @@ def rolling(agg: Column, counted: Column, w: WindowSpec, at_least: int) -> Colum
     return F.when(F.count(counted).over(w) >= at_least, agg.over(w))
 
 
+def correlation(x: Column, y: Column, w: WindowSpec | None = None) -> Column:
+    """Correlation of x and y, which must be NULL together; NULL where either hardly varies.
+
+    The built-in one fails on a constant side in ANSI mode.
+    """
+    over = lambda a: a.over(w) if w is not None else a
+    vx, vy = over(F.var_pop(x)), over(F.var_pop(y))
+    return F.when((vx > 1e-12) & (vy > 1e-12), over(F.covar_pop(x, y)) / F.sqrt(vx * vy))
+
+
 def skew_corrected(x: Column, w: WindowSpec, n: int) -> Column:
     """Bias-corrected skewness of a full frame of n >= 3 values; NULL without variation."""
     return F.when((F.count(x).over(w) >= n) & (F.var_pop(x).over(w) > 0), F.skewness(x).over(w) * (math.sqrt(n * (n - 1)) / (n - 2)))

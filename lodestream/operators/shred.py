@@ -112,11 +112,11 @@ def latest_readable(df: DataFrame, key: str, order: str, row_id: str, payload: s
             if read_object(text) is not None:
                 yield (i,)
 
-    ids = df.select(row_id, payload).mapInArrow(_by_batch(pa.schema([("_id", pa.int64())]), readable), "_id bigint")
+    ids = df.select(row_id, payload).mapInArrow(_by_batch(pa.schema([("__chosen_id", pa.int64())]), readable), "__chosen_id bigint")
     # a readable row's key and order come from the table again: cheaper than to move them through Python
-    known = df.select(row_id, key, order).join(ids, F.col(row_id) == F.col("_id"), "left_semi")
-    chosen = known.groupBy(key).agg(F.max(F.struct(F.col(order), F.col(row_id))).alias("top")).select(F.col(f"top.{row_id}").alias("_id"))
-    return df.join(chosen, F.col(row_id) == F.col("_id"), "left_semi")
+    known = df.select(row_id, key, order).join(ids, F.col(row_id) == F.col("__chosen_id"), "left_semi")
+    chosen = known.groupBy(key).agg(F.max(F.struct(F.col(order), F.col(row_id))).alias("top")).select(F.col(f"top.{row_id}").alias("__chosen_id"))
+    return df.join(chosen, F.col(row_id) == F.col("__chosen_id"), "left_semi")
 
 
 def occurrences(df: DataFrame, row_id: str, payload: str) -> DataFrame:

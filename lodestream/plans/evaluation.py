@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators import selection as X
+from lodestream.operators.rolling import correlation
 from lodestream.plans.base import SCORED_SQL, TICKS_SQL, Registry, scored, ticks
 from lodestream.plans.windows import RET_SQL, returns
 from lodestream.runtime import cut, table
@@ -196,14 +197,14 @@ def ref_e22_randomness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(RET_SQL + """, v AS (SELECT t, max(r) FILTER (stream_id = 'EURUSD:alder') AS x, max(r) FILTER (stream_id = 'EURUSD:cedar') AS y FROM r GROUP BY t), g AS (SELECT unnest(range(min(t), max(t) + 60, 60)) AS t FROM v), d AS (SELECT g.t, x, y FROM g LEFT JOIN v USING (t)),
-l AS (SELECT unnest([0, 1, 2, 3]) AS lag), j AS (SELECT l.lag, a.x, b.y FROM l JOIN d a ON true JOIN d b ON b.t = a.t + 60 * l.lag WHERE a.x IS NOT NULL AND b.y IS NOT NULL) SELECT lag::INT AS lag, count(*) AS n, round(corr(x, y), 5) AS corr FROM j GROUP BY lag""")
+l AS (SELECT unnest([0, 1, 2, 3]) AS lag), j AS (SELECT l.lag, a.x, b.y FROM l JOIN d a ON true JOIN d b ON b.t = a.t + 60 * l.lag WHERE a.x IS NOT NULL AND b.y IS NOT NULL) SELECT lag::INT AS lag, count(*) AS n, CASE WHEN var_pop(x) > 1e-12 AND var_pop(y) > 1e-12 THEN round(corr(x, y), 5) END AS corr FROM j GROUP BY lag""")
 def ref_e23_lead_lag(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation of two venues at leads of zero to three minutes."""
     r = returns(spark, sf).where("r IS NOT NULL")
     x = r.where("stream_id = 'EURUSD:alder'").select("t", F.col("r").alias("x"), F.explode(F.array(*map(F.lit, range(4)))).alias("lag"))
     y = r.where("stream_id = 'EURUSD:cedar'").select(F.col("t").alias("ty"), F.col("r").alias("y"))
     j = x.withColumn("ty", F.col("t") + 60 * F.col("lag")).join(y, "ty")
-    return j.groupBy("lag").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 5).alias("corr"))
+    return j.groupBy("lag").agg(F.count("*").alias("n"), F.round(correlation(F.col("x"), F.col("y")), 5).alias("corr"))
 
 
 @query(SCORED_SQL + f""" SELECT pair, count(*) AS n, round(avg(CASE WHEN {_WIN_SQL} = 1 THEN 1 / (0.52 + row_id % 5 * 0.01) - 1 ELSE -1 END), 6) AS ev, round(avg(0.52 + row_id % 5 * 0.01), 6) AS breakeven, round(avg((row_id % 5 < 2)::INT), 6) AS favoured FROM s GROUP BY 1""")
@@ -231,12 +232,12 @@ def ref_e28_gates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("pair").agg(F.count("*").alias("n"), F.sum(ok.cast("int")).alias("passed"))
 
 
-@query(SCORED_SQL + """ SELECT a.pair, count(*) AS n, CASE WHEN NOT isnan(corr(a.p, b.y)) THEN round(corr(a.p, b.y), 6) END AS shifted_corr FROM s a JOIN s b ON a.pair = b.pair AND b.ts = a.ts + 604800 GROUP BY 1""")
+@query(SCORED_SQL + """ SELECT a.pair, count(*) AS n, CASE WHEN var_pop(a.p) > 1e-12 AND var_pop(b.y) > 1e-12 THEN round(corr(a.p, b.y), 6) END AS shifted_corr FROM s a JOIN s b ON a.pair = b.pair AND b.ts = a.ts + 604800 GROUP BY 1""")
 def ref_x23_shifted_placebo(spark: SparkSession, sf: str) -> DataFrame:
     """Scores against the labels of exactly a week later."""
     s = scored(spark, sf)
     later = s.select("pair", (F.col("ts") - 604800).alias("ts"), "y")
-    return s.select("pair", "ts", "p").join(later, ["pair", "ts"]).groupBy("pair").agg(F.count("*").alias("n"), F.round(F.nanvl(F.corr("p", "y"), F.lit(None).cast("double")), 6).alias("shifted_corr"))
+    return s.select("pair", "ts", "p").join(later, ["pair", "ts"]).groupBy("pair").agg(F.count("*").alias("n"), F.round(correlation(F.col("p"), F.col("y")), 6).alias("shifted_corr"))
 
 
 @query(SCORED_SQL + """, w AS (SELECT (ts + 259200) // 604800 AS week, sum((p > 0.5)::INT) AS up, sum((p <= 0.5)::INT) AS dn FROM s GROUP BY 1), c AS (SELECT week, sum(up) OVER (ORDER BY week) AS up, sum(dn) OVER (ORDER BY week) AS dn FROM w)

@@ -92,7 +92,7 @@ def ref_w06_centred_max(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(RET_SQL + f""", l AS (SELECT *, lag(r) OVER (PARTITION BY stream_id ORDER BY t) AS p FROM r), q AS (SELECT *, CASE WHEN p IS NOT NULL THEN r END AS r2, CASE WHEN r IS NOT NULL THEN p END AS p2 FROM l)
-SELECT stream_id, t, round({rolled('corr(r2, p2)', 'r2', 20)}, 5) AS autocorr, round({rolled('covar_samp(r2, p2)', 'r2', 20)}, 5) AS cov, round({rolled('covar_samp(r2, p2)', 'r2', 20)} / nullif({rolled('var_samp(p2)', 'p2', 20)}, 0), 5) AS beta FROM q""")
+SELECT stream_id, t, CASE WHEN var_pop(r2) OVER {frame(20)} > 1e-12 AND var_pop(p2) OVER {frame(20)} > 1e-12 THEN round({rolled('covar_pop(r2, p2)', 'r2', 20)} / sqrt(var_pop(r2) OVER {frame(20)} * var_pop(p2) OVER {frame(20)}), 5) END AS autocorr, round({rolled('covar_samp(r2, p2)', 'r2', 20)}, 5) AS cov, round({rolled('covar_samp(r2, p2)', 'r2', 20)} / nullif({rolled('var_samp(p2)', 'p2', 20)}, 0), 5) AS beta FROM q""")
 def ref_w07_rolling_corr(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling autocorrelation, covariance and OLS beta."""
     q = returns(spark, sf).withColumn("p", F.lag("r").over(win()))
@@ -100,7 +100,7 @@ def ref_w07_rolling_corr(spark: SparkSession, sf: str) -> DataFrame:
     s = R.span(KEY, "t", 20)
     roll = lambda agg, c: R.rolling(agg, F.col(c), s, 20)
     cov, var = roll(F.covar_samp("r2", "p2"), "r2"), roll(F.var_samp("p2"), "p2")
-    return q.select("stream_id", "t", F.round(roll(F.corr("r2", "p2"), "r2"), 5).alias("autocorr"), F.round(cov, 5).alias("cov"), F.round(F.try_divide(cov, var), 5).alias("beta"))
+    return q.select("stream_id", "t", F.round(F.when(F.count("r2").over(s) >= 20, R.correlation(F.col("r2"), F.col("p2"), s)), 5).alias("autocorr"), F.round(cov, 5).alias("cov"), F.round(F.try_divide(cov, var), 5).alias("beta"))
 
 
 @query(BARS_SQL + """, i AS (SELECT stream_id, t, close, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS i FROM b),
