@@ -151,13 +151,15 @@ def changes(files: DataFrame) -> DataFrame:
         .select("series_id", "at", "file_id", F.explode("z").alias("z"))
         .select("series_id", F.col("z.paths").alias("path"), "at", "file_id", F.when(F.col("z.kinds") != "null", F.col("z.kinds")).alias("kind"))
     )
-    # by path, type and shard: first and last place, with the types there
-    typed = F.when(F.col("kind").isNotNull(), F.struct("at", "kind"))
+    # by path and shard: first and last place with the types there, and the changes of type inside
+    typed = F.when(F.col("kind").isNotNull(), F.struct("at", "kind", "file_id"))
+    inside = Window.partitionBy("series_id", "path", "shard").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     stats = cut(
-        fields.withColumn("shard", _shard("at")).groupBy("series_id", "path", "shard").agg(
+        fields.withColumn("shard", _shard("at")).withColumn("previous", F.last("kind", ignorenulls=True).over(inside))
+        .groupBy("series_id", "path", "shard").agg(
             F.min(F.struct("at", "file_id")).alias("first"), F.max(F.struct("at", "file_id")).alias("last"),
             F.min(typed).alias("first_typed"), F.max(typed).alias("last_typed"),
-            (F.min("kind") != F.max("kind")).alias("mixed"),
+            F.collect_list(F.when(F.col("kind") != F.col("previous"), F.col("file_id"))).alias("retyped"),
         )
     )
     whole = stats.groupBy("series_id", "path").agg(
@@ -183,23 +185,18 @@ def changes(files: DataFrame) -> DataFrame:
         .groupBy("series_id", "file_id")
         .applyInPandas(_pairs, "series_id string, file_id bigint, old_path string, new_path string")
     )
-    # type changes: shards of one type compare by their summaries, only mixed ones by row
-    order = Window.partitionBy("series_id", "path").orderBy("shard")
-    carried = stats.withColumn("before", F.last(F.col("last_typed.kind"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    inside = Window.partitionBy("series_id", "path", "shard").orderBy("at")
-    detail = (
-        fields.where("kind IS NOT NULL").withColumn("shard", _shard("at"))
-        .join(carried.where("mixed OR before <> first_typed.kind").select("series_id", "path", "shard", "before"), ["series_id", "path", "shard"])
-        .withColumn("previous", F.coalesce(F.lag("kind").over(inside), F.col("before")))
-        .where(F.col("previous") != F.col("kind"))
-    )
+    # changes of type over the borders of shards, from their summaries
+    order = Window.partitionBy("series_id", "path").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stats.withColumn("before", F.last(F.col("last_typed.kind"), ignorenulls=True).over(order))
+    across = carried.where("before <> first_typed.kind").select("series_id", "path", F.col("first_typed.file_id").alias("file_id"))
+    retyped = across.unionByName(stats.select("series_id", "path", F.explode("retyped").alias("file_id")))
     report = lambda df, kind, path, old: df.select("series_id", "file_id", F.lit(kind).alias("change_kind"), F.col(path).alias("field_path"), old.alias("old_path"))
     key = ["series_id", "file_id"]
     return (
         report(added.join(renamed, [*key, "new_path"], "left_anti"), "added", "new_path", F.lit(""))
         .unionByName(report(removed.join(renamed, [*key, "old_path"], "left_anti"), "removed", "old_path", F.lit("")))
         .unionByName(report(renamed, "renamed", "new_path", F.col("old_path")))
-        .unionByName(report(detail, "retyped", "path", F.lit("")))
+        .unionByName(report(retyped, "retyped", "path", F.lit("")))
     )
 
 
