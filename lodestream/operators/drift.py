@@ -3,6 +3,7 @@ path and type, a report of changes, and one typed table with the casts that fail
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator, Sequence
@@ -125,12 +126,24 @@ def same_field(old: str, new: str) -> int:
     return sum(score) if all(score) else 0
 
 
+def _agreement(old: str, new: str) -> Column:
+    """same_field of two columns; each pair of paths is compared once per worker."""
+    return F.pandas_udf(lambda x, y: pd.Series([_cached(a, b) for a, b in zip(x, y)], dtype="int32"), "int")(old, new)
+
+
+@functools.lru_cache(100_000)
+def _cached(old: str, new: str) -> int:
+    return same_field(old, new)
+
+
 def _pairs(candidates: pd.DataFrame) -> pd.DataFrame:
-    """Of one file's removed and added fields the renames: best agreement first, each field once."""
+    """Of one file's candidates the renames: best agreement first, then by path, each field once.
+
+    A field whose only candidate has no rival is a rename whatever the others are.
+    """
     rows, used = [], set()
-    scored = [(same_field(o, n), o, n) for o, n in zip(candidates["old_path"], candidates["new_path"])]
-    for score, old, new in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
-        if score and ("o", old) not in used and ("n", new) not in used:
+    for _, old, new in sorted(zip(-candidates["score"], candidates["old_path"], candidates["new_path"])):
+        if ("o", old) not in used and ("n", new) not in used:
             used |= {("o", old), ("n", new)}
             rows.append((candidates["series_id"].iloc[0], int(candidates["file_id"].iloc[0]), old, new))
     return pd.DataFrame(rows, columns=["series_id", "file_id", "old_path", "new_path"])
@@ -180,11 +193,12 @@ def changes(files: DataFrame) -> DataFrame:
         added.withColumnRenamed("kind", "new_kind"),
         ["series_id", "file_id"],
     ).where(F.coalesce(F.col("kind") == F.col("new_kind"), F.lit(True)) & (depth("old_path") == depth("new_path")))
-    renamed = cut(
-        same.select("series_id", "file_id", "old_path", "new_path")
-        .groupBy("series_id", "file_id")
-        .applyInPandas(_pairs, "series_id string, file_id bigint, old_path string, new_path string")
-    )
+    alike = cut(same.select("series_id", "file_id", "old_path", "new_path", _agreement("old_path", "new_path").alias("score")).where("score > 0"))
+    rivals = lambda side: F.count("*").over(Window.partitionBy("series_id", "file_id", side))
+    alike = alike.withColumn("rivals", F.greatest(rivals("old_path"), rivals("new_path")))
+    pairs = ["series_id", "file_id", "old_path", "new_path"]
+    contested = alike.where("rivals > 1").groupBy("series_id", "file_id").applyInPandas(_pairs, "series_id string, file_id bigint, old_path string, new_path string")
+    renamed = cut(alike.where("rivals = 1").select(pairs).unionByName(contested))
     # changes of type over the borders of shards, from their summaries
     order = Window.partitionBy("series_id", "path").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     carried = stats.withColumn("before", F.last(F.col("last_typed.kind"), ignorenulls=True).over(order))
