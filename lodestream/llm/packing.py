@@ -15,6 +15,8 @@ from lodestream.runtime import cut
 CLASSES = 512
 #: Most items of one pattern, and most patterns that are fitted.
 MAX_ITEMS, MAX_PATTERNS = 48, 640
+#: Share of the capacity that a pattern must fill to be used.
+LEAST_FILL = 0.99
 #: Relative misfit of the histogram at which fitting ends.
 MISFIT = 1e-4
 #: Shards in which the items of a class are numbered, and the items of one residual packing.
@@ -93,7 +95,8 @@ def fit_patterns(histogram: np.ndarray, capacity: int = CLASSES, max_items: int
         for p in np.flatnonzero(patterns[c]):
             back = min(int(repeats[p]), max(0, -(-int((patterns @ repeats - histogram)[c]) // int(patterns[c, p]))))
             repeats[p] -= back
-    used = repeats > 0
+    full = (patterns * np.arange(1, len(histogram) + 1)[:, None]).sum(axis=0) >= LEAST_FILL * capacity
+    used = (repeats > 0) & full  # the items of poor patterns are packed better one by one
     return patterns[:, used], repeats[used]
 
 
