@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.scan import carry_last, running_total, with_previous
+
 
 def keep_last(df: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
     """Of rows with one key that with the largest seq (a map-side combined aggregate, no sort).
@@ -40,8 +42,6 @@ def information_bars(ticks: DataFrame, key: Sequence[str], size: Column, thresho
 
     The running total is taken over time shards with carried starts, so that a hot key is spread.
     """
-    from lodestream.operators.scan import running_total
-
     total = running_total(ticks, size, [F.col("epoch"), F.col("tick_id")], F.floor(F.col("epoch") / 3_600), key, "cum")
     bar = F.floor((F.col("cum") - size) / threshold)
     return total.groupBy(*key, bar.alias("bar")).agg(
@@ -52,25 +52,23 @@ def information_bars(ticks: DataFrame, key: Sequence[str], size: Column, thresho
 
 def change_counts(ticks: DataFrame, key: Sequence[str], seconds: int, price: str = "quote") -> DataFrame:
     """Ticks and price changes per bar; a change counts in the bar of its later tick."""
-    w = Window.partitionBy(*key).orderBy("epoch")
-    changed = ticks.withColumn("_c", (F.col(price) != F.lag(price).over(w)).cast("int"))
+    changed = with_previous(ticks, key, "epoch", [F.col("epoch")], [price]).withColumn("_c", (F.col(price) != F.col(f"prev.{price}")).cast("int"))
     return changed.groupBy(*key, (F.floor(F.col("epoch") / seconds) * seconds).alias("t")).agg(F.count("*").alias("n_ticks"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n_changes"))
 
 
 def signed_flow(ticks: DataFrame, key: Sequence[str], seconds: int, price: str = "quote") -> DataFrame:
     """Tick-rule flow per bar: the sign of the last non-zero change carries on over equal prices."""
-    w = Window.partitionBy(*key).orderBy("epoch")
-    signs = ticks.withColumn("_s", F.signum(F.col(price) - F.lag(price).over(w)))
-    carried = F.last(F.when(F.col("_s") != 0, F.col("_s")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    flow = signs.withColumn("_s", F.coalesce(carried, F.lit(0.0)))
+    order = [F.col("epoch")]
+    signs = with_previous(ticks, key, "epoch", order, [price]).withColumn("_s", F.signum(F.col(price) - F.col(f"prev.{price}")))
+    flow = carry_last(signs, key, "epoch", order, F.when(F.col("_s") != 0, F.col("_s")), "_sign").withColumn("_s", F.coalesce("_sign", F.lit(0.0)))
     return flow.groupBy(*key, (F.floor(F.col("epoch") / seconds) * seconds).alias("t")).agg(F.sum("_s").alias("flow"), F.sum(F.abs("_s")).alias("moves"))
 
 
 def order_flow_imbalance(ticks: DataFrame, key: Sequence[str], seconds: int, bid_size: Column, ask_size: Column) -> DataFrame:
     """Event order-flow imbalance from quote and size changes of both sides, summed per bar."""
-    w = Window.partitionBy(*key).orderBy("epoch")
     q = ticks.withColumn("_bs", bid_size).withColumn("_as", ask_size)
-    was = lambda c: F.lag(c).over(w)
+    q = with_previous(q, key, "epoch", [F.col("epoch")], ["bid", "ask", "_bs", "_as"])
+    was = lambda c: F.col(f"prev.{c}")
     buy = F.when(F.col("bid") >= was("bid"), F.col("_bs")).otherwise(0) - F.when(F.col("bid") <= was("bid"), was("_bs")).otherwise(0)
     sell = F.when(F.col("ask") <= was("ask"), F.col("_as")).otherwise(0) - F.when(F.col("ask") >= was("ask"), was("_as")).otherwise(0)
     e = q.withColumn("_e", F.when(was("bid").isNotNull() & was("ask").isNotNull(), buy - sell))

@@ -1,0 +1,103 @@
+"""Sequential rules over short, bounded groups: policy replay, adaptive gates, state machines, sequential tests."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def policy_replay(df: DataFrame, key: str, close: str, edge: str, row_id: str, pair: str, sign: str, hold_s: int, cap: int) -> DataFrame:
+    """(row_id, taken, reason) of candidates replayed day by day in order of (close, -edge, row_id).
+
+    A candidate is refused while its pair has an open position (`same_pair`) or while `cap` open
+    positions have its sign (`sign_cap`). Positions are open for hold_s and end with their day, the
+    unit of work; key spreads independent books.
+    """
+
+    def replay(day: pa.Table) -> pa.Table:
+        rows = day.to_pylist()
+        rows.sort(key=lambda r: (r[close], -(r[edge] if r[edge] is not None else -math.inf), r[row_id]))
+        held: list[tuple] = []
+        out = []
+        for r in rows:
+            held = [h for h in held if h[0] > r[close]]
+            reason = "same_pair" if any(h[1] == r[pair] for h in held) else "sign_cap" if sum(h[2] == r[sign] for h in held) >= cap else None
+            if reason is None:
+                held.append((r[close] + hold_s, r[pair], r[sign]))
+            out.append((r[row_id], reason is None, reason or "taken"))
+        cols = list(zip(*out)) or [[], [], []]
+        return pa.table({"row_id": pa.array(cols[0], pa.int64()), "taken": pa.array(cols[1], pa.bool_()), "reason": pa.array(cols[2], pa.string())})
+
+    rows = df.where(F.col(close).isNotNull()).select(key, close, edge, F.col(row_id).cast("bigint").alias(row_id), pair, sign)
+    return rows.withColumn("_day", F.floor(F.col(close) / 86_400)).groupBy(key, "_day").applyInArrow(replay, "row_id bigint, taken boolean, reason string")
+
+
+def adaptive_gate(errors: Iterable[int], target: float = 0.1, rate: float = 0.05, start: float = 0.1) -> np.ndarray:
+    """Adaptive conformal level before each outcome: alpha += rate (target - error), within [0, 1]."""
+    level, out = start, []
+    for e in errors:
+        out.append(level)
+        level = min(1.0, max(0.0, level + rate * (target - e)))
+    return np.array(out)
+
+
+def gate_by_day(df: DataFrame, key: str, ts: str, row_id: str, error: str) -> DataFrame:
+    """(row_id, level): adaptive_gate over each key's day; the level starts anew each day."""
+
+    def run(day: pa.Table) -> pa.Table:
+        order = np.lexsort((day[row_id].to_numpy(), day[ts].to_numpy()))
+        return pa.table({"row_id": day[row_id].to_numpy()[order], "level": adaptive_gate(day[error].to_numpy()[order])})
+
+    return df.withColumn("_day", F.floor(F.col(ts) / 86_400)).groupBy(key, "_day").applyInArrow(run, "row_id bigint, level double")
+
+
+#: The legal moves of a signal.
+MOVES = {"new": {"claimed", "expired"}, "claimed": {"sent", "released", "expired"}, "released": {"claimed", "expired"}, "sent": {"settled", "failed"}}
+
+
+def illegal_moves(log: DataFrame, signal: str, seq: str, status: str) -> DataFrame:
+    """(signal, seq, was, status) of log rows that aren't legal moves; the first status must be 'new'."""
+    from lodestream.operators.scan import with_previous
+
+    rows = with_previous(log, [signal], seq, [F.col(seq)], [status], chunk_s=1_000_000)
+    was = F.coalesce(F.col(f"prev.{status}"), F.lit(""))
+    legal = (was == "") & (F.col(status) == "new")
+    for state, following in MOVES.items():
+        legal = legal | ((was == state) & F.col(status).isin(*sorted(following)))
+    return rows.where(~F.coalesce(legal, F.lit(False))).select(signal, seq, was.alias("was"), status)
+
+
+def two_look_bounds(n1: int, n2: int, p0: float, alpha: float) -> tuple[int, int]:
+    """Fewest wins at the first look and in total at the second that reject p0, spending alpha / 2 on each, exactly."""
+    tail = lambda n, k: sum(math.comb(n, i) * p0**i * (1 - p0) ** (n - i) for i in range(k, n + 1))
+    first = next(k for k in range(n1 + 2) if tail(n1, k) <= alpha / 2)
+    stay = [math.comb(n1, i) * p0**i * (1 - p0) ** (n1 - i) for i in range(min(first, n1 + 1))]
+    second = next(k for k in range(n1 + n2 + 2) if sum(w * tail(n2, max(0, k - i)) for i, w in enumerate(stay)) <= alpha / 2)
+    return first, second
+
+
+def surrogate_means(values: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Lag-one product means of phase-randomised surrogates: same spectrum, random phases."""
+    rng = np.random.default_rng(seed)
+    n, spectrum = len(values), np.abs(np.fft.rfft(values - values.mean()))
+    out = np.zeros(replicates)
+    for r in range(replicates):
+        phase = np.exp(1j * rng.uniform(0, 2 * np.pi, len(spectrum)))
+        x = np.fft.irfft(spectrum * phase, n)
+        out[r] = np.mean(np.sign(x[1:]) * np.sign(x[:-1]))
+    return out
+
+
+def market_residuals(wide: np.ndarray) -> np.ndarray:
+    """Rows less their projection on the components of the correlation matrix above the Marchenko-Pastur edge."""
+    n, k = wide.shape
+    sd = wide.std(axis=0)
+    z = (wide - wide.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
+    values, vectors = np.linalg.eigh(z.T @ z / max(n, 1))
+    keep = vectors[:, values > (1 + math.sqrt(k / max(n, 1))) ** 2]
+    return z - z @ keep @ keep.T

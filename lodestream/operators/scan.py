@@ -38,3 +38,36 @@ def running_total(
     return joined.withColumn(out, F.col("_start") + F.col("_within")).drop(
         "_shard", "_value", "_start_shard", "_start", "_within", *[f"_k{i}" for i in range(len(keys))]
     )
+
+
+def numbered(df: DataFrame, order: Sequence[Column], shard: Column, keys: Sequence[str] = (), out: str = "nth") -> DataFrame:
+    """df with the rank (from 1) of each row in the order (shard, *order), per `keys`."""
+    return running_total(df, F.lit(1), order, shard, keys, out)
+
+
+def _carried(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Column], value: Column, out: str, chunk_s: int, end: int) -> DataFrame:
+    """out: the last non-NULL value of the rows up to `end` rows from here, over chunks of time."""
+    rows = df.withColumn("_chunk", F.floor(F.col(ts) / chunk_s)).withColumn("_value", value)
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    last = rows.withColumn("_place", F.struct(*order)).groupBy(*keys, "_chunk").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_place"))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    carry = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_for"), before.alias("_carry"))
+    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_chunk").eqNullSafe(F.col("_for"))]
+    near = F.last("_value", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, end))
+    return rows.withColumn("_near", near).join(carry, match).withColumn(out, F.coalesce("_near", "_carry")).drop(
+        "_chunk", "_value", "_near", "_for", "_carry", *[f"_k{i}" for i in range(len(keys))]
+    )
+
+
+def carry_last(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Column], value: Column, out: str, chunk_s: int = 3_600) -> DataFrame:
+    """df with the last non-NULL `value` up to and with each row (forward fill).
+
+    Works by chunks of time with carried ends, so that no key's rows pass through one task. order
+    must begin with ts and settle ties; rows without ts come first.
+    """
+    return _carried(df, keys, ts, order, value, out, chunk_s, 0)
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Column], columns: Sequence[str], out: str = "prev", chunk_s: int = 3_600) -> DataFrame:
+    """df with a struct of the columns of the row before each row, NULL for a key's first row."""
+    return _carried(df, keys, ts, order, F.struct(*columns), out, chunk_s, -1)

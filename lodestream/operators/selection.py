@@ -8,12 +8,22 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.operators.scan import running_total, with_previous
 from lodestream.runtime import cut
 
 
+def islands(df: DataFrame, key: list[str], ts: str, row_id: str, gap: int) -> DataFrame:
+    """df with _island: rows whose distance to the row before is below `gap` share one."""
+    order = [F.col(ts), F.col(row_id)]
+    chunk = max(86_400, gap)
+    rows = with_previous(df, key, ts, order, [ts], chunk_s=chunk)
+    starts = F.coalesce((F.col(ts) - F.col(f"prev.{ts}") >= gap).cast("int"), F.lit(1))
+    return running_total(rows.withColumn("_new", starts).drop("prev"), F.col("_new"), order, F.floor(F.col(ts) / chunk), key, "_island")
+
+
 def nonoverlap_chrono(df: DataFrame, key: list[str], ts: str, row_id: str, gap: int) -> DataFrame:
     """(key, ts, row_id) of the greedy chronological picks: take a row, then none for `gap`.
 
@@ -22,10 +32,7 @@ def nonoverlap_chrono(df: DataFrame, key: list[str], ts: str, row_id: str, gap:
     whatever came before, so islands are picked on their own, in parallel, also within one key. NULL
     keys are a key, NULL times are never picked.
     """
-    w = Window.partitionBy(*key).orderBy(ts, row_id)
-    rows = df.where(F.col(ts).isNotNull()).select(*key, ts, row_id)
-    rows = rows.withColumn("_new", F.coalesce((F.col(ts) - F.lag(ts).over(w) >= gap).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = islands(df.where(F.col(ts).isNotNull()).select(*key, ts, row_id), key, ts, row_id, gap)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key, ts, row_id).schema)
 
     def pick(island: pa.Table) -> pa.Table:
@@ -57,10 +64,7 @@ def nonoverlap_by_confidence(df: DataFrame, key: list[str], ts: str, row_id: str
         return group.select([*key, ts, row_id]).take(pa.array(rows, pa.int64()))
 
     # rows further apart than gap don't touch: islands as above
-    w = Window.partitionBy(*key).orderBy(ts, row_id)
-    rows = df.where(F.col(ts).isNotNull()).select(*key, ts, row_id, conf)
-    rows = rows.withColumn("_new", F.coalesce((F.col(ts) - F.lag(ts).over(w) >= gap).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = islands(df.where(F.col(ts).isNotNull()).select(*key, ts, row_id, conf), key, ts, row_id, gap)
     return rows.groupBy(*key, "_island").applyInArrow(pick, kinds)
 
 
@@ -70,8 +74,6 @@ def contiguous_groups(df: DataFrame, ts: str, row_id: str, groups: int, out: str
     Edges are exact: rows are counted per time, a sum over distinct times; rows of one time are
     split in order of row_id.
     """
-    from lodestream.operators.scan import running_total
-
     numbered = running_total(df, F.lit(1), [F.col(ts), F.col(row_id)], F.floor(F.col(ts) / 86_400), out="_nth")
     n = df.count()
     grp = sum(((F.col("_nth") - 1 >= k * n // groups).cast("int") for k in range(1, groups)), F.lit(0))

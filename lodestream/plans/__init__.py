@@ -1,8 +1,8 @@
 """Queries over the driver's tables, each with its SQL where SQL can express it."""
 
-from lodestream.plans import aggregates, evaluation, features, general, joins, stores, streams, windows
+from lodestream.plans import aggregates, evaluation, extras, features, general, joins, stores, streams, windows
 
-MODULES = [general, aggregates, windows, joins, features, evaluation, stores, streams]
+MODULES = [general, aggregates, windows, joins, features, evaluation, stores, streams, extras]
 FLAGSHIP = general.p5_found
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators import bars
+from lodestream.operators.scan import numbered, with_previous
 from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks
 from lodestream.runtime import table
 
@@ -74,9 +75,11 @@ c AS (SELECT stream_id, epoch, quote, lag(epoch, 10) OVER (PARTITION BY stream_i
 SELECT stream_id, epoch, epoch - e10 AS secs_10, round((quote / q10 - 1) * 10000, 6) AS ret_10 FROM c WHERE e10 IS NOT NULL""")
 def ref_a08_tick_clock(spark: SparkSession, sf: str) -> DataFrame:
     """Time and return over the last ten price changes."""
-    w = Window.partitionBy("stream_id").orderBy("epoch")
-    moved = ticks(spark, sf).withColumn("p", F.lag("quote").over(w)).where("quote <> p")
-    past = moved.withColumn("e10", F.lag("epoch", 10).over(w)).withColumn("q10", F.lag("quote", 10).over(w)).where("e10 IS NOT NULL")
+    order, hour = [F.col("epoch")], F.floor(F.col("epoch") / 3600)
+    moved = with_previous(ticks(spark, sf), ["stream_id"], "epoch", order, ["quote"]).where("quote <> prev.quote")
+    moves = numbered(moved, order, hour, ["stream_id"]).select("stream_id", "epoch", "quote", "nth")
+    tenth = moves.select("stream_id", F.col("epoch").alias("e10"), F.col("quote").alias("q10"), (F.col("nth") + 10).alias("nth"))
+    past = moves.join(tenth, ["stream_id", "nth"])
     return past.select("stream_id", "epoch", (F.col("epoch") - F.col("e10")).alias("secs_10"), F.round((F.col("quote") / F.col("q10") - 1) * 10000, 6).alias("ret_10"))
 
 
@@ -85,8 +88,8 @@ q AS (SELECT stream_id, quantile_cont(mv, 0.99) AS q99 FROM m GROUP BY 1)
 SELECT stream_id, epoch // 300 * 300 AS t, count(*) FILTER (mv >= q99) AS n_large, round(coalesce(sum(mv) FILTER (mv >= q99), 0), 5) AS large_move, count(*) AS n FROM m JOIN q USING (stream_id) GROUP BY ALL""")
 def ref_a09_large_subset(spark: SparkSession, sf: str) -> DataFrame:
     """Moves of at least a stream's 99th percentile, per five minutes."""
-    w = Window.partitionBy("stream_id").orderBy("epoch")
-    moves = ticks(spark, sf).select("stream_id", "epoch", (F.abs(F.col("quote") / F.lag("quote").over(w) - 1) * 10000).alias("mv"))
+    before = with_previous(ticks(spark, sf), ["stream_id"], "epoch", [F.col("epoch")], ["quote"])
+    moves = before.select("stream_id", "epoch", (F.abs(F.col("quote") / F.col("prev.quote") - 1) * 10000).alias("mv"))
     limit = moves.groupBy("stream_id").agg(F.percentile("mv", 0.99).alias("q99"))
     large = F.col("mv") >= F.col("q99")
     return moves.join(limit, "stream_id").groupBy("stream_id", (F.floor(F.col("epoch") / 300) * 300).alias("t")).agg(
@@ -128,7 +131,11 @@ def ref_a12_seasonal_profile(spark: SparkSession, sf: str) -> DataFrame:
 SELECT pair, quintile::INT AS quintile, count(*) AS n, round(avg(y), 6) AS win_rate, round(1.96 * sqrt(avg(y) * (1 - avg(y)) / count(*)), 6) AS half_width FROM q GROUP BY ALL""")
 def ref_a13_quintile_win_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Win rate by quintile of the score with its half width."""
-    q = scored(spark, sf).withColumn("quintile", F.ntile(5).over(Window.partitionBy("pair").orderBy("p", "row_id")))
+    rows = scored(spark, sf)
+    ranked = numbered(rows, [F.col("p"), F.col("row_id")], F.floor(F.col("p") * 200), ["pair"]).join(rows.groupBy("pair").agg(F.count("*").alias("m")), "pair")
+    i, small, extra = F.col("nth") - 1, F.floor(F.col("m") / 5), F.col("m") % 5  # the first `extra` fifths have one row more
+    place = F.when(i < extra * (small + 1), F.floor(i / (small + 1))).otherwise(extra + F.floor(F.try_divide(i - extra * (small + 1), small)))
+    q = ranked.withColumn("quintile", (place + 1).cast("int"))
     rate = F.avg("y")
     return q.groupBy("pair", "quintile").agg(F.count("*").alias("n"), F.round(rate, 6).alias("win_rate"), F.round(1.96 * F.sqrt(rate * (1 - rate) / F.count("*")), 6).alias("half_width"))
 
@@ -232,8 +239,8 @@ def ref_a23_moments(spark: SparkSession, sf: str) -> DataFrame:
 SELECT gap, n, (sum(n) OVER (ORDER BY gap DESC))::BIGINT AS at_risk, round(n / sum(n) OVER (ORDER BY gap DESC), 6) AS hazard FROM h""")
 def ref_a24_gap_hazard(spark: SparkSession, sf: str) -> DataFrame:
     """Histogram of gaps with the hazard n / survivors; the window runs over distinct gaps only."""
-    w = Window.partitionBy("stream_id").orderBy("epoch")
-    h = ticks(spark, sf).select((F.col("epoch") - F.lag("epoch").over(w)).alias("gap")).where("gap IS NOT NULL").groupBy("gap").agg(F.count("*").alias("n"))
+    before = with_previous(ticks(spark, sf), ["stream_id"], "epoch", [F.col("epoch")], ["epoch"])
+    h = before.select((F.col("epoch") - F.col("prev.epoch")).alias("gap")).where("gap IS NOT NULL").groupBy("gap").agg(F.count("*").alias("n"))
     risk = F.sum("n").over(Window.orderBy(F.desc("gap")).rowsBetween(Window.unboundedPreceding, 0))
     return h.select("gap", "n", risk.alias("at_risk"), F.round(F.col("n") / risk, 6).alias("hazard"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import selection as X
 from lodestream.operators.rolling import correlation
+from lodestream.operators.scan import numbered, with_previous
 from lodestream.plans.base import SCORED_SQL, TICKS_SQL, Registry, scored, ticks
 from lodestream.plans.windows import RET_SQL, returns
 from lodestream.runtime import cut, table
@@ -187,9 +188,9 @@ k AS (SELECT stream_id, (i // 128) AS blk, avg(b) AS f, count(*) AS n FROM c GRO
 SELECT stream_id, count(*) AS n, round(abs(sum(2 * b - 1)) / sqrt(count(*)), 6) AS monobit, (1 + sum((b <> p)::INT))::BIGINT AS runs, round(block, 4) AS block_chi2 FROM c JOIN f USING (stream_id) GROUP BY stream_id, block""")
 def ref_e22_randomness(spark: SparkSession, sf: str) -> DataFrame:
     """Monobit, runs and block-frequency statistics of the up-move bits."""
-    w = Window.partitionBy("stream_id").orderBy("epoch")
-    b = ticks(spark, sf).select("stream_id", "epoch", (F.col("quote") > F.lag("quote").over(w)).cast("int").alias("b")).where("b IS NOT NULL")
-    c = b.withColumns({"p": F.lag("b").over(w), "i": F.row_number().over(w) - 1})
+    key, order = ["stream_id"], [F.col("epoch")]
+    b = with_previous(ticks(spark, sf), key, "epoch", order, ["quote"]).select("stream_id", "epoch", (F.col("quote") > F.col("prev.quote")).cast("int").alias("b")).where("b IS NOT NULL")
+    c = with_previous(numbered(b, order, F.floor(F.col("epoch") / 3600), key), key, "epoch", order, ["b"]).withColumns({"p": F.col("prev.b"), "i": F.col("nth") - 1})
     k = c.groupBy("stream_id", F.floor(F.col("i") / 128).alias("blk")).agg(F.sum("b").alias("ones"), F.count("*").alias("n"), F.sum((F.col("b") != F.col("p")).cast("int")).alias("flips"))
     dev = F.when(F.col("n") == 128, 128 * 4 * (F.col("ones") / F.col("n") - 0.5) * (F.col("ones") / F.col("n") - 0.5))
     n = F.sum("n")
@@ -219,8 +220,8 @@ SELECT pair, tercile, count(*) AS n, max(delay) AS max_delay, round(avg({_WIN_SQ
 def ref_e26_delay_terciles(spark: SparkSession, sf: str) -> DataFrame:
     """Win rate by tercile of a made-up delay."""
     d = scored(spark, sf).withColumn("delay", F.col("row_id") * 31 % 97)
-    w = Window.partitionBy("pair")
-    r = d.withColumn("tercile", F.floor((F.row_number().over(w.orderBy("delay", "row_id")) - 1) * 3 / F.count("*").over(w)).cast("int"))
+    ranked = numbered(d, [F.col("delay"), F.col("row_id")], F.col("delay"), ["pair"]).join(d.groupBy("pair").agg(F.count("*").alias("m")), "pair")
+    r = ranked.withColumn("tercile", F.floor((F.col("nth") - 1) * 3 / F.col("m")).cast("int"))
     return r.groupBy("pair", "tercile").agg(F.count("*").alias("n"), F.max("delay").alias("max_delay"), F.round(F.avg(win().cast("int")), 6).alias("win_rate"))
 
 

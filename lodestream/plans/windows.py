@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import rolling as R
 from lodestream.operators.bars import keep_last
+from lodestream.operators.scan import carry_last, numbered, running_total
 from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks
 from lodestream.runtime import table
 
@@ -20,6 +21,11 @@ def win() -> WindowSpec:
     return Window.partitionBy("stream_id").orderBy("t")
 
 
+def by_time(rows: DataFrame) -> DataFrame:
+    """Scored rows with nth, their rank by time within the pair, counted over days."""
+    return numbered(rows, [F.col("ts"), F.col("row_id")], F.floor(F.col("ts") / 86400), ["pair"])
+
+
 #: Bars with the return in basis points; faulty prices give wild returns, which are nulled.
 RET_SQL = BARS_SQL + """,
 r0 AS (SELECT *, (close / lag(close) OVER (PARTITION BY stream_id ORDER BY t) - 1) * 10000 AS r00 FROM b),
@@ -81,8 +87,12 @@ def ref_w04_rolling(spark: SparkSession, sf: str) -> DataFrame:
 @query(TICKS_SQL + """ SELECT stream_id, epoch, count(*) OVER w AS n, max(quote) OVER w AS high, min(quote) OVER w AS low FROM u WINDOW w AS (PARTITION BY stream_id ORDER BY epoch RANGE BETWEEN 899 PRECEDING AND CURRENT ROW)""")
 def ref_w05_time_range(spark: SparkSession, sf: str) -> DataFrame:
     """Left-open wall-clock windows of 900 s."""
-    w = Window.partitionBy("stream_id").orderBy("epoch").rangeBetween(-899, 0)
-    return ticks(spark, sf).select("stream_id", "epoch", F.count("*").over(w).alias("n"), F.max("quote").over(w).alias("high"), F.min("quote").over(w).alias("low"))
+    own = F.floor(F.col("epoch") / 3600)
+    # a chunk also reads the 899 s before it, so a hot stream is many groups
+    chunks = ticks(spark, sf).withColumn("chunk", F.explode(F.sequence(own, F.floor((F.col("epoch") + 899) / 3600))))
+    w = Window.partitionBy("stream_id", "chunk").orderBy("epoch").rangeBetween(-899, 0)
+    seen = chunks.select("stream_id", "epoch", "chunk", F.count("*").over(w).alias("n"), F.max("quote").over(w).alias("high"), F.min("quote").over(w).alias("low"))
+    return seen.where(F.col("chunk") == own).drop("chunk")
 
 
 @query(BARS_SQL + """ SELECT stream_id, t, max(n) OVER (PARTITION BY stream_id ORDER BY t ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS top FROM b""")
@@ -209,9 +219,11 @@ def ref_w19_alignment_votes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT pair, max(k) FILTER (k >= 10 AND acc >= 0.52) AS largest_k, round(max(acc) FILTER (k = 10), 6) AS acc_at_10 FROM r GROUP BY pair""")
 def ref_w20_top_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Largest k of the most confident rows whose accuracy meets a target."""
-    w = Window.partitionBy("pair").orderBy(F.desc(F.abs(F.col("p") - 0.5)), "row_id")
+    conf = F.abs(F.col("p") - 0.5)
     hit = (F.col("y") == (F.col("p") > 0.5).cast("int")).cast("int")
-    r = scored(spark, sf).select("pair", F.row_number().over(w).alias("k"), F.avg(hit).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("acc"))
+    order, shard = [F.desc("conf"), F.col("row_id")], F.floor((0.5 - F.col("conf")) * 200)
+    ranked = numbered(scored(spark, sf).withColumn("conf", conf).withColumn("hit", hit), order, shard, ["pair"], "k")
+    r = running_total(ranked, F.col("hit"), order, shard, ["pair"], "hits").select("pair", "k", (F.col("hits") / F.col("k")).alias("acc"))
     return r.groupBy("pair").agg(F.max(F.when((F.col("k") >= 10) & (F.col("acc") >= 0.52), F.col("k"))).cast("bigint").alias("largest_k"), F.round(F.max(F.when(F.col("k") == 10, F.col("acc"))), 6).alias("acc_at_10"))
 
 
@@ -219,8 +231,8 @@ def ref_w20_top_coverage(spark: SparkSession, sf: str) -> DataFrame:
 SELECT pair, g AS grp, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM (SELECT *, (SELECT max(k) FROM range(8) t(k) WHERE floor(k * n / 8) <= i)::INT AS g FROM r) GROUP BY ALL""")
 def ref_w22_contiguous_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Eight contiguous groups with edges floor(k n / 8)."""
-    w = Window.partitionBy("pair")
-    r = scored(spark, sf).withColumn("i", F.row_number().over(w.orderBy("ts", "row_id")) - 1).withColumn("n", F.count("*").over(w))
+    s = scored(spark, sf)
+    r = by_time(s).withColumn("i", F.col("nth") - 1).join(s.groupBy("pair").agg(F.count("*").alias("n")), "pair")
     grp = sum(((F.floor(F.col("n") * k / 8) <= F.col("i")).cast("int") for k in range(1, 8)), F.lit(0))
     return r.groupBy("pair", grp.alias("grp")).agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
 
@@ -261,8 +273,7 @@ def ref_proj03_row_keep(spark: SparkSession, sf: str) -> DataFrame:
 @query(SCORED_SQL + """ SELECT row_id FROM s QUALIFY (row_number() OVER (PARTITION BY pair ORDER BY ts, row_id) - 1) % 5 = 0""")
 def ref_proj04_stride(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth valid row per pair: systematic sampling."""
-    k = F.row_number().over(Window.partitionBy("pair").orderBy("ts", "row_id")) - 1
-    return scored(spark, sf).withColumn("k", k).where("k % 5 = 0").select("row_id")
+    return by_time(scored(spark, sf)).where("(nth - 1) % 5 = 0").select("row_id")
 
 
 @query(SCORED_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts, row_id) - 1 AS i, count(*) OVER (PARTITION BY pair) AS n FROM s),
@@ -270,8 +281,8 @@ pick AS (SELECT DISTINCT pair, CASE WHEN n <= 50 THEN k ELSE k * (n - 1) // 49 E
 SELECT row_id FROM r JOIN pick USING (pair, i)""")
 def ref_proj05_linspace_cap(spark: SparkSession, sf: str) -> DataFrame:
     """At most 50 rows per pair at evenly spaced positions, both ends included."""
-    w = Window.partitionBy("pair")
-    r = scored(spark, sf).withColumn("i", F.row_number().over(w.orderBy("ts", "row_id")) - 1).withColumn("n", F.count("*").over(w))
+    s = scored(spark, sf)
+    r = by_time(s).withColumn("i", F.col("nth") - 1).join(s.groupBy("pair").agg(F.count("*").alias("n")), "pair")
     # position i is picked if some k has floor(k (n-1) / 49) = i
     k = F.ceil(F.col("i") * 49 / (F.col("n") - 1))
     return r.where((F.col("n") <= 50) | (F.floor(k * (F.col("n") - 1) / 49) == F.col("i"))).select("row_id")
@@ -281,9 +292,8 @@ def ref_proj05_linspace_cap(spark: SparkSession, sf: str) -> DataFrame:
 SELECT stream_id, epoch, filled, age, coalesce(age <= 2, false)::INT AS fresh FROM l""")
 def ref_proj08_ffill_age(spark: SparkSession, sf: str) -> DataFrame:
     """Forward fill with the age of the value and a freshness flag."""
-    w = Window.partitionBy("stream_id").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("bid").isNotNull(), F.col("epoch")), ignorenulls=True).over(w)
-    l = ticks(spark, sf).select("stream_id", "epoch", F.last("bid", ignorenulls=True).over(w).alias("filled"), (F.col("epoch") - seen).alias("age"))  # noqa: E741
+    seen = carry_last(ticks(spark, sf), ["stream_id"], "epoch", [F.col("epoch")], F.when(F.col("bid").isNotNull(), F.struct("epoch", "bid")), "seen")
+    l = seen.select("stream_id", "epoch", F.col("seen.bid").alias("filled"), (F.col("epoch") - F.col("seen.epoch")).alias("age"))  # noqa: E741
     return l.withColumn("fresh", F.coalesce(F.col("age") <= 2, F.lit(False)).cast("int"))
 
 
