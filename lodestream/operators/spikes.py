@@ -26,6 +26,8 @@ SHARD_S, MARGIN_S = 14_400, 900
 LEVEL, MAX_STRAY = 5, 3
 #: Times the usual step beyond which a reading strays.
 STRAY_STEPS = 25.0
+#: Times the mean of the lower nine tenths beyond which a step is no normal movement.
+WILD = 14.0
 #: Readings of the running median that is the trend; seconds of a seasonal bucket.
 TREND, SEASON_S = 11, 1_800
 #: Residuals are counted in bins by the logarithm of their size over the shard's usual step.
@@ -55,12 +57,20 @@ def _running_median(values: np.ndarray, width: int) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(padded, width), axis=1)
 
 
+def _usual(steps: np.ndarray) -> np.ndarray:
+    """The steps of normal movement: all up to WILD times the mean of the lower nine tenths."""
+    if not len(steps):
+        return steps
+    base = steps[steps <= np.quantile(steps, 0.9)].mean()
+    return steps[steps <= (WILD * base if base > 0 else np.quantile(steps, 0.97))]
+
+
 def _strays(v: np.ndarray, step: float) -> list[tuple[int, int, float]]:
     """(start, length, deviation) of the excursions of at most MAX_STRAY readings.
 
     The deviation is the least distance of the readings from the level before and after them; the
     reading that follows must be nearer to the later level than half of that. Without readings
-    before (after), the level after (before) alone counts.
+    before (after), the level after (before) alone counts, if one step makes most of the deviation.
     """
     n, found, flagged = len(v), [], np.zeros(len(v), bool)
     jumps = np.flatnonzero(np.abs(np.diff(v)) > 4 * step) + 1
@@ -79,7 +89,10 @@ def _strays(v: np.ndarray, step: float) -> list[tuple[int, int, float]]:
             after = float(np.median(later)) if len(later) else None
             seg = v[i : i + length]
             dev = min(float(np.min(np.abs(seg - x))) for x in (before, after) if x is not None)
-            if dev > 4 * step and (after is None or abs(v[i + length] - after) < 0.5 * dev):
+            sudden = abs(v[i] - v[i - 1]) if after is None else abs(v[i + length] - v[i + length - 1])
+            if before is not None and after is not None:
+                sudden = dev
+            if dev > 4 * step and sudden >= 0.75 * dev and (after is None or abs(v[i + length] - after) < 0.5 * dev):
                 found.append((int(i), length, dev))
                 flagged[i : i + length] = True
                 break
@@ -104,7 +117,7 @@ def _shard_rows(shard: int, readings: pa.Table) -> list[dict]:
     if not core.any():
         return rows
     steps = np.abs(np.diff(v))
-    usual = steps[steps <= np.quantile(steps, 0.99)] if len(steps) else steps
+    usual = _usual(steps)
     step = float(usual.mean()) if len(usual) and usual.mean() > 0 else float(max(np.abs(np.median(v)) * 1e-9, 1e-300))
     season = ((epoch % 86_400) // SEASON_S).astype(int)
     resid = v - _running_median(v, TREND)
