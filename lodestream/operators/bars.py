@@ -11,13 +11,14 @@ from lodestream.operators.scan import carry_last, running_total, with_previous
 
 
 def keep_last(df: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
-    """Of rows with one key that with the largest seq (a map-side combined aggregate, no sort).
+    """Of rows with one key that with the largest seq: a map-side combined aggregate.
 
-    NULL keys are a key; of fully equal rows one stays; extra columns go along.
+    One max_by per column: numbers stay in a hash aggregate, and columns that nobody reads are
+    pruned. NULL keys are a key, rows without seq lose to all others and vanish if alone; of rows
+    with one seq either is kept whole.
     """
     rest = [c for c in df.columns if c not in key]
-    top = F.max(F.struct(F.col(seq).alias("_seq"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")))
-    return df.groupBy(*key).agg(top.alias("_top")).select(*key, "_top._row.*").select(*df.columns)
+    return df.groupBy(*key).agg(*[F.max_by(F.col(f"`{c}`"), F.col(seq)).alias(c) for c in rest]).where(F.col(seq).isNotNull()).select(*df.columns)
 
 
 def usable_ticks(ticks: DataFrame) -> DataFrame:
