@@ -22,10 +22,11 @@ def kept_readings(df: DataFrame, source: str, row_id: str, epoch: str, value: st
         F.col(source).alias("source_id"),
         F.floor(F.col(epoch) / JOIN_SHARD_S).alias("shard"),
         F.col(epoch).alias("epoch"),
-        F.struct(F.col(row_id).alias("id"), F.when(~F.isnan(value), F.col(value)).alias("value")).alias("r"),
+        F.col(row_id).alias("id"),
+        F.when(~F.isnan(value), F.col(value)).alias("value"),
     ).where(F.col("source_id").isNotNull() & F.col("epoch").isNotNull())
-    last = rows.groupBy("source_id", "shard", "epoch").agg(F.max("r").alias("r"))
-    return last.select("source_id", "shard", "epoch", F.col("r.value").alias("value"))
+    # numbers only: a hash aggregate, where a struct's maximum would be sorted
+    return rows.groupBy("source_id", "shard", "epoch").agg(F.max_by("value", "id").alias("value"))
 
 
 def session_slots(sessions: DataFrame) -> DataFrame:
