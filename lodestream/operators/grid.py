@@ -12,21 +12,30 @@ JOIN_SHARD_S = 3600
 SLOTS_PER_SHARD = 512
 
 
-def kept_readings(df: DataFrame, source: str, row_id: str, epoch: str, value: str) -> DataFrame:
-    """(source_id, shard, epoch, value): of each source and epoch the row with the largest id.
+def readings(df: DataFrame, source_table: str, source: str, row_id: str, epoch: str, value: str) -> DataFrame:
+    """(source_table, source_id, shard, epoch, id, value) of a table of readings, NaN as NULL.
 
-    NULL and NaN in `value` stay as NULL: such a row displaces an earlier one but has no value.
-    Rows without source or epoch belong to no series and give no row. Repeated rows give one.
+    Rows without source or epoch belong to no series and give no row.
     """
-    rows = df.select(
+    return df.select(
+        F.lit(source_table).alias("source_table"),
         F.col(source).alias("source_id"),
         F.floor(F.col(epoch) / JOIN_SHARD_S).alias("shard"),
         F.col(epoch).alias("epoch"),
         F.col(row_id).alias("id"),
         F.when(~F.isnan(value), F.col(value)).alias("value"),
     ).where(F.col("source_id").isNotNull() & F.col("epoch").isNotNull())
+
+
+def kept_readings(rows: DataFrame) -> DataFrame:
+    """Of each source and epoch of readings() the value of the row with the largest id.
+
+    A row without value displaces an earlier one and leaves NULL. Repeated rows give one. The rows
+    are placed by (source, shard) once, where the join with sessions needs them too.
+    """
+    placed = rows.repartition("source_table", "source_id", "shard")
     # numbers only: a hash aggregate, where a struct's maximum would be sorted
-    return rows.groupBy("source_id", "shard", "epoch").agg(F.max_by("value", "id").alias("value"))
+    return placed.groupBy("source_table", "source_id", "shard", "epoch").agg(F.max_by("value", "id").alias("value"))
 
 
 def session_slots(sessions: DataFrame) -> DataFrame:
@@ -42,10 +51,10 @@ def session_slots(sessions: DataFrame) -> DataFrame:
     )
 
 
-def regular_series(readings: DataFrame, sessions: DataFrame) -> DataFrame:
+def regular_series(kept: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row per slot of every complete session: value, and whether it was observed.
 
-    readings: source_table, source_id, shard, epoch, value (see kept_readings); sessions: see
+    kept: source_table, source_id, shard, epoch, value (see kept_readings); sessions: see
     session_slots. Result: source_table, source_id, open_epoch, slot_epoch, value, fill_kind,
     age_s. A slot's value is that of its last usable reading (`observed`); an empty slot takes the
     last reading before it in its session (`carried`, age_s tells from when), or, before the
@@ -58,7 +67,7 @@ def regular_series(readings: DataFrame, sessions: DataFrame) -> DataFrame:
             F.sequence(F.floor(F.col("open_epoch") / JOIN_SHARD_S), F.floor((F.col("close_epoch") - 1) / JOIN_SHARD_S))
         ),
     )
-    usable = readings.where(F.col("value").isNotNull())
+    usable = kept.where(F.col("value").isNotNull())
     inside = usable.join(pieces, ["source_table", "source_id", "shard"]).where(
         (F.col("epoch") >= F.col("open_epoch")) & (F.col("epoch") < F.col("close_epoch"))
     )

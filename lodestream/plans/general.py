@@ -10,10 +10,9 @@ from lodestream.runtime import table
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = grid.kept_readings(table(spark, sf_dir, "ticks"), "stream_id", "tick_id", "epoch", "quote")
-    closes = grid.kept_readings(table(spark, sf_dir, "observation_series"), "series_id", "obs_id", "timestamps_s", "closes")
-    readings = ticks.withColumn("source_table", F.lit("ticks")).unionByName(closes.withColumn("source_table", F.lit("observation_series")))
-    return grid.regular_series(readings, grid.session_slots(table(spark, sf_dir, "sessions")))
+    ticks = grid.readings(table(spark, sf_dir, "ticks"), "ticks", "stream_id", "tick_id", "epoch", "quote")
+    closes = grid.readings(table(spark, sf_dir, "observation_series"), "observation_series", "series_id", "obs_id", "timestamps_s", "closes")
+    return grid.regular_series(grid.kept_readings(ticks.unionByName(closes)), grid.session_slots(table(spark, sf_dir, "sessions")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,16 +107,15 @@ def test_overfitting_extremes():
 
 def test_grid_awkward(spark):
     ticks = spark.createDataFrame([(1, "s", 100, 1.0), (2, "s", 100, None), (3, "s", 115, 2.0), (3, "s", 115, 2.0), (4, "s", 131, float("nan")), (5, None, 120, 1.0), (6, "s", None, 1.0), (7, "u", 100, 1.0)], "id long, src string, t long, v double")
-    kept = grid.kept_readings(ticks, "src", "id", "t", "v")
-    from pyspark.sql import functions as F
+    kept = grid.kept_readings(grid.readings(ticks, "x", "src", "id", "t", "v"))
 
     s = spark.createDataFrame([("x", "s", 100, 150, 10, True), ("x", "s", 100, 150, 10, True), ("x", "s", 200, 210, 10, None), ("x", "none", 0, 20, 10, True), ("x", "bad", 20, 0, 10, True)], "source_table string, source_id string, open_epoch long, close_epoch long, grid_s int, complete boolean")
-    got = grid.regular_series(kept.withColumn("source_table", F.lit("x")), grid.session_slots(s)).orderBy("source_id", "slot_epoch").collect()
+    got = grid.regular_series(kept, grid.session_slots(s)).orderBy("source_id", "slot_epoch").collect()
     assert [(r["source_id"], r["slot_epoch"], r["value"], r["fill_kind"], r["age_s"]) for r in got] == [
         ("none", 0, None, "missing", None), ("none", 10, None, "missing", None),
         ("s", 100, 2.0, "leading", None), ("s", 110, 2.0, "observed", None), ("s", 120, 2.0, "carried", 5), ("s", 130, 2.0, "carried", 15), ("s", 140, 2.0, "carried", 25),
     ]
-    assert grid.regular_series(kept.limit(0).withColumn("source_table", F.lit("x")), grid.session_slots(s.limit(0))).count() == 0
+    assert grid.regular_series(kept.limit(0), grid.session_slots(s.limit(0))).count() == 0
 
 
 def walk(n, seed, step=1e-4):
