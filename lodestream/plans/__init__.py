@@ -1,9 +1,9 @@
 """Queries over the driver's tables, each with its SQL where SQL can express it."""
 
-from lodestream.plans import aggregates, evaluation, extras, features, general, joins, more, stores, streams, windows
+from lodestream.plans import aggregates, evaluation, extras, features, flagship, general, joins, more, stores, streams, windows
 
-MODULES = [general, aggregates, windows, joins, features, evaluation, stores, streams, extras, more]
-FLAGSHIP = general.p5_found
+MODULES = [flagship, general, aggregates, windows, joins, features, evaluation, stores, streams, extras, more]
+FLAGSHIP = flagship.ref_flagship
 
 
 def _of(module) -> tuple[dict, dict]:
