@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lodestream.operators.scan import running_total
 from lodestream.runtime import cut
 
-#: Shards in which a source's shuffled texts are added up, and slices of virtual time.
+#: Least shards in which a source's shuffled texts are added up, and least slices of virtual time.
 SHUFFLE_SHARDS, TIME_SLICES = 256, 512
+#: Documents beyond which there are more of both.
+SHARD_ROWS = 200_000
 
 
 def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +28,8 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFr
     unknown source is never drawn, a share of 0 or below neither. Without documents all are 0.
     """
     sized = cut(docs.where("source IS NOT NULL").select("doc_id", "source", "text_key", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
-    budget = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    budget, n = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    shards, slices = max(SHUFFLE_SHARDS, n // SHARD_ROWS), max(TIME_SLICES, n // SHARD_ROWS)
     goals = targets.where("source_name IS NOT NULL").groupBy("source_name").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     texts = (
         sized.join(goals, sized["source"] == goals["source_name"])
@@ -36,12 +39,13 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFr
     offers = texts.where("target_share > 0 AND max_repeats > 0 AND n_tokens > 0").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
     draw = F.xxhash64(F.lit(seed), F.col("repeat"), F.col("doc_id"))
     offers = cut(offers.withColumn("draw", draw))
-    place = F.col("repeat") * SHUFFLE_SHARDS + F.shiftrightunsigned("draw", 56)
-    queue = running_total(offers, F.col("n_tokens"), [F.shiftrightunsigned("draw", 1), F.col("doc_id")], place, ["source_name"], "own_tokens")
+    at = F.shiftrightunsigned("draw", 1)  # the place in the shuffled order, in [0, 2^63)
+    place = F.col("repeat") * shards + F.floor(at / 2.0**63 * shards)
+    queue = running_total(offers, F.col("n_tokens"), [at, F.col("doc_id")], place, ["source_name"], "own_tokens")
     finish = F.col("own_tokens") / F.col("target_share")
     queue = cut(queue.withColumn("finish", finish))
     horizon = queue.agg(F.coalesce(F.max("finish"), F.lit(1.0))).first()[0]
-    slice_no = F.floor(F.col("finish") / horizon * (TIME_SLICES - 1))
+    slice_no = F.floor(F.col("finish") / horizon * (slices - 1))
     spent = running_total(queue, F.col("n_tokens"), [F.col("finish"), F.col("source_name"), F.col("doc_id"), F.col("repeat")], slice_no, out="spent")
     chosen = cut(spent.where(F.col("spent") <= budget).select("doc_id", "source_name", "repeat", "n_tokens"))
     supply = offers.groupBy("source_name").agg(F.sum("n_tokens").alias("offered_tokens"))

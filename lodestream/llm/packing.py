@@ -19,8 +19,10 @@ MAX_ITEMS, MAX_PATTERNS = 48, 640
 LEAST_FILL = 0.99
 #: Relative misfit of the histogram at which fitting ends.
 MISFIT = 1e-4
-#: Shards in which the items of a class are numbered, and the items of one residual packing.
+#: Least shards in which the items of a class are numbered, and the items of one residual packing.
 RANK_SHARDS, RESIDUAL_ITEMS = 64, 20_000
+#: Items beyond which a shard of the numbering is split further.
+SHARD_ROWS = 500_000
 
 
 def best_pattern(gain: np.ndarray, capacity: int, max_items: int) -> np.ndarray:
@@ -166,7 +168,8 @@ def pack(docs: DataFrame, capacity: int) -> DataFrame:
             upto[c] += n
     spark = docs.sparkSession
     owned = F.broadcast(spark.createDataFrame(ranges, "class int, low bigint, high bigint, each bigint, pattern int"))  # <= CLASSES * MAX_ITEMS rows
-    shard = F.pmod(F.xxhash64("doc_id", "part"), F.lit(RANK_SHARDS))
+    ranks = max(RANK_SHARDS, int(histogram.sum()) // SHARD_ROWS)
+    shard = F.pmod(F.xxhash64("doc_id", "part"), F.lit(ranks))
     numbered = running_total(items, F.lit(1), [F.col("doc_id"), F.col("part")], shard, ["class"], "nth").withColumn("nth", F.col("nth") - 1)
     placed = cut(
         numbered.join(owned, (numbered["class"] == owned["class"]) & (F.col("nth") >= F.col("low")) & (F.col("nth") < F.col("high")), "left")
