@@ -29,10 +29,12 @@ def nonoverlap_chrono(df: DataFrame, key: list[str], ts: str, row_id: str, gap:
 
     A row exactly `gap` later is taken; of rows at one time the smallest row_id. Rows fall into
     islands where the distance to the row before is at least `gap`; every island starts with a pick
-    whatever came before, so islands are picked on their own, in parallel, also within one key. NULL
-    keys are a key, NULL times are never picked.
+    whatever came before, so islands are picked on their own, in parallel, also within one key. Of
+    rows at one time only one can be picked, so an island holds no more rows than it has distinct
+    times. NULL keys are a key, NULL times are never picked; gap must be positive.
     """
-    rows = islands(df.where(F.col(ts).isNotNull()).select(*key, ts, row_id), key, ts, row_id, gap)
+    times = df.where(F.col(ts).isNotNull()).groupBy(*key, ts).agg(F.min(row_id).alias(row_id))
+    rows = islands(times, key, ts, row_id, gap)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key, ts, row_id).schema)
 
     def pick(island: pa.Table) -> pa.Table:

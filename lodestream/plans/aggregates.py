@@ -198,8 +198,9 @@ def ref_a19_group_zscore(spark: SparkSession, sf: str) -> DataFrame:
 SELECT stream_id, count(*) AS n, min(gap) AS min_gap, count(*) FILTER (gap < 60) AS n_close FROM d GROUP BY 1""")
 def ref_a20_overlap_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Smallest gap between decisions of a stream, and how many are closer than a minute."""
-    w = Window.partitionBy("stream_id").orderBy("decision_close_epoch", "decision_id")
-    d = table(spark, sf, "decisions").withColumn("gap", F.col("decision_close_epoch") - F.lag("decision_close_epoch").over(w))
+    at = "decision_close_epoch"
+    d = with_previous(table(spark, sf, "decisions").select("stream_id", at, "decision_id"), ["stream_id"], at, [F.col(at), F.col("decision_id")], [at])
+    d = d.withColumn("gap", F.col(at) - F.col(f"prev.{at}"))
     return d.groupBy("stream_id").agg(F.count("*").alias("n"), F.min("gap").alias("min_gap"), F.count(F.when(F.col("gap") < 60, 1)).alias("n_close"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators.bars import keep_last
+from lodestream.operators.scan import with_previous
 from lodestream.plans.base import Registry
 from lodestream.runtime import shared_path, table
 from lodestream.streaming import market as M
@@ -60,11 +61,9 @@ def ref_t10_latest_state(spark: SparkSession, sf: str) -> DataFrame:
 SELECT g.stream_id, count(*) AS n_seconds, max(gap) AS max_gap, count(*) FILTER (gap > 30) AS n_gaps, round(any_value(p95), 3) AS lag_p95, round(any_value(worst), 3) AS lag_max FROM g JOIN l USING (stream_id) GROUP BY 1""")
 def ref_t09_quality_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Coverage, gaps and arrival lag per stream."""
-    from pyspark.sql import Window
-
     t = table(spark, sf, "ticks")
-    w = Window.partitionBy("stream_id").orderBy("epoch")
-    g = t.select("stream_id", "epoch").distinct().withColumn("gap", F.col("epoch") - F.lag("epoch").over(w))
+    g = with_previous(t.select("stream_id", "epoch").distinct(), ["stream_id"], "epoch", [F.col("epoch")], ["epoch"])
+    g = g.withColumn("gap", F.col("epoch") - F.col("prev.epoch"))
     seen = g.groupBy("stream_id").agg(F.count("*").alias("n_seconds"), F.max("gap").alias("max_gap"), F.count(F.when(F.col("gap") > 30, 1)).alias("n_gaps"))
     lag = F.unix_micros(F.col("received_at").cast("timestamp")) / 1e6 - F.col("epoch")
     late = t.groupBy("stream_id").agg(F.round(F.percentile(lag, 0.95), 3).alias("lag_p95"), F.round(F.max(lag), 3).alias("lag_max"))

@@ -248,8 +248,12 @@ def ref_w23_delay_embedding(spark: SparkSession, sf: str) -> DataFrame:
 @query(SCORED_SQL + """ SELECT row_id, CASE WHEN count(*) OVER w >= 20 THEN round(avg(y) OVER w, 6) ELSE 0.5 END AS base FROM s WINDOW w AS (PARTITION BY pair ORDER BY ts RANGE BETWEEN 432000 PRECEDING AND 3600 PRECEDING)""")
 def ref_w24_trailing_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Up rate of five days up to an hour ago, 0.5 without support."""
-    w = Window.partitionBy("pair").orderBy("ts").rangeBetween(-432000, -3600)
-    return scored(spark, sf).select("row_id", F.when(F.count("*").over(w) >= 20, F.round(F.avg("y").over(w), 6)).otherwise(0.5).alias("base"))
+    own = F.floor(F.col("ts") / 1_728_000)
+    # chunks of twenty days that also read the five days before them
+    chunks = scored(spark, sf).withColumn("chunk", F.explode(F.sequence(own, F.floor((F.col("ts") + 432_000) / 1_728_000))))
+    w = Window.partitionBy("pair", "chunk").orderBy("ts").rangeBetween(-432000, -3600)
+    base = F.when(F.count("*").over(w) >= 20, F.round(F.avg("y").over(w), 6)).otherwise(0.5)
+    return chunks.withColumn("base", base).where(F.col("chunk") == own).select("row_id", "base")
 
 
 @query(RET_SQL + f""" SELECT stream_id, t, round((r - {rolled('avg(r)', 'r', 20, -1)}) / ({rolled('stddev_samp(r)', 'r', 20, -1)} + 1e-6), 4) AS z FROM r""")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.bars import keep_last
+from lodestream.operators.scan import with_previous
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -38,8 +39,8 @@ def store_health(bars: DataFrame, key: str, ts: str, step: int, now: int, stale_
     The open bar (ts + step > now) is left out of everything.
     """
     closed = bars.where(F.col(ts) + step <= now)
-    w = Window.partitionBy(key).orderBy(ts)
-    times = closed.groupBy(key, ts).agg(F.count("*").alias("copies")).withColumn("gap", F.col(ts) - F.lag(ts).over(w))
+    times = with_previous(closed.groupBy(key, ts).agg(F.count("*").alias("copies")), [key], ts, [F.col(ts)], [ts])
+    times = times.withColumn("gap", F.col(ts) - F.col(f"prev.{ts}"))
     stale = F.lit(now) - F.max(ts) - step
     h = times.groupBy(key).agg(
         F.sum("copies").alias("n_rows"), stale.alias("stale_s"), (F.sum("copies") - F.count("*")).alias("duplicates"),

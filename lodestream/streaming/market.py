@@ -18,7 +18,8 @@ def monotone_filter(stream: DataFrame, key: str, epoch: str, seq: str) -> DataFr
     rows of the same micro-batch and key were dropped just before each.
 
     Arrival order is seq within a micro-batch and the order of batches beyond; one number per key is
-    kept as state.
+    kept as state. A key's rows of one micro-batch are held at once: bound them by the source's
+    maxFilesPerTrigger or its like.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,7 @@ def test_against_sql(spark, small, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(SQL)))
-def test_without_sql(spark, small, name):
-    df = plans.queries()[name](spark, small)
+def test_without_sql(spark, name):
+    df = plans.queries()[name](spark, "/root/testdata/sf0.01")
     assert df.count() > 0
     assert all(kind != "void" for _, kind in df.dtypes)
