@@ -3,8 +3,10 @@ summary row per shard, so that no group of rows has to pass through one task."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,49 @@ def carry_last(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Colu
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Column], columns: Sequence[str], out: str = "prev", chunk_s: int = 3_600) -> DataFrame:
     """df with a struct of the columns of the row before each row, NULL for a key's first row."""
     return _carried(df, keys, ts, order, F.struct(*columns), out, chunk_s, -1)
+
+
+def clipped_levels(df: DataFrame, key: str, ts: str, order: Sequence[str], shift: Column, low: Column, high: Column, start: float | None, before: bool, out: str = "level", block_s: int = 86_400) -> DataFrame:
+    """(key, *order, out): the level after each row, or before it, of level = min(high, max(low, level + shift)).
+
+    The level is carried through a key's whole series. Such moves compose to one of their kind, so
+    every block of time is summed up on its own, the starts are found from one row per block, and
+    the blocks are replayed from there. order must begin with ts and settle ties. start None means
+    the middle of the first row's bounds. Rows with NULL key or time are left out.
+    """
+    kind = {name: field.dataType.simpleString() for name, field in ((f.name, f) for f in df.schema)}
+    rows = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        key, *order, shift.cast("double").alias("_shift"), low.cast("double").alias("_low"), high.cast("double").alias("_high"), F.floor(F.col(ts) / block_s).alias("_block")
+    )
+
+    def moves(block: pa.Table) -> tuple[pa.Table, list[tuple[float, float, float]]]:
+        block = block.sort_by([(c, "ascending") for c in order])
+        return block, list(zip(*(block[c].to_pylist() for c in ("_shift", "_low", "_high"))))
+
+    def sum_up(block: pa.Table) -> pa.Table:
+        block, steps = moves(block)
+        total, least, most = 0.0, -math.inf, math.inf
+        for s, a, b in steps:
+            total, least, most = total + s, min(b, max(a, least + s)), min(b, max(a, most + s))
+        first = (steps[0][1] + steps[0][2]) / 2
+        return pa.table({key: block[key][:1], "_block": block["_block"][:1], "_total": [total], "_least": [least], "_most": [most], "_first": [first]})
+
+    def starts(blocks: pa.Table) -> pa.Table:
+        blocks = blocks.sort_by("_block")
+        level, found = blocks["_first"][0].as_py() if start is None else start, []
+        for s, a, b in zip(*(blocks[c].to_pylist() for c in ("_total", "_least", "_most"))):
+            found.append(level)
+            level = min(b, max(a, level + s))
+        return pa.table({key: blocks[key], "_block": blocks["_block"], "_start": pa.array(found, pa.float64())})
+
+    def replay(block: pa.Table) -> pa.Table:
+        block, steps = moves(block)
+        level, levels = block["_start"][0].as_py(), []
+        for s, a, b in steps:
+            was, level = level, min(b, max(a, level + s))
+            levels.append(was if before else level)
+        return block.select([key, *order]).append_column(out, pa.array(levels, pa.float64()))
+
+    sums = rows.groupBy(key, "_block").applyInArrow(sum_up, f"{key} {kind[key]}, _block bigint, _total double, _least double, _most double, _first double")
+    begun = sums.groupBy(key).applyInArrow(starts, f"{key} {kind[key]}, _block bigint, _start double")
+    return rows.join(begun, [key, "_block"]).groupBy(key, "_block").applyInArrow(replay, ", ".join(f"{c} {kind[c]}" for c in (key, *order)) + f", {out} double")

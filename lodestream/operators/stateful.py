@@ -1,8 +1,9 @@
-"""Features that a recursion or a matrix decomposition defines: run per key and block of time.
+"""Features that a recursion or a matrix decomposition defines: run per key and block.
 
 Every block reads a warm-up of earlier rows beside its own, so a key's rows are never in one task.
-For the recursions here the influence of older rows falls geometrically and is gone to double
-precision after the warm-up.
+by_blocks warms up over a time, for recursions in which the influence of older rows falls
+geometrically with every row; by_rows over a number of rows, for windows of fixed width. The play
+operator forgets nothing by itself: its state is carried (scan.clipped_levels).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.scan import clipped_levels, numbered
+
 
 def by_blocks(df: DataFrame, key: str, ts: str, value: str, block_s: int, warmup_s: int, function: Callable[[np.ndarray], dict[str, np.ndarray]], out: list[str]) -> DataFrame:
     """(key, ts, *out): function over each block of a key's time-ordered values with its warm-up.
@@ -37,6 +40,28 @@ def by_blocks(df: DataFrame, key: str, ts: str, value: str, block_s: int, warmup
     return rows.groupBy(key, "_block").applyInArrow(run, f"{key} string, {ts} {kind}, " + ", ".join(f"{c} double" for c in out))
 
 
+def by_rows(df: DataFrame, key: str, ts: str, value: str, block: int, warmup: int, function: Callable[[np.ndarray], dict[str, np.ndarray]], out: list[str]) -> DataFrame:
+    """(key, ts, *out): function over blocks of `block` rows of a key, each with the `warmup` rows before it.
+
+    A function of the last warmup + 1 rows gives the same as over the whole series, however far the
+    rows lie apart. Rows with NULL key, time or value are left out; times must not repeat.
+    """
+    some = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(value).isNotNull()).select(key, ts, F.col(value).cast("double").alias("_v"))
+    nth = numbered(some, [F.col(ts)], F.floor(F.col(ts) / 86_400), [key], "_nth").withColumn("_nth", F.col("_nth") - 1)
+    last = nth.groupBy(key).agg(F.floor(F.max("_nth") / block).alias("_last"))
+    until = F.least(F.floor((F.col("_nth") + warmup) / block), F.col("_last"))
+    rows = nth.join(last, key).withColumn("_block", F.explode(F.sequence(F.floor(F.col("_nth") / block), until)))
+    kind = df.schema[ts].dataType.simpleString()
+
+    def run(group_key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_nth")
+        keep = rows["_nth"].to_numpy() // block == group_key[1].as_py()
+        made = function(rows["_v"].to_numpy())
+        return pa.table([rows[key].filter(pa.array(keep)), rows[ts].filter(pa.array(keep))] + [pa.array(np.asarray(made[c], float)[keep], from_pandas=True) for c in out], names=[key, ts, *out])
+
+    return rows.groupBy(key, "_block").applyInArrow(run, f"{key} string, {ts} {kind}, " + ", ".join(f"{c} double" for c in out))
+
+
 def local_trend(v: np.ndarray, level_gain: float = 0.2, slope_gain: float = 0.02) -> dict[str, np.ndarray]:
     """Steady-gain Kalman filter of a local linear trend: slope and innovation."""
     slope, innovation = np.zeros(len(v)), np.zeros(len(v))
@@ -63,12 +88,20 @@ def two_state_filter(v: np.ndarray, stay: float = 0.98, ratio: float = 3.0) -> d
     return {"wild": out}
 
 
-def fractional_difference(v: np.ndarray, d: float = 0.4, cutoff: float = 1e-4) -> dict[str, np.ndarray]:
-    """Fixed-width fractional difference: weights w_k = -w_(k-1) (d - k + 1) / k down to the cutoff."""
+def fractional_weights(d: float = 0.4, cutoff: float = 1e-5, most: int = 10_000) -> np.ndarray:
+    """Weights of the newest to the oldest value: w_k = -w_(k-1) (d - k + 1) / k, down to the cutoff."""
     weights = [1.0]
-    while abs(weights[-1]) > cutoff and len(weights) < 512:
-        weights.append(-weights[-1] * (d - len(weights) + 1) / len(weights))
-    w = np.array(weights[:-1] if len(weights) > 1 else weights)
+    while len(weights) < most:
+        w = -weights[-1] * (d - len(weights) + 1) / len(weights)
+        if abs(w) < cutoff:
+            break
+        weights.append(w)
+    return np.array(weights)
+
+
+def fractional_difference(v: np.ndarray, d: float = 0.4, cutoff: float = 1e-5) -> dict[str, np.ndarray]:
+    """Fixed-width fractional difference; no value for rows with fewer earlier ones than weights."""
+    w = fractional_weights(d, cutoff)
     out = np.full(len(v), np.nan)
     if len(v) >= len(w):
         out[len(w) - 1 :] = np.convolve(v, w, mode="valid")
@@ -98,10 +131,7 @@ def rescaled_range(v: np.ndarray, window: int = 64) -> dict[str, np.ndarray]:
     return {"hurst": out}
 
 
-def hysteresis(v: np.ndarray, width: float = 2.0) -> dict[str, np.ndarray]:
-    """Play operator: a band of the given width that is pushed along by the value."""
-    centre, out = (v[0] if len(v) else 0.0), np.zeros(len(v))
-    for i, x in enumerate(v):
-        centre = min(max(centre, x - width), x + width)
-        out[i] = centre
-    return {"play": out}
+def hysteresis(df: DataFrame, key: str, ts: str, value: str, width: float = 2.0, block_s: int = 86_400) -> DataFrame:
+    """(key, ts, play): play operator, a band of the given width that the value pushes along from the key's first on."""
+    v = F.col(value)
+    return clipped_levels(df.where(v.isNotNull()), key, ts, [ts], F.lit(0.0), v - width, v + width, None, False, "play", block_s)

@@ -290,8 +290,9 @@ def ref_f18_kalman(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ref_f20_fractional_difference(spark: SparkSession, sf: str) -> DataFrame:
-    """Fixed-width fractional difference."""
-    return _blocks(spark, sf, S.fractional_difference, ["ffd"])
+    """Fixed-width fractional difference over all weights of at least 1e-5."""
+    rows = indexed(spark, sf).select("stream_id", "t", "p")
+    return S.by_rows(rows, "stream_id", "t", "p", 4_096, len(S.fractional_weights()) - 1, S.fractional_difference, ["ffd"])
 
 
 @query()
@@ -302,8 +303,8 @@ def ref_f22_two_state_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ref_f27_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
-    """Play operator."""
-    return _blocks(spark, sf, S.hysteresis, ["play"])
+    """Play operator, carried through the whole stream."""
+    return S.hysteresis(indexed(spark, sf).select("stream_id", "t", "p"), "stream_id", "t", "p")
 
 
 @query()

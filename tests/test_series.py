@@ -157,6 +157,29 @@ def test_block_recursions_do_not_see_the_block(spark):
     assert np.allclose(w[1:], np.diff(v))
 
 
+def test_fractional_difference_has_all_weights(spark):
+    w = [1.0]
+    while abs(nxt := -w[-1] * (0.4 - len(w) + 1) / len(w)) >= 1e-5:
+        w.append(nxt)
+    assert len(w) == len(stateful.fractional_weights()) == 1458
+    v = walk(2_000, 3, 0.5)
+    df = spark.createDataFrame([("a", 180 * i, float(x)) for i, x in enumerate(v)], "key string, t long, v double")  # 480 rows a day
+    got = stateful.by_rows(df, "key", "t", "v", 256, 1457, stateful.fractional_difference, ["ffd"]).toPandas().sort_values("t")["ffd"].to_numpy()
+    want = [math.nan if i < 1457 else float(np.dot(w, v[i - 1457 : i + 1][::-1])) for i in range(2_000)]
+    assert np.allclose(got, want, atol=1e-9, equal_nan=True)
+
+
+def test_play_is_carried_over_days(spark):
+    """A move of more than the width on the first day stays in the state for weeks of small moves."""
+    v = [0.0, 9.0] + [5.5 + 0.5 * (i % 3) for i in range(400)]
+    df = spark.createDataFrame([("a", 7_200 * i, x) for i, x in enumerate(v)], "key string, t long, v double")
+    centre, want = v[0], []
+    for x in v:
+        centre = min(max(centre, x - 2), x + 2)
+        want.append(centre)
+    assert np.allclose(stateful.hysteresis(df, "key", "t", "v").toPandas().sort_values("t")["play"], want)
+
+
 def test_causality(spark):
     """Changing the tail leaves the head's features as they were."""
     v = walk(400, 5)
