@@ -81,16 +81,14 @@ def ref_f36_intensity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ref_f19_market_residuals(spark: SparkSession, sf: str) -> DataFrame:
-    """Residuals beyond the components above the random-matrix edge, per six-hour block of seven pairs."""
-    r = returns(spark, sf).where("stream_id LIKE '%:alder' AND r IS NOT NULL").select("stream_id", "t", "r", F.floor(F.col("t") / 21_600).alias("block"))
-
-    def run(block: pa.Table) -> pa.Table:
-        f = block.to_pandas().pivot_table(index="t", columns="stream_id", values="r").dropna()
-        out = P.market_residuals(f.to_numpy()) if f.shape[0] > f.shape[1] else np.zeros((0, f.shape[1]))
-        index = f.index.to_numpy()[: len(out)]
-        return pa.table({"stream_id": pa.array(list(f.columns) * len(out), pa.string()), "t": pa.array(np.repeat(index, f.shape[1]), pa.int64()), "resid": pa.array(out.ravel(), pa.float64())})
-
-    return r.groupBy("block").applyInArrow(run, "stream_id string, t bigint, resid double")
+    """Residuals beyond the components above the random-matrix edge of each venue's dollar-signed returns.
+
+    Refitted every 60 minutes of the venue's grid on the 2,880 strictly before, on which a missing
+    or wild return is 0; NULL for the first 2,880.
+    """
+    sign = F.when(F.col("stream_id").startswith("USD"), -1).otherwise(1)
+    r = returns(spark, sf).select("stream_id", "t", F.split_part("stream_id", F.lit(":"), F.lit(2)).alias("venue"), (sign * F.log1p(F.col("r") / 10_000)).alias("r"))
+    return P.residuals_by_chunks(r, "venue", "stream_id", "t", "r").select("stream_id", "t", "resid")
 
 
 @query(SCORED_SQL + """, m AS (SELECT pair, median(fwd_ret) AS md, avg(fwd_ret) AS mu, stddev_samp(fwd_ret) AS sd FROM s WHERE row_id % 2 = 0 GROUP BY 1) SELECT row_id, round(greatest(least((fwd_ret - mu) / nullif(sd, 0), 5), -5), 5) AS z FROM s JOIN m USING (pair)""")

@@ -47,6 +47,32 @@ def test_residuals_and_surrogates():
     assert policies.adaptive_gate([1, 0]).tolist() == pytest.approx([0.1, 0.055])
 
 
+def test_trailing_residuals_by_chunks(spark):
+    """Against the plain walk: fits look at earlier minutes only, a missing return is 0, every minute and group counts."""
+    rng = np.random.default_rng(4)
+    n, k, train, step = 700, 5, 120, 10
+    times = np.cumsum(rng.integers(1, 900, n)) * 60
+    wide = rng.normal(size=(n, 1)) + 0.5 * rng.normal(size=(n, k))
+    there = rng.random((n, k)) < 0.8
+    there[:, 0] = True
+    rows = [(g, f"{g}{j}", int(times[i]), float(wide[i, j])) for g in "ab" for i in range(n) for j in range(k) if there[i, j]]
+    df = spark.createDataFrame(rows, "venue string, id string, t long, r double")
+    got = {(r["id"], r["t"]): r["resid"] for r in policies.residuals_by_chunks(df, "venue", "id", "t", "r", train, step).collect()}
+    x = np.where(there, wide, 0.0)
+    assert len(got) == 2 * n * k
+    for a in range(0, n, step):
+        if a >= train:
+            past = x[a - train : a]
+            values, vectors = np.linalg.eigh(np.corrcoef(past, rowvar=False))
+            keep = vectors[:, values > (1 + np.sqrt(k / train)) ** 2]
+            z = x[a : a + step] / past.std(axis=0)
+            want = z - z @ keep @ keep.T
+        for i in range(a, min(a + step, n)):
+            for j in range(k):
+                mine = [got[f"{g}{j}", int(times[i])] for g in "ab"]
+                assert mine == [None, None] if a < train else np.allclose(mine, want[i - a, j], atol=1e-8)
+
+
 def test_illegal_moves(spark):
     log = spark.createDataFrame([(1, 0, "new"), (1, 1, "claimed"), (1, 2, "sent"), (1, 3, "settled"), (2, 0, "claimed"), (3, 0, "new"), (3, 1, "sent"), (4, 0, None)], "s long, n long, st string")
     assert sorted((r["s"], r["n"]) for r in policies.illegal_moves(log, "s", "n", "st").collect()) == [(2, 0), (3, 1), (4, 0)]
