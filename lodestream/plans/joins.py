@@ -32,6 +32,18 @@ def ref_j01_aligned_closes(spark: SparkSession, sf: str) -> DataFrame:
     return pivot.select("t", *[F.col(f"`{k}`").alias(v) for k, v in names.items()]).dropna()
 
 
+_PAIRS = ["EURUSD", "GBPUSD", "AUDUSD", "NZDUSD", "USDJPY", "USDCHF", "USDCAD"]
+
+
+@query(BARS_SQL + ", v AS (SELECT t, " + ", ".join(f"max(close) FILTER (stream_id = '{p}:alder') AS {p.lower()}" for p in _PAIRS) + " FROM b GROUP BY t) SELECT * FROM v WHERE " + " AND ".join(f"{p.lower()} IS NOT NULL" for p in _PAIRS))
+def ref_j01_seven_closes(spark: SparkSession, sf: str) -> DataFrame:
+    """Closes of all seven pairs at the times that all of them have: one pivot, no join."""
+    names = {f"{p}:alder": p.lower() for p in _PAIRS}
+    b = minute_bars(spark, sf).where(F.col("stream_id").isin(list(names)))
+    pivot = b.groupBy("t").pivot("stream_id", list(names)).agg(F.max("close"))
+    return pivot.select("t", *[F.col(f"`{k}`").alias(v) for k, v in names.items()]).dropna()
+
+
 @query(RET_SQL + """, x AS (SELECT t, avg(r) AS factor, count(r) AS n_streams FROM r GROUP BY t) SELECT stream_id, r.t, round(r, 6) AS r, round(factor, 6) AS factor, n_streams FROM r LEFT JOIN x USING (t)""")
 def ref_j02_feature_block(spark: SparkSession, sf: str) -> DataFrame:
     """A feature block joined on time, overlapping columns left out."""

@@ -83,3 +83,11 @@ def ref_x30_shard_pruning(spark: SparkSession, sf: str) -> DataFrame:
     wanted = table(spark, sf, "decisions").where("decision_id % 50 = 0").select((F.col("decision_close_epoch") - 300).alias("start"), F.col("decision_close_epoch").alias("stop"))
     index = table(spark, sf, "sessions").select("source_table", "source_id", "open_epoch", "close_epoch")
     return stores.prune_shards(index, wanted, "open_epoch", "close_epoch")
+
+
+@query("""SELECT source_table, source_id, open_epoch, close_epoch FROM sessions s WHERE EXISTS (SELECT 1 FROM decisions d WHERE d.decision_close_epoch - 300 <= s.close_epoch AND d.decision_close_epoch >= s.open_epoch) GROUP BY ALL""")
+def ref_x30_all_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions as shards: those that overlap the interval before any decision."""
+    wanted = table(spark, sf, "decisions").select((F.col("decision_close_epoch") - 300).alias("start"), F.col("decision_close_epoch").alias("stop"))
+    index = table(spark, sf, "sessions").select("source_table", "source_id", "open_epoch", "close_epoch")
+    return stores.prune_shards(index, wanted, "open_epoch", "close_epoch")

@@ -18,3 +18,17 @@ def test_without_sql(spark, name):
     df = plans.queries()[name](spark, "/root/testdata/sf0.01")
     assert df.count() > 0
     assert all(kind != "void" for _, kind in df.dtypes)
+
+
+def test_seven_closes_and_all_decisions(spark):
+    """Whole jobs: all seven pairs are aligned, and every decision's sessions are kept."""
+    sf = "/root/testdata/sf0.01"
+    closes = plans.queries()["ref_j01_seven_closes"](spark, sf)
+    assert sorted(closes.columns) == ["audusd", "eurusd", "gbpusd", "nzdusd", "t", "usdcad", "usdchf", "usdjpy"]
+    assert 0 < closes.count() < plans.queries()["ref_j01_aligned_closes"](spark, sf).count()
+    check(spark, sf, plans.queries()["ref_j01_seven_closes"], SQL["ref_j01_seven_closes"])
+    check(spark, sf, plans.queries()["ref_x30_all_decisions"], SQL["ref_x30_all_decisions"])
+    asked = {tuple(r) for r in spark.read.parquet(f"{sf}/decisions.parquet").where("decision_close_epoch IS NOT NULL").select("decision_close_epoch").distinct().collect()}
+    kept = {tuple(r) for r in plans.queries()["ref_x30_all_decisions"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/sessions.parquet").select("source_table", "source_id", "open_epoch", "close_epoch").collect():
+        assert (tuple(r) in kept) == any(t - 300 <= r.close_epoch and t >= r.open_epoch for (t,) in asked)
