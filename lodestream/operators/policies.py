@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.operators.scan import numbered
+from lodestream.operators.scan import clipped_levels, numbered, running_total
 
 
 def policy_replay(df: DataFrame, key: str, close: str, edge: str, row_id: str, pair: str, sign: str, hold_s: int, cap: int) -> DataFrame:
@@ -48,14 +48,25 @@ def adaptive_gate(errors: Iterable[int], target: float = 0.1, rate: float = 0.05
     return np.array(out)
 
 
-def gate_by_day(df: DataFrame, key: str, ts: str, row_id: str, error: str) -> DataFrame:
-    """(row_id, level): adaptive_gate over each key's day; the level starts anew each day."""
+def gate(df: DataFrame, key: str, ts: str, row_id: str, error: str, target: float = 0.1, rate: float = 0.05, start: float = 0.1) -> DataFrame:
+    """(row_id, level): adaptive_gate over each key's whole series, carried over the borders of days."""
+    levels = clipped_levels(df.where(F.col(error).isNotNull()), key, ts, [ts, row_id], rate * (target - F.col(error)), F.lit(0.0), F.lit(1.0), start, True)
+    return levels.select(row_id, "level")
 
-    def run(day: pa.Table) -> pa.Table:
-        order = np.lexsort((day[row_id].to_numpy(), day[ts].to_numpy()))
-        return pa.table({"row_id": day[row_id].to_numpy()[order], "level": adaptive_gate(day[error].to_numpy()[order])})
 
-    return df.withColumn("_day", F.floor(F.col(ts) / 86_400)).groupBy(key, "_day").applyInArrow(run, "row_id bigint, level double")
+def hedge(df: DataFrame, key: str, ts: str, row_id: str, y: str, experts: list[str], eta: float) -> DataFrame:
+    """(row_id, blend): the experts' scores weighted by exp(-eta squared losses) of a key's strictly earlier rows.
+
+    Rows are ordered by (ts, row_id). Rows with NULL key, time, outcome or score are left out.
+    """
+    rows = df.select(key, ts, row_id, y, *experts).dropna()
+    for e in experts:
+        rows = running_total(rows, (F.col(e) - F.col(y)) ** 2, [F.col(ts), F.col(row_id)], F.floor(F.col(ts) / 86_400), [key], f"_lost_{e}")
+    lost = [F.col(f"_lost_{e}") - (F.col(e) - F.col(y)) ** 2 for e in experts]
+    least = F.least(*lost) if len(lost) > 1 else lost[0]
+    weights = [F.exp(-eta * (x - least)) for x in lost]
+    total = sum(weights[1:], weights[0])
+    return rows.select(row_id, (sum((w * F.col(e) for w, e in zip(weights[1:], experts[1:])), weights[0] * F.col(experts[0])) / total).alias("blend"))
 
 
 #: The legal moves of a signal.

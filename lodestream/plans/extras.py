@@ -262,9 +262,17 @@ def ref_e18_surrogate_null(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ref_e20_adaptive_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Adaptive conformal level per pair and day."""
+    """Adaptive conformal level of each pair, carried through the whole series."""
     s = scored(spark, sf).withColumn("error", 1 - won().cast("int"))
-    return P.gate_by_day(s, "pair", "ts", "row_id", "error")
+    return P.gate(s, "pair", "ts", "row_id", "error")
+
+
+@query(SCORED_SQL + """, x AS (SELECT *, row_id * 104729 % 1000 / 1000 AS q, 1 - p AS o FROM s), l AS (SELECT *, coalesce(sum((p - y) ** 2) OVER w, 0) AS lp, coalesce(sum((q - y) ** 2) OVER w, 0) AS lq, coalesce(sum((o - y) ** 2) OVER w, 0) AS lo FROM x WINDOW w AS (PARTITION BY pair ORDER BY ts, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, exp(-0.5 * (lp - least(lp, lq, lo))) AS wp, exp(-0.5 * (lq - least(lp, lq, lo))) AS wq, exp(-0.5 * (lo - least(lp, lq, lo))) AS wo FROM l) SELECT row_id, round((wp * p + wq * q + wo * o) / (wp + wq + wo), 6) AS blend FROM m""")
+def ref_e20_hedge_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """Exponentially weighted average of three made-up scores by their losses so far, eta 0.5."""
+    s = scored(spark, sf).withColumn("q", F.pmod(F.col("row_id") * 104729, F.lit(1000)) / 1000).withColumn("o", 1 - F.col("p"))
+    return P.hedge(s, "pair", "ts", "row_id", "y", ["p", "q", "o"], 0.5).select("row_id", F.round("blend", 6).alias("blend"))
 
 
 @query()

@@ -73,6 +73,28 @@ def test_trailing_residuals_by_chunks(spark):
                 assert mine == [None, None] if a < train else np.allclose(mine, want[i - a, j], atol=1e-8)
 
 
+def test_gate_is_carried_over_days(spark):
+    rng = np.random.default_rng(5)
+    errors = {k: rng.random(900) < share for k, share in (("a", 0.05), ("b", 0.5))}
+    rows = [(k, i // 2 * 3_000, i + 1_000 * (k == "b"), int(e)) for k, x in errors.items() for i, e in enumerate(x)]  # 57 rows a day, ties
+    df = spark.createDataFrame(rows, "pair string, t long, id long, error int")
+    got = {r["id"]: r["level"] for r in policies.gate(df, "pair", "t", "id", "error").collect()}
+    for k, x in errors.items():
+        assert np.allclose([got[i + 1_000 * (k == "b")] for i in range(900)], policies.adaptive_gate(x.astype(int).tolist()), atol=1e-12)
+
+
+def test_hedge_weighs_by_earlier_losses(spark):
+    rng = np.random.default_rng(6)
+    y, p = rng.integers(0, 2, 200), rng.random((200, 2))
+    df = spark.createDataFrame([("a", 2_000 * i, i, int(y[i]), float(p[i, 0]), float(p[i, 1])) for i in range(200)], "pair string, t long, id long, y int, u double, v double")
+    got = {r["id"]: r["blend"] for r in policies.hedge(df, "pair", "t", "id", "y", ["u", "v"], 0.5).collect()}
+    w = np.ones(2) / 2
+    for i in range(200):
+        w = w / w.sum()
+        assert np.isclose(got[i], w @ p[i])
+        w = w * np.exp(-0.5 * (p[i] - y[i]) ** 2)
+
+
 def test_illegal_moves(spark):
     log = spark.createDataFrame([(1, 0, "new"), (1, 1, "claimed"), (1, 2, "sent"), (1, 3, "settled"), (2, 0, "claimed"), (3, 0, "new"), (3, 1, "sent"), (4, 0, None)], "s long, n long, st string")
     assert sorted((r["s"], r["n"]) for r in policies.illegal_moves(log, "s", "n", "st").collect()) == [(2, 0), (3, 1), (4, 0)]
