@@ -3,7 +3,10 @@ ESD limits, plus separate range and constant-run checks, all relative to the sou
 
 One pass over the readings: every (source, time shard) is decomposed on its own in NumPy and gives
 a summary of fixed size (histograms, sums) and its few candidates. Limits come from the summed
-summaries; runs that cross shard borders are joined from one row per border.
+summaries, the source's median from the readings; runs that cross shard borders are joined from one
+row per border. A second pass takes the shards that can't be judged by themselves: those with
+readings that are possible beside their own median but not beside the source's, and those with too
+few readings for a step of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.runtime import cut
+from lodestream.runtime import cut, written
 
 #: Seconds of one source in one shard, and of context read on both sides of it.
 SHARD_S, MARGIN_S = 14_400, 900
@@ -34,6 +37,8 @@ TREND, SEASON_S = 11, 1_800
 BINS, BIN_LOW, BIN_WIDTH = 192, -6.0, 0.125
 #: A value is possible if it is positive and within this factor of the source's median.
 RANGE_FACTOR = 1.5
+#: Readings below which a shard is decomposed with the source's step: a few strays make up too much of its own.
+SPARSE = 64
 #: Significance of the ESD test, and the expected number of runs by chance beyond the limit.
 ALPHA, CHANCE_RUNS = 0.05, 0.01
 #: Runs below this length are never stuck values.
@@ -44,7 +49,7 @@ _OUT = (
     "kind string, row_id bigint, pos bigint, value double, dev double, resid double, step double, "
     "season int, run_len bigint, touches_start boolean, touches_end boolean, run_ids array<bigint>, "
     "n bigint, sum_step double, n_step bigint, runs_3 bigint, runs_4 bigint, runs bigint, bins array<bigint>, "
-    "season_sum array<double>, season_n array<bigint>"
+    "season_sum array<double>, season_n array<bigint>, low double, high double"
 )
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 _ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (part.split() for part in _OUT.split(", "))])
@@ -57,10 +62,15 @@ def _running_median(values: np.ndarray, width: int) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(padded, width), axis=1)
 
 
-def _usual(steps: np.ndarray) -> np.ndarray:
-    """The steps of normal movement: all up to WILD times the mean of the lower nine tenths."""
+def _usual(steps: np.ndarray, sparse: bool = False) -> np.ndarray:
+    """The steps of normal movement: all up to WILD times the mean of the lower nine tenths.
+
+    Of few steps more than a tenth may be wild: there it is the lower half, unless that doesn't move.
+    """
     if not len(steps):
         return steps
+    if sparse and (half := steps[steps <= np.quantile(steps, 0.5)].mean()) > 0:
+        return steps[steps <= WILD * half]
     base = steps[steps <= np.quantile(steps, 0.9)].mean()
     return steps[steps <= (WILD * base if base > 0 else np.quantile(steps, 0.97))]
 
@@ -105,45 +115,81 @@ def _shard(key: tuple, readings: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row | own for row in _shard_rows(own["shard"], readings)], schema=_ARROW)
 
 
-def _shard_rows(shard: int, readings: pa.Table) -> list[dict]:
+def _clean(readings: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(epoch, row_id, value) in order of time, of repeated times the last, without missing values."""
     epoch, ids = readings["epoch"].to_numpy(), readings["row_id"].to_numpy()
     v = readings["value"].to_numpy(zero_copy_only=False).astype(float)
     order = np.lexsort((ids, epoch))
     epoch, ids, v = epoch[order], ids[order], v[order]
     keep = np.append(epoch[1:] != epoch[:-1], True) & ~np.isnan(v)
-    epoch, ids, v = epoch[keep], ids[keep], v[keep]
-    rows: list[dict] = []
-    core = (epoch >= shard * SHARD_S) & (epoch < (shard + 1) * SHARD_S)
-    if not core.any():
-        return rows
-    steps = np.abs(np.diff(v))
-    usual = _usual(steps)
-    step = float(usual.mean()) if len(usual) and usual.mean() > 0 else float(max(np.abs(np.median(v)) * 1e-9, 1e-300))
+    return epoch[keep], ids[keep], v[keep]
+
+
+def _core(epoch: np.ndarray, shard: int) -> np.ndarray:
+    return (epoch >= shard * SHARD_S) & (epoch < (shard + 1) * SHARD_S)
+
+
+def _decomposed(epoch: np.ndarray, ids: np.ndarray, v: np.ndarray, core: np.ndarray, step: float) -> tuple[dict, list[dict]]:
+    """Histogram and season sums of the residuals in steps, and the strays."""
     season = ((epoch % 86_400) // SEASON_S).astype(int)
     resid = v - _running_median(v, TREND)
     size = np.clip((np.log(np.maximum(np.abs(resid) / step, 1e-9)) - BIN_LOW) / BIN_WIDTH, 0, BINS - 1).astype(int)
     quiet = np.clip(resid, -4 * step, 4 * step)
+    sums = dict(
+        bins=np.bincount(size[core], minlength=BINS).tolist(),
+        season_sum=np.bincount(season[core], weights=quiet[core], minlength=_SEASONS).tolist(),
+        season_n=np.bincount(season[core], minlength=_SEASONS).tolist(),
+    )
+    strays = [
+        dict(kind="stray", row_id=int(ids[k]), value=float(v[k]), dev=dev, resid=float(resid[k]), step=step, season=int(season[k]))
+        for i, n, dev in _strays(v, step) for k in range(i, i + n) if core[k]
+    ]
+    return sums, strays
+
+
+def _again(key: tuple, readings: pa.Table) -> pa.Table:
+    """What _shard leaves open, by the source's median and, with few readings, its usual step."""
+    own = dict(zip(("source_table", "source_id", "shard", "field_name"), (k.as_py() for k in key)))
+    epoch, ids, v = _clean(readings)
+    core = _core(epoch, own["shard"])
+    middle, sparse = readings["middle"][0].as_py(), readings["sparse"][0].as_py()
+    rows = [dict(kind="range", row_id=int(i), value=float(x)) for i, x in zip(ids[core], v[core]) if x <= 0 or x > middle * RANGE_FACTOR or x < middle / RANGE_FACTOR]
+    if sparse:
+        step = readings["usual_step"][0].as_py() or float(max(np.abs(np.median(v)) * 1e-9, 1e-300))
+        sums, strays = _decomposed(epoch, ids, v, core, step)
+        rows += [dict(kind="sums") | sums, *strays]
+    return pa.Table.from_pylist([row | own for row in rows], schema=_ARROW)
+
+
+def _shard_rows(shard: int, readings: pa.Table) -> list[dict]:
+    epoch, ids, v = _clean(readings)
+    rows: list[dict] = []
+    core = _core(epoch, shard)
+    if not core.any():
+        return rows
+    sparse = len(v) < SPARSE
+    usual = _usual(np.abs(np.diff(v)), sparse)
+    step = float(usual.mean()) if len(usual) and usual.mean() > 0 else float(max(np.abs(np.median(v)) * 1e-9, 1e-300))
     changes = np.append(True, v[1:] != v[:-1])
     starts = np.flatnonzero(changes & core)
     cv, cids, cepoch = v[core], ids[core], epoch[core]
     begin = np.flatnonzero(np.append(True, cv[1:] != cv[:-1]))
     length = np.diff(np.append(begin, len(cv)))
+    sums, strays = ({}, []) if sparse else _decomposed(epoch, ids, v, core, step)
+    middle = float(np.median(cv))
+    off = (cv <= 0) | (cv > middle * RANGE_FACTOR) | (cv < middle / RANGE_FACTOR)
+    like = cv[~off]
     rows.append(
         dict(
-            kind="summary", n=int(core.sum()), value=float(np.median(cv)), step=step,
+            kind="summary", n=len(v), step=step,
+            low=float(like.min()) if len(like) else None, high=float(like.max()) if len(like) else None,
             sum_step=float(usual.sum()), n_step=len(usual),
             runs=len(starts), runs_3=int((length >= 3).sum()), runs_4=int((length >= 4).sum()),
-            bins=np.bincount(size[core], minlength=BINS).tolist(),
-            season_sum=np.bincount(season[core], weights=quiet[core], minlength=_SEASONS).tolist(),
-            season_n=np.bincount(season[core], minlength=_SEASONS).tolist(),
         )
+        | sums
     )
-    for i, n, dev in _strays(v, step):
-        for k in range(i, i + n):
-            if core[k]:
-                rows.append(dict(kind="stray", row_id=int(ids[k]), value=float(v[k]), dev=dev, resid=float(resid[k]), step=step, season=int(season[k])))
-    middle = float(np.median(cv))
-    for k in np.flatnonzero((cv <= 0) | (cv > middle * RANGE_FACTOR) | (cv < middle / RANGE_FACTOR)):
+    rows += strays
+    for k in np.flatnonzero(off):
         rows.append(dict(kind="range", row_id=int(cids[k]), value=float(cv[k])))
     last = len(begin) - 1
     for k in np.flatnonzero((length >= MIN_RUN) | (np.arange(len(begin)) == 0) | (np.arange(len(begin)) == last)):
@@ -203,38 +249,47 @@ def flag_readings(readings: DataFrame) -> DataFrame:
     flag it. Repeated rows count once, an empty table gives no rows.
     """
     by = ["source_table", "source_id", "field_name"]
-    found = readings.groupBy("source_table", "source_id", "shard", "field_name").applyInArrow(_shard, schema=_OUT)
-    found = cut(found)
+    shards = ["source_table", "source_id", "shard", "field_name"]
+    own = (F.col("shard") == F.floor(F.col("epoch") / SHARD_S)) & F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
+    middles = readings.where(own).groupBy(*by).agg(F.percentile_approx("value", 0.5).cast("double").alias("middle"))
+    middles = written(middles, "middles")
+    found = cut(readings.groupBy(*shards).applyInArrow(_shard, schema=_OUT))
     summaries = found.where("kind = 'summary'")
+    dense = lambda c: F.sum(F.when(F.col("n") >= SPARSE, F.col(c)))
     limits = summaries.groupBy(*by).agg(
-        (F.sum("sum_step") / F.greatest(F.sum("n_step"), F.lit(1))).alias("usual_step"),
-        F.percentile_approx("value", 0.5).alias("middle"),
+        # shards of few readings count only where a source has no others
+        F.coalesce(dense("sum_step") / F.greatest(dense("n_step"), F.lit(1)), F.sum("sum_step") / F.greatest(F.sum("n_step"), F.lit(1))).alias("usual_step"),
         F.sum("runs").alias("runs"), F.sum("runs_3").alias("runs_3"), F.sum("runs_4").alias("runs_4"),
     )
+    beyond = lambda c: (F.col(c) > F.col("middle") * RANGE_FACTOR) | (F.col(c) < F.col("middle") / RANGE_FACTOR)
+    doubtful = summaries.join(limits.select(*by, "usual_step"), by).join(middles, by).select(*shards, "usual_step", "middle", (F.col("n") < SPARSE).alias("sparse"), (beyond("low") | beyond("high")).alias("odd"))
+    doubtful = written(doubtful.where("sparse OR odd").drop("odd"), "doubtful")  # few as a rule: a table knows its size
+    again = cut(readings.join(doubtful, shards).groupBy(*shards).applyInArrow(_again, schema=_OUT))
+    sums = summaries.unionByName(again.where("kind = 'sums'"))
     repeat = (F.col("runs_4") + 1) / (F.col("runs_3") + 2)
     run_limit = F.ceil(1 + F.log(F.greatest(F.col("runs"), F.lit(1)) / CHANCE_RUNS) / -F.log(repeat))
     limits = limits.withColumn("run_limit", F.greatest(run_limit, F.lit(MIN_RUN - 1)))
     esd = (
-        summaries.select(*by, F.posexplode("bins").alias("bin", "n"))
+        sums.select(*by, F.posexplode("bins").alias("bin", "n"))
         .groupBy(*by, "bin").agg(F.sum("n").alias("n"))
         .groupBy(*by).applyInPandas(_esd_limit, "source_table string, source_id string, field_name string, esd_steps double")
     )
     seasons = (
-        summaries.select(*by, F.arrays_zip("season_sum", "season_n").alias("z"))
+        sums.select(*by, F.arrays_zip("season_sum", "season_n").alias("z"))
         .select(*by, F.posexplode("z").alias("season", "z"))
         .groupBy(*by, "season").agg((F.sum("z.season_sum") / F.greatest(F.sum("z.season_n"), F.lit(1))).alias("seasonal"))
     )
     strays = (
-        found.where("kind = 'stray'").select(*by, "row_id", "dev", "resid", "season", F.col("step").alias("local_step"))
+        found.unionByName(again).where("kind = 'stray'").select(*by, "row_id", "dev", "resid", "season", F.col("step").alias("local_step"))
         .join(seasons, [*by, "season"]).join(esd, by).join(limits, by)
         # decomposed residual beyond the ESD limit; or a short excursion that pulled its own trend along
         .where((F.greatest(F.abs(F.col("resid") - F.col("seasonal")), F.col("dev")) > F.col("esd_steps") * F.col("local_step")) & (F.col("dev") > STRAY_STEPS * F.col("usual_step")))
         .select("source_table", "row_id", "field_name", F.lit("stray").alias("reason"))
     )
     ranges = (
-        found.where("kind = 'range'").select(*by, "row_id", "value").join(limits, by)
-        .where((F.col("value") <= 0) | (F.col("value") > F.col("middle") * RANGE_FACTOR) | (F.col("value") < F.col("middle") / RANGE_FACTOR))
-        .select("source_table", "row_id", "field_name", F.lit("range").alias("reason"))
+        found.unionByName(again).where("kind = 'range'").select(*by, "row_id", "value").join(middles, by)
+        .where((F.col("value") <= 0) | beyond("value"))
+        .select("source_table", "row_id", "field_name", F.lit("range").alias("reason")).distinct()
     )
     along = Window.partitionBy(*by).orderBy("shard", "pos")
     runs = found.where("kind = 'run'").select(*by, "shard", "pos", "value", "run_len", "touches_start", "touches_end", "run_ids")

@@ -147,6 +147,31 @@ def test_planted_spikes(spark):
     assert spikes.flag_readings(spikes.shard_readings(df.limit(0), "tab", "src", "row_id", "t", ["v"])).count() == 0
 
 
+def test_range_in_a_shard_of_faults(spark):
+    """Most of a whole shard is a hundred times off: judged by the source's median, not the shard's."""
+    v = walk(4_000, 4)
+    bad = set(range(1_500, 1_900)) - set(range(1_500, 1_900, 5))
+    v[list(bad)] *= 100
+    df = spark.createDataFrame([(i, "a", 14_400 * (100 + i // 500) + 28 * (i % 500), float(x)) for i, x in enumerate(v)], "row_id long, src string, t long, v double")
+    got = spikes.flag_readings(spikes.shard_readings(df, "tab", "src", "row_id", "t", ["v"])).where("reason = 'range'").collect()
+    assert {r["row_id"] for r in got} == bad and len(got) == len(bad)
+
+
+def test_strays_in_sparse_shards(spark):
+    """Departures of 28 usual steps, in shards of six to twelve readings as in a full one."""
+    rows, want, at = [], set(), 0
+    for shard in range(60):
+        n = (600, 6, 8, 12)[shard % 4]
+        for i in range(n):
+            spike = n < 600 and i == n // 2
+            rows.append((at, "a", 14_400 * (1_000 + shard) + 1_200 + 12_000 // n * i, 1.2 + 1e-4 * (i % 2) + (2.8e-3 if spike else 0.0)))
+            want |= {at} if spike else set()
+            at += 1
+    df = spark.createDataFrame(rows, "row_id long, src string, t long, v double")
+    got = spikes.flag_readings(spikes.shard_readings(df, "tab", "src", "row_id", "t", ["v"])).where("reason = 'stray'").collect()
+    assert {r["row_id"] for r in got} == want and len(got) == len(want)
+
+
 def test_block_recursions_do_not_see_the_block(spark):
     v = walk(3_000, 2, 0.5)
     df = spark.createDataFrame([("a", 60 * i, float(x)) for i, x in enumerate(v)], "key string, t long, v double")
