@@ -1,12 +1,18 @@
-"""Implausible readings: spikes against a robust seasonal-trend decomposition with generalised
-ESD limits, plus separate range and constant-run checks, all relative to the source itself.
-
-One pass over the readings: every (source, time shard) is decomposed on its own in NumPy and gives
-a summary of fixed size (histograms, sums) and its few candidates. Limits come from the summed
-summaries, the source's median from the readings; runs that cross shard borders are joined from one
-row per border. A second pass takes the shards that can't be judged by themselves: those with
-readings that are possible beside their own median but not beside the source's, and those with too
-few readings for a step of their own.
+"""Implausible readings: a robust seasonal-trend decomposition per source, remainders beyond
+generalised ESD limits as candidates, and separate range and constant-run checks, all relative to
+the source itself.
+
+1. JVM: the source's median, and its level in every half hour; from these the season, the median
+   over days of the level at a time of day less the level around it (a trend of one day's width).
+2. One pass over the readings: every (source, time shard) takes the season off and decomposes what
+   remains in NumPy into a robust trend that may break - the nearer of the medians of the readings
+   before and after - and a remainder. It gives a summary of fixed size (histograms of remainders,
+   sums of steps, runs at the borders) and the readings with large remainders.
+3. Limits come from the summed summaries: generalised ESD over the histogram of all remainders of
+   the source. Readings beyond it are the candidates; the exact rule for strays then confirms them.
+
+Runs that cross shard borders are joined from one row per border. Only shards with too few readings
+for a step of their own are read again, with their source's.
 """
 
 from __future__ import annotations
@@ -31,8 +37,10 @@ LEVEL, MAX_STRAY = 5, 3
 STRAY_STEPS = 25.0
 #: Times the mean of the lower nine tenths beyond which a step is no normal movement.
 WILD = 14.0
-#: Readings of the running median that is the trend; seconds of a seasonal bucket.
-TREND, SEASON_S = 11, 1_800
+#: Seconds of a seasonal bucket, days that a season needs, and rounds of the robust trend.
+SEASON_S, SEASON_DAYS, ROUNDS = 1_800, 3, 3
+#: Remainders of more local steps are marked; those the limits of ESD leave are candidates.
+MARKED = 4.0
 #: Residuals are counted in bins by the logarithm of their size over the shard's usual step.
 BINS, BIN_LOW, BIN_WIDTH = 192, -6.0, 0.125
 #: A value is possible if it is positive and within this factor of the source's median.
@@ -47,19 +55,49 @@ MIN_RUN = 8
 _OUT = (
     "source_table string, source_id string, shard bigint, field_name string, "
     "kind string, row_id bigint, pos bigint, value double, dev double, resid double, step double, "
-    "season int, run_len bigint, touches_start boolean, touches_end boolean, run_ids array<bigint>, "
-    "n bigint, sum_step double, n_step bigint, runs_3 bigint, runs_4 bigint, runs bigint, bins array<bigint>, "
-    "season_sum array<double>, season_n array<bigint>, low double, high double"
+    "run_len bigint, touches_start boolean, touches_end boolean, run_ids array<bigint>, "
+    "n bigint, sum_step double, n_step bigint, runs_3 bigint, runs_4 bigint, runs bigint, bins array<bigint>"
 )
-_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
 _ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (part.split() for part in _OUT.split(", "))])
 _SEASONS = 86_400 // SEASON_S
 
 
-def _running_median(values: np.ndarray, width: int) -> np.ndarray:
-    half = width // 2
-    padded = np.pad(values, half, mode="edge")
-    return np.median(np.lib.stride_tricks.sliding_window_view(padded, width), axis=1)
+def season_at(epoch: np.ndarray, season: list[float | None]) -> np.ndarray:
+    """The season between the middles of its buckets; buckets never seen are bridged, without any it is 0."""
+    known = [i for i, x in enumerate(season) if x is not None]
+    if not known:
+        return np.zeros(len(epoch))
+    return np.interp(epoch % 86_400, [(i + 0.5) * SEASON_S for i in known], [season[i] for i in known], period=86_400)
+
+
+def _side_levels(x: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The medians of the LEVEL kept readings before and after each reading; NaN where there are none."""
+    at = np.flatnonzero(keep)
+    padded = np.concatenate([np.full(LEVEL, np.nan), x[at], np.full(LEVEL, np.nan)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, LEVEL)
+    whole = np.median(windows, axis=1)
+    for k in [*range(1, LEVEL), *range(len(whole) - LEVEL, len(whole) - 1)]:  # frames that reach over an end
+        some = windows[k][~np.isnan(windows[k])] if 0 <= k < len(whole) else ()
+        if len(some):
+            whole[k] = np.median(some)
+    place = np.arange(len(x))
+    return whole[np.searchsorted(at, place, "left")], whole[np.searchsorted(at, place, "right") + LEVEL]
+
+
+def remainders(x: np.ndarray, step: float, odd: np.ndarray | None = None) -> np.ndarray:
+    """x less its robust trend: the nearer of the levels before and after, so that lasting moves leave nothing.
+
+    As in robust decomposition by loess, readings with a large remainder get no weight in the next
+    round; impossible ones (odd) have none from the start. A reading without neighbours has the remainder 0.
+    """
+    odd = np.zeros(len(x), bool) if odd is None else odd
+    resid = np.zeros(len(x))
+    for _ in range(ROUNDS):
+        before, after = (x - level for level in _side_levels(x, (np.abs(resid) <= MARKED * step) & ~odd))
+        nearer = (np.abs(before) <= np.abs(after)) | np.isnan(after)
+        resid = np.nan_to_num(np.where(nearer, before, after), nan=0.0, posinf=np.inf, neginf=-np.inf)
+    return resid
 
 
 def _usual(steps: np.ndarray, sparse: bool = False) -> np.ndarray:
@@ -75,23 +113,24 @@ def _usual(steps: np.ndarray, sparse: bool = False) -> np.ndarray:
     return steps[steps <= (WILD * base if base > 0 else np.quantile(steps, 0.97))]
 
 
-def _strays(v: np.ndarray, step: float) -> list[tuple[int, int, float]]:
-    """(start, length, deviation) of the excursions of at most MAX_STRAY readings.
+def _strays(v: np.ndarray, step: float, resid: np.ndarray) -> list[tuple[int, int, float]]:
+    """(start, length, deviation) of the excursions of at most MAX_STRAY readings, all of them marked.
+
+    Readings far off go first, so that a slightly raised neighbour is not taken for a part of theirs.
 
     The deviation is the least distance of the readings from the level before and after them; the
     reading that follows must be nearer to the later level than half of that. Without readings
     before (after), the level after (before) alone counts, if one step makes most of the deviation.
     """
     n, found, flagged = len(v), [], np.zeros(len(v), bool)
-    jumps = np.flatnonzero(np.abs(np.diff(v)) > 4 * step) + 1
-    starts = np.union1d(jumps, [0]) if n else jumps
-    for i in starts:
+    passes = [np.abs(resid) > bound * step for bound in (0.8 * STRAY_STEPS, MARKED)]
+    for i, marked in ((i, marked) for marked in passes for i in np.flatnonzero(marked)):
         if flagged[i]:
             continue
         earlier = [v[k] for k in range(i - 1, max(-1, i - 1 - LEVEL - MAX_STRAY), -1) if not flagged[k]][:LEVEL]
         before = float(np.median(earlier)) if earlier else None
         for length in range(1, MAX_STRAY + 1):
-            if i + length > n:
+            if i + length > n or not marked[i + length - 1] or flagged[i + length - 1]:
                 break
             later = v[i + length : i + length + LEVEL]
             if len(later) == 0 and before is None:
@@ -109,10 +148,15 @@ def _strays(v: np.ndarray, step: float) -> list[tuple[int, int, float]]:
     return found
 
 
-def _shard(key: tuple, readings: pa.Table) -> pa.Table:
-    """Summary and candidates of one field of one source in one shard."""
+def _shard(key: tuple, readings: pa.Table, known: pa.Table) -> pa.Table:
+    """Summary, marked and impossible readings and runs of one field of one source in one shard.
+
+    known: the source's median and season, and its usual step where the shard is read again for
+    having too few readings; without a row in it the shard has no readings of its own.
+    """
     own = dict(zip(("source_table", "source_id", "shard", "field_name"), (k.as_py() for k in key)))
-    return pa.Table.from_pylist([row | own for row in _shard_rows(own["shard"], readings)], schema=_ARROW)
+    rows = _shard_rows(own["shard"], readings, known.to_pylist()[0]) if known.num_rows and readings.num_rows else []
+    return pa.Table.from_pylist([row | own for row in rows], schema=_ARROW)
 
 
 def _clean(readings: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,68 +173,41 @@ def _core(epoch: np.ndarray, shard: int) -> np.ndarray:
     return (epoch >= shard * SHARD_S) & (epoch < (shard + 1) * SHARD_S)
 
 
-def _decomposed(epoch: np.ndarray, ids: np.ndarray, v: np.ndarray, core: np.ndarray, step: float) -> tuple[dict, list[dict]]:
-    """Histogram and season sums of the residuals in steps, and the strays."""
-    season = ((epoch % 86_400) // SEASON_S).astype(int)
-    resid = v - _running_median(v, TREND)
+def _decomposed(epoch: np.ndarray, ids: np.ndarray, v: np.ndarray, core: np.ndarray, odd: np.ndarray, step: float, season: list[float | None]) -> tuple[dict, list[dict]]:
+    """Histogram of the remainders in steps, and the marked readings, with the deviation of those that are an excursion."""
+    x = v - season_at(epoch, season)
+    resid = remainders(x, step, odd)
     size = np.clip((np.log(np.maximum(np.abs(resid) / step, 1e-9)) - BIN_LOW) / BIN_WIDTH, 0, BINS - 1).astype(int)
-    quiet = np.clip(resid, -4 * step, 4 * step)
-    sums = dict(
-        bins=np.bincount(size[core], minlength=BINS).tolist(),
-        season_sum=np.bincount(season[core], weights=quiet[core], minlength=_SEASONS).tolist(),
-        season_n=np.bincount(season[core], minlength=_SEASONS).tolist(),
-    )
-    strays = [
-        dict(kind="stray", row_id=int(ids[k]), value=float(v[k]), dev=dev, resid=float(resid[k]), step=step, season=int(season[k]))
-        for i, n, dev in _strays(v, step) for k in range(i, i + n) if core[k]
-    ]
-    return sums, strays
-
-
-def _again(key: tuple, readings: pa.Table) -> pa.Table:
-    """What _shard leaves open, by the source's median and, with few readings, its usual step."""
-    own = dict(zip(("source_table", "source_id", "shard", "field_name"), (k.as_py() for k in key)))
-    epoch, ids, v = _clean(readings)
-    core = _core(epoch, own["shard"])
-    middle, sparse = readings["middle"][0].as_py(), readings["sparse"][0].as_py()
-    rows = [dict(kind="range", row_id=int(i), value=float(x)) for i, x in zip(ids[core], v[core]) if x <= 0 or x > middle * RANGE_FACTOR or x < middle / RANGE_FACTOR]
-    if sparse:
-        step = readings["usual_step"][0].as_py() or float(max(np.abs(np.median(v)) * 1e-9, 1e-300))
-        sums, strays = _decomposed(epoch, ids, v, core, step)
-        rows += [dict(kind="sums") | sums, *strays]
-    return pa.Table.from_pylist([row | own for row in rows], schema=_ARROW)
+    marked = np.abs(resid) > MARKED * step
+    dev = np.zeros(len(v))
+    for i, n, far in _strays(v, step, resid):
+        dev[i : i + n] = far
+    rows = [dict(kind="marked", row_id=int(ids[k]), value=float(v[k]), dev=float(dev[k]), resid=float(resid[k]), step=step) for k in np.flatnonzero(marked & core)]
+    return dict(bins=np.bincount(size[core], minlength=BINS).tolist()), rows
 
 
-def _shard_rows(shard: int, readings: pa.Table) -> list[dict]:
+def _shard_rows(shard: int, readings: pa.Table, known: dict) -> list[dict]:
     epoch, ids, v = _clean(readings)
-    rows: list[dict] = []
     core = _core(epoch, shard)
     if not core.any():
-        return rows
+        return []
+    middle, season = known["middle"], known["season"]
+    odd = (v <= 0) | (v > middle * RANGE_FACTOR) | (v < middle / RANGE_FACTOR)
+    least = float(max(abs(middle) * 1e-9, 1e-300))
+    if known["usual_step"] is not None:  # a sparse shard, read again
+        sums, marked = _decomposed(epoch, ids, v, core, odd, known["usual_step"] or least, season)
+        return [dict(kind="sums") | sums, *marked]
     sparse = len(v) < SPARSE
     usual = _usual(np.abs(np.diff(v)), sparse)
-    step = float(usual.mean()) if len(usual) and usual.mean() > 0 else float(max(np.abs(np.median(v)) * 1e-9, 1e-300))
-    changes = np.append(True, v[1:] != v[:-1])
-    starts = np.flatnonzero(changes & core)
+    step = float(usual.mean()) if len(usual) and usual.mean() > 0 else least
     cv, cids, cepoch = v[core], ids[core], epoch[core]
+    starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]) & core)
     begin = np.flatnonzero(np.append(True, cv[1:] != cv[:-1]))
     length = np.diff(np.append(begin, len(cv)))
-    sums, strays = ({}, []) if sparse else _decomposed(epoch, ids, v, core, step)
-    middle = float(np.median(cv))
-    off = (cv <= 0) | (cv > middle * RANGE_FACTOR) | (cv < middle / RANGE_FACTOR)
-    like = cv[~off]
-    rows.append(
-        dict(
-            kind="summary", n=len(v), step=step,
-            low=float(like.min()) if len(like) else None, high=float(like.max()) if len(like) else None,
-            sum_step=float(usual.sum()), n_step=len(usual),
-            runs=len(starts), runs_3=int((length >= 3).sum()), runs_4=int((length >= 4).sum()),
-        )
-        | sums
-    )
-    rows += strays
-    for k in np.flatnonzero(off):
-        rows.append(dict(kind="range", row_id=int(cids[k]), value=float(cv[k])))
+    sums, marked = ({}, []) if sparse else _decomposed(epoch, ids, v, core, odd, step, season)
+    rows = [dict(kind="summary", n=len(v), step=step, sum_step=float(usual.sum()), n_step=len(usual), runs=len(starts), runs_3=int((length >= 3).sum()), runs_4=int((length >= 4).sum())) | sums]
+    rows += marked
+    rows += [dict(kind="range", row_id=int(i), value=float(x)) for i, x in zip(ids[core & odd], v[core & odd])]
     last = len(begin) - 1
     for k in np.flatnonzero((length >= MIN_RUN) | (np.arange(len(begin)) == 0) | (np.arange(len(begin)) == last)):
         at = slice(begin[k], begin[k] + length[k])
@@ -222,7 +239,7 @@ def _esd_limit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             limit = math.exp(BIN_LOW + BIN_WIDTH * b)
         left -= counts[b]
         square = max(square - counts[b] * size[b] ** 2, 0.0)
-    return pd.DataFrame([[*key, limit]], columns=["source_table", "source_id", "field_name", "esd_steps"])
+    return pd.DataFrame([[*key, limit, int(total)]], columns=["source_table", "source_id", "field_name", "esd_steps", "n_remainders"])
 
 
 def shard_readings(df: DataFrame, source_table: str, source: str, row_id: str, epoch: str, fields: Sequence[str]) -> DataFrame:
@@ -240,57 +257,80 @@ def shard_readings(df: DataFrame, source_table: str, source: str, row_id: str, e
     )
 
 
-def flag_readings(readings: DataFrame) -> DataFrame:
-    """(source_table, row_id, field_name, reason) of the implausible readings of shard_readings().
+BY = ["source_table", "source_id", "field_name"]
+_SHARDS = ["source_table", "source_id", "shard", "field_name"]
 
-    Of rows of one source and epoch only that with the largest row_id is judged; NULL and NaN are
-    passed over. Reasons: `range`, `stray`, `stuck`; a reading has one row for each that holds.
-    A source with a single reading has no usual movement: only the range check (value <= 0) can
-    flag it. Repeated rows count once, an empty table gives no rows.
+
+def sources(own: DataFrame) -> DataFrame:
+    """(source_table, source_id, field_name, shard, middle, season): what a shard must know of its source.
+
+    own: readings with a value, each in its own shard. middle is the source's median, season an
+    array over times of day: the median over days of the possible readings' mean in half an hour,
+    less the median of those means over a day around it. A time of day seen on fewer than
+    SEASON_DAYS days has no season. One row per shard with readings.
+    """
+    middles = written(own.groupBy(*BY).agg(F.percentile_approx("value", 0.5).cast("double").alias("middle")), "middles")
+    possible = (F.col("value") > 0) & (F.col("value") <= F.col("middle") * RANGE_FACTOR) & (F.col("value") >= F.col("middle") / RANGE_FACTOR)
+    bucket = F.floor(F.col("epoch") / SEASON_S)
+    levels = written(own.join(middles, BY).groupBy(*BY, bucket.alias("bucket")).agg(F.avg(F.when(possible, F.col("value"))).alias("level")), "levels")
+    day = Window.partitionBy(*BY).orderBy("bucket").rangeBetween(-_SEASONS // 2, _SEASONS // 2)  # buckets of time, however many readings they hold
+    apart = levels.withColumn("apart", F.col("level") - F.percentile_approx("level", 0.5).over(day)).withColumn("tod", F.pmod("bucket", F.lit(_SEASONS)).cast("int"))
+    season = apart.groupBy(*BY, "tod").agg(F.when(F.count("apart") >= SEASON_DAYS, F.median("apart")).alias("seasonal"))
+    by_tod = season.groupBy(*BY).agg(F.map_from_entries(F.collect_list(F.struct("tod", "seasonal"))).alias("m"))
+    seasons = by_tod.select(*BY, F.array(*[F.try_element_at("m", F.lit(i)) for i in range(_SEASONS)]).alias("season"))
+    shards = levels.select(*BY, F.floor(F.col("bucket") * SEASON_S / SHARD_S).alias("shard")).distinct()
+    return shards.join(middles, BY).join(seasons, BY)
+
+
+def decompose(readings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, limits, found) of shard_readings(): the seasonal-trend decomposition and its ESD limits.
+
+    candidates: readings whose remainder is beyond the ESD limit of their source, with value, resid,
+    step (the shard's usual one) and dev, the distance from both levels if they are an excursion of
+    at most MAX_STRAY readings, else 0. limits: usual_step, esd_steps, run statistics per source.
+    found: the shards' rows, also ranges and runs.
     """
-    by = ["source_table", "source_id", "field_name"]
-    shards = ["source_table", "source_id", "shard", "field_name"]
-    own = (F.col("shard") == F.floor(F.col("epoch") / SHARD_S)) & F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
-    middles = readings.where(own).groupBy(*by).agg(F.percentile_approx("value", 0.5).cast("double").alias("middle"))
-    middles = written(middles, "middles")
-    found = cut(readings.groupBy(*shards).applyInArrow(_shard, schema=_OUT))
+    own = readings.where((F.col("shard") == F.floor(F.col("epoch") / SHARD_S)) & F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    known = written(sources(own).withColumn("usual_step", F.lit(None).cast("double")), "sources")
+    found = cut(readings.groupBy(*_SHARDS).cogroup(known.groupBy(*_SHARDS)).applyInArrow(_shard, schema=_OUT))
     summaries = found.where("kind = 'summary'")
     dense = lambda c: F.sum(F.when(F.col("n") >= SPARSE, F.col(c)))
-    limits = summaries.groupBy(*by).agg(
+    limits = summaries.groupBy(*BY).agg(
         # shards of few readings count only where a source has no others
         F.coalesce(dense("sum_step") / F.greatest(dense("n_step"), F.lit(1)), F.sum("sum_step") / F.greatest(F.sum("n_step"), F.lit(1))).alias("usual_step"),
         F.sum("runs").alias("runs"), F.sum("runs_3").alias("runs_3"), F.sum("runs_4").alias("runs_4"),
     )
-    beyond = lambda c: (F.col(c) > F.col("middle") * RANGE_FACTOR) | (F.col(c) < F.col("middle") / RANGE_FACTOR)
-    doubtful = summaries.join(limits.select(*by, "usual_step"), by).join(middles, by).select(*shards, "usual_step", "middle", (F.col("n") < SPARSE).alias("sparse"), (beyond("low") | beyond("high")).alias("odd"))
-    doubtful = written(doubtful.where("sparse OR odd").drop("odd"), "doubtful")  # few as a rule: a table knows its size
-    again = cut(readings.join(doubtful, shards).groupBy(*shards).applyInArrow(_again, schema=_OUT))
+    sparse = summaries.where(F.col("n") < SPARSE).select(*_SHARDS).join(known.drop("usual_step"), _SHARDS).join(limits.select(*BY, "usual_step"), BY)
+    sparse = written(sparse, "sparse")  # few as a rule: a table knows its size
+    again = cut(readings.join(sparse.select(*_SHARDS), _SHARDS).groupBy(*_SHARDS).cogroup(sparse.groupBy(*_SHARDS)).applyInArrow(_shard, schema=_OUT))
     sums = summaries.unionByName(again.where("kind = 'sums'"))
     repeat = (F.col("runs_4") + 1) / (F.col("runs_3") + 2)
     run_limit = F.ceil(1 + F.log(F.greatest(F.col("runs"), F.lit(1)) / CHANCE_RUNS) / -F.log(repeat))
-    limits = limits.withColumn("run_limit", F.greatest(run_limit, F.lit(MIN_RUN - 1)))
     esd = (
-        sums.select(*by, F.posexplode("bins").alias("bin", "n"))
-        .groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-        .groupBy(*by).applyInPandas(_esd_limit, "source_table string, source_id string, field_name string, esd_steps double")
-    )
-    seasons = (
-        sums.select(*by, F.arrays_zip("season_sum", "season_n").alias("z"))
-        .select(*by, F.posexplode("z").alias("season", "z"))
-        .groupBy(*by, "season").agg((F.sum("z.season_sum") / F.greatest(F.sum("z.season_n"), F.lit(1))).alias("seasonal"))
-    )
-    strays = (
-        found.unionByName(again).where("kind = 'stray'").select(*by, "row_id", "dev", "resid", "season", F.col("step").alias("local_step"))
-        .join(seasons, [*by, "season"]).join(esd, by).join(limits, by)
-        # decomposed residual beyond the ESD limit; or a short excursion that pulled its own trend along
-        .where((F.greatest(F.abs(F.col("resid") - F.col("seasonal")), F.col("dev")) > F.col("esd_steps") * F.col("local_step")) & (F.col("dev") > STRAY_STEPS * F.col("usual_step")))
-        .select("source_table", "row_id", "field_name", F.lit("stray").alias("reason"))
-    )
-    ranges = (
-        found.unionByName(again).where("kind = 'range'").select(*by, "row_id", "value").join(middles, by)
-        .where((F.col("value") <= 0) | beyond("value"))
-        .select("source_table", "row_id", "field_name", F.lit("range").alias("reason")).distinct()
+        sums.select(*BY, F.posexplode("bins").alias("bin", "n"))
+        .groupBy(*BY, "bin").agg(F.sum("n").alias("n"))
+        .groupBy(*BY).applyInPandas(_esd_limit, "source_table string, source_id string, field_name string, esd_steps double, n_remainders bigint")
     )
+    limits = cut(limits.withColumn("run_limit", F.greatest(run_limit, F.lit(MIN_RUN - 1))).join(esd, BY, "left"))
+    marked = found.unionByName(again).where("kind = 'marked'").select(*BY, "row_id", "value", "dev", "resid", "step")
+    candidates = marked.join(limits.select(*BY, "esd_steps", "usual_step"), BY).where(F.abs("resid") > F.col("esd_steps") * F.col("step"))
+    return candidates, limits, found
+
+
+def flag_readings(readings: DataFrame) -> DataFrame:
+    """(source_table, row_id, field_name, reason) of the implausible readings of shard_readings().
+
+    Of rows of one source and epoch only that with the largest row_id is judged; NULL and NaN are
+    passed over. Reasons: `range` (not positive, or far off the source's median), `stray` (a
+    candidate of decompose() that is an excursion of at most MAX_STRAY readings by more than
+    STRAY_STEPS usual steps of the source), `stuck`; a reading has one row for each that holds. A
+    source with a single reading has no usual movement: only the range check (value <= 0) can flag
+    it. Repeated rows count once, an empty table gives no rows.
+    """
+    by = BY
+    candidates, limits, found = decompose(readings)
+    strays = candidates.where(F.col("dev") > STRAY_STEPS * F.col("usual_step")).select("source_table", "row_id", "field_name", F.lit("stray").alias("reason"))
+    ranges = found.where("kind = 'range'").select("source_table", "row_id", "field_name", F.lit("range").alias("reason"))
     along = Window.partitionBy(*by).orderBy("shard", "pos")
     runs = found.where("kind = 'run'").select(*by, "shard", "pos", "value", "run_len", "touches_start", "touches_end", "run_ids")
     joins = F.col("touches_start") & F.lag("touches_end").over(along) & (F.col("value") == F.lag("value").over(along))

@@ -55,10 +55,14 @@ SELECT source_table, source_id, open_epoch, slot_epoch, coalesce(past, opening)
        CASE WHEN value IS NULL THEN slot_epoch - past_epoch END AS age_s FROM state"""
 
 
-def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = spikes.shard_readings(table(spark, sf_dir, "ticks"), "ticks", "stream_id", "tick_id", "epoch", ["bid", "ask"])
     closes = spikes.shard_readings(table(spark, sf_dir, "observation_series"), "observation_series", "series_id", "obs_id", "timestamps_s", ["closes"])
-    return spikes.flag_readings(ticks.unionByName(closes))
+    return ticks.unionByName(closes)
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.flag_readings(_readings(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +75,43 @@ def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).groupBy("source_table", "field_name", "reason").agg(F.count("*").alias("n_flagged"))
 
 
+def p6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings that are no possible price of their source."""
+    return _flags(spark, sf_dir).where("reason = 'range'").drop("reason")
+
+
+def p6_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings that repeat the one before them in a run that is too long for their source."""
+    return _flags(spark, sf_dir).where("reason = 'stuck'").drop("reason")
+
+
+def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every source is judged by: usual step, ESD limit in steps, longest normal run, and how many remainders are candidates."""
+    candidates, limits, _ = spikes.decompose(_readings(spark, sf_dir))
+    n = candidates.groupBy(*spikes.BY).agg(F.count("*").alias("n_candidates"), F.count_if(F.col("dev") > spikes.STRAY_STEPS * F.col("usual_step")).alias("n_strays"))
+    return limits.join(n, spikes.BY, "left").select(*spikes.BY, "usual_step", "esd_steps", "run_limit", "n_remainders", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("n_strays", F.lit(0)).alias("n_strays"))
+
+
+_P6_KEPT = """
+WITH long AS (
+  SELECT 'ticks' source_table, stream_id source_id, tick_id row_id, epoch, unnest([{'f': 'bid', 'v': bid}, {'f': 'ask', 'v': ask}]) AS x FROM ticks
+  UNION ALL SELECT 'observation_series', series_id, obs_id, timestamps_s, {'f': 'closes', 'v': closes} FROM observation_series),
+k AS (SELECT source_table, source_id, x.f AS field_name, row_id, epoch, x.v AS v FROM long WHERE source_id IS NOT NULL AND epoch IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY source_table, source_id, x.f, epoch ORDER BY row_id DESC) = 1),
+u AS (SELECT *, epoch // 14400 AS shard FROM k WHERE v IS NOT NULL AND NOT isnan(v))
+"""
+P6_RANGES_SQL = _P6_KEPT + """, m AS (SELECT source_table, source_id, field_name, median(v) AS middle FROM u GROUP BY ALL)
+SELECT source_table, row_id, field_name FROM u JOIN m USING (source_table, source_id, field_name) WHERE v <= 0 OR v > middle * 1.5 OR v < middle / 1.5"""
+P6_STUCK_SQL = _P6_KEPT + """, p AS (SELECT *, lag(v) OVER w AS v0, lag(epoch) OVER w AS e0, lag(shard) OVER w AS s0 FROM u WINDOW w AS (PARTITION BY source_table, source_id, field_name ORDER BY epoch)),
+i AS (SELECT *, sum((v0 IS NULL OR v <> v0 OR s0 <> shard)::INT) OVER w AS part, sum((v0 IS NULL OR v <> v0)::INT) OVER w AS island FROM p WINDOW w AS (PARTITION BY source_table, source_id, field_name ORDER BY epoch)),
+starts AS (SELECT source_table, source_id, field_name, count(*) FILTER (v0 IS NULL OR v <> v0 OR e0 < shard * 14400 - 900) AS runs FROM p GROUP BY ALL),
+parts AS (SELECT source_table, source_id, field_name, part, count(*) AS n FROM i GROUP BY ALL),
+shape AS (SELECT source_table, source_id, field_name, count(*) FILTER (n >= 3) AS r3, count(*) FILTER (n >= 4) AS r4 FROM parts GROUP BY ALL),
+lim AS (SELECT *, greatest(ceil(1 + ln(greatest(runs, 1) / 0.01) / -ln((r4 + 1) / (r3 + 2))), 7) AS run_limit FROM starts JOIN shape USING (source_table, source_id, field_name)),
+whole AS (SELECT *, count(*) OVER (PARTITION BY source_table, source_id, field_name, island) AS total, row_number() OVER (PARTITION BY source_table, source_id, field_name, island ORDER BY epoch) AS nth FROM i)
+SELECT source_table, row_id, field_name FROM whole JOIN lim USING (source_table, source_id, field_name) WHERE total > run_limit AND nth > 1"""
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of a field between the files of a series."""
     return drift.changes(table(spark, sf_dir, "result_files")).select("file_id", "change_kind", "field_path", "old_path")
@@ -107,5 +148,5 @@ def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.object_table(_nodes(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_reasons": p6_reasons}
-SQL = {"p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL}
+QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ranges": p6_ranges, "p6_stuck": p6_stuck, "p6_limits": p6_limits}
+SQL = {"p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL, "p6_ranges": P6_RANGES_SQL, "p6_stuck": P6_STUCK_SQL}
