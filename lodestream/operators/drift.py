@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import permutations
 from typing import Any
 
 import pandas as pd
@@ -93,28 +94,69 @@ def words(level: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+", level)]
 
 
+def _made_of(x: str, parts: tuple[str, ...], left: tuple[int, ...], exact: bool) -> set[tuple[int, ...]]:
+    """What can be left of the parts (of which `left` says how many there are) if x is made of the others.
+
+    x is cut into pieces, one for each part used, in any order. exact: the pieces are the parts.
+    Else a piece and its part agree if one is the first part of the other.
+    """
+    found, seen, stack = set(), {(0, left)}, [(0, left)]
+    while stack:
+        at, rest = stack.pop()
+        if at == len(x):
+            found.add(rest)
+            continue
+        for i, part in enumerate(parts):
+            if not rest[i]:
+                continue
+            if exact:
+                ends = [at + len(part)] if x.startswith(part, at) else []
+            else:
+                same = len(os.path.commonprefix([x[at:], part]))
+                ends = range(at + 1, (len(x) if same == len(part) else at + same) + 1)
+            fewer = rest[:i] + (rest[i] - 1,) + rest[i + 1 :]
+            for end in ends:
+                if (state := (end, fewer)) not in seen:
+                    seen.add(state)
+                    stack.append(state)
+    return found
+
+
+def _agree(a: list[str], b: list[str], exact: bool) -> bool:
+    """Whether all words of a and b fall into groups in which one word of a side is made of the other side's.
+
+    Works through the words of a; how many of each word are left on both sides is a state that is
+    tried once, so that repeated words cost little.
+    """
+    (wa, na), (wb, nb) = ((tuple(c), tuple(c.values())) for c in (Counter(a), Counter(b)))
+    seen, stack = set(), [(na, nb)]
+    while stack:
+        state = stack.pop()
+        if state in seen:
+            continue
+        seen.add(state)
+        of_a, of_b = state
+        i = next((k for k, n in enumerate(of_a) if n), None)
+        if i is None:
+            if not any(of_b):
+                return True
+            continue
+        rest = of_a[:i] + (of_a[i] - 1,) + of_a[i + 1 :]
+        stack += [(rest, left) for left in _made_of(wa[i], wb, of_b, exact)]
+        for j, n in enumerate(of_b):
+            if n:
+                fewer = of_b[:j] + (n - 1,) + of_b[j + 1 :]
+                stack += [(left, fewer) for left in _made_of(wb[j], wa, of_a, exact) if left[i] < of_a[i]]
+    return False
+
+
 def _same_words(a: list[str], b: list[str]) -> int:
-    """0 if two lists differ, else how well they agree: 3 equal, 2 joined, 1 shortened."""
+    """0 if two lists differ, else how well they agree: 3 equal, 2 joined, 1 shortened (and perhaps joined)."""
     if sorted(a) == sorted(b):
         return 3
-    if min(len(a), len(b)) == 1 or len(a) != len(b):
-        few, many = (a, b) if len(a) <= len(b) else (b, a)
-        if len(many) <= 6 and len(few) < len(many):
-            whole = "".join(sorted(few)) if len(few) == 1 else None
-            for order in permutations(many):
-                joined = "".join(order)
-                if joined == (whole or "".join(few)) or (len(few) > 1 and any(joined == "".join(p) for p in permutations(few))):
-                    return 2
-    if len(a) == len(b) <= 8 and _pair_up(a, b):
-        return 1
-    return 0
-
-
-def _pair_up(a: list[str], b: list[str]) -> bool:
-    """Whether every word of a has its own word of b of which one is the first part of the other."""
-    if not a:
-        return not b
-    return any((a[0].startswith(w) or w.startswith(a[0])) and _pair_up(a[1:], b[:i] + b[i + 1 :]) for i, w in enumerate(b))
+    if not a or not b:
+        return 0
+    return 2 if _agree(a, b, True) else int(_agree(a, b, False))
 
 
 def same_field(old: str, new: str) -> int:
@@ -126,6 +168,18 @@ def same_field(old: str, new: str) -> int:
     return sum(score) if all(score) else 0
 
 
+def _letters(path: str) -> list[str]:
+    """Depth and first letters of a word of the first and one of the last level; paths that agree have such in common."""
+    levels = path.split("/")
+    of = lambda level: sorted({w[0] for w in words(level)}) or [""]
+    return [f"{len(levels)}{x}/{y}" for x in of(levels[0]) for y in of(levels[-1])]
+
+
+def _with_letters(df: DataFrame, path: str) -> DataFrame:
+    keys = F.pandas_udf(lambda x: pd.Series([_letters(p) for p in x]), "array<string>")
+    return df.withColumn("letters", keys(path)).withColumn("letter", F.explode("letters"))
+
+
 def _agreement(old: str, new: str) -> Column:
     """same_field of two columns; each pair of paths is compared once per worker."""
     return F.pandas_udf(lambda x, y: pd.Series([_cached(a, b) for a, b in zip(x, y)], dtype="int32"), "int")(old, new)
@@ -187,12 +241,10 @@ def changes(files: DataFrame) -> DataFrame:
     gone = bounds.where(F.col("last.at") < F.col("series_last")).select("series_id", F.col("last.at").alias("at"), F.col("path").alias("old_path"), F.col("last_typed.kind").alias("kind"))
     removed = gone.join(with_next(counting).select("series_id", "at", "next_id"), ["series_id", "at"]).select("series_id", F.col("next_id").alias("file_id"), "old_path", "kind")
     added, removed = cut(added), cut(removed)
-    depth = lambda c: F.size(F.split(c, "/"))
-    # one file's removed and added fields of one type and depth; bounded by the fields of one file
-    same = removed.join(
-        added.withColumnRenamed("kind", "new_kind"),
-        ["series_id", "file_id"],
-    ).where(F.coalesce(F.col("kind") == F.col("new_kind"), F.lit(True)) & (depth("old_path") == depth("new_path")))
+    # only fields of one file that share letters meet, each pair once, by its smallest letters in common
+    old, new = _with_letters(removed, "old_path"), _with_letters(added.withColumnRenamed("kind", "new_kind"), "new_path").withColumnRenamed("letters", "new_letters")
+    once = F.col("letter") == F.array_min(F.array_intersect("letters", "new_letters"))
+    same = old.join(new, ["series_id", "file_id", "letter"]).where(once & F.coalesce(F.col("kind") == F.col("new_kind"), F.lit(True)))
     alike = cut(same.select("series_id", "file_id", "old_path", "new_path", _agreement("old_path", "new_path").alias("score")).where("score > 0"))
     rivals = lambda side: F.count("*").over(Window.partitionBy("series_id", "file_id", side))
     alike = alike.withColumn("rivals", F.greatest(rivals("old_path"), rivals("new_path")))
@@ -232,3 +284,97 @@ def typed_table(files: DataFrame, fields: Sequence[tuple[str, str, str]]) -> Dat
     values = values.select("file_id", *[raw(p).alias(f"_{c}") for c, p, _ in fields])
     failed = F.array_compact(F.array(*[F.when(F.col(f"_{c}").isNotNull() & F.col(f"_{c}").try_cast(t).isNull(), F.lit(c)) for c, _, t in fields]))
     return values.select("file_id", *[F.col(f"_{c}").try_cast(t).alias(c) for c, _, t in fields], failed.alias("failed_casts"))
+
+
+#: The column type of a JSON type. Arrays stay JSON text.
+COLUMN_TYPES = {"number": "double", "boolean": "boolean", "string": "string", "array": "string", "null": "string"}
+
+
+def path_statistics(files: DataFrame) -> DataFrame:
+    """(path, kind, n_files): in how many counting files a path has a value of a JSON type, `null` included."""
+    maps = path_maps(files)
+    counted = counting_files(files, maps).select("file_id")
+    entries = maps.join(counted, "file_id", "left_semi").select(F.explode(F.arrays_zip("paths", "kinds")).alias("z"))
+    return entries.groupBy(F.col("z.paths").alias("path"), F.col("z.kinds").alias("kind")).agg(F.count("*").alias("n_files"))
+
+
+def fields_of(statistics: list[tuple[str, str, int]], renames: list[tuple[str, str]]) -> list[tuple[str, str, list[str]]]:
+    """(field, JSON type, its paths) of a schema: paths of the same words, or joined by renames, are one field.
+
+    The field bears the name of its most frequent path (ties: byte order), its type is the most
+    frequent one of its values; a field with nulls only has the type `null`.
+    """
+    root: dict[str, str] = {}
+
+    def find(p: str) -> str:
+        while root.setdefault(p, p) != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    alike: dict[tuple, str] = {}
+    for path, *_ in sorted(statistics):
+        same = alike.setdefault(tuple(tuple(sorted(words(level))) or level for level in path.split("/")), path)
+        root[find(path)] = find(same)
+    for old, new in renames:
+        root[find(old)] = find(new)
+    seen: dict[str, dict[str, int]] = {}
+    kinds: dict[str, dict[str, int]] = {}
+    for path, kind, n in statistics:
+        of = find(path)
+        seen.setdefault(of, {}).setdefault(path, 0)
+        seen[of][path] += n
+        if kind != "null":
+            kinds.setdefault(of, {}).setdefault(kind, 0)
+            kinds[of][kind] += n
+    first = lambda counts: min(counts, key=lambda k: (-counts[k], k))
+    found = [(first(paths), first(kinds[of]) if of in kinds else "null", sorted(paths, key=lambda p: (-paths[p], p))) for of, paths in seen.items()]
+    return sorted(found)
+
+
+def consistent_table(files: DataFrame) -> DataFrame:
+    """One row per counting file with every field of all files as a typed column.
+
+    Columns: file_id, series_id, then one per field (fields_of) in order of name, failed_casts and
+    unplaced. A field is found under all its names. failed_casts lists the fields whose value is no
+    value of the column's type; the column is NULL then, and the raw value is in unplaced, a map of
+    path to raw value, which also takes the second value where a file holds a field under two names.
+    So no value is lost. Fields that a file lacks or that are null are NULL. A repeated delivery or
+    an unreadable payload gives no row (see counting_files); an empty table gives no rows.
+
+    The schema, that is the distinct paths and renames, is read by the driver, as the columns of a
+    table must be; its size does not grow with the number of files.
+    """
+    renames = changes(files).where("change_kind = 'renamed'").select("old_path", "field_path").distinct()
+    fields = fields_of([tuple(r) for r in path_statistics(files).collect()], [tuple(r) for r in renames.collect()])
+    place = {path: i for i, (_, _, paths) in enumerate(fields) for path in paths}
+    rank = {path: k for _, _, paths in fields for k, path in enumerate(paths)}
+    kinds = [kind for _, kind, _ in fields]
+    schema = "file_id bigint, raws array<string>, unplaced map<string,string>"
+    arrow = pa.schema([("file_id", pa.int64()), ("raws", pa.list_(pa.string())), ("unplaced", pa.map_(pa.string(), pa.string()))])
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i, paths, types, raws in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            line, left = [None] * len(fields), []
+            known = [e for e in zip(paths, types, raws) if e[0] in place]  # files that don't count may have other paths
+            for path, kind, raw in sorted(known, key=lambda e: (place[e[0]], rank[e[0]])):
+                at = place[path]
+                if raw is None:
+                    continue
+                fits = kind == kinds[at] or kinds[at] == "string" or (kind == "string" and kinds[at] != "array")
+                if line[at] is None and fits:
+                    line[at] = raw
+                else:
+                    left.append((path, raw))
+            yield i, line, left
+
+    maps = path_maps(files)
+    placed = maps.mapInArrow(_by_batch(arrow, rows, 1_000), schema)
+    counting = counting_files(files, maps).select("file_id", "series_id")
+    raw = lambda i: F.get("raws", F.lit(i))
+    typed = [raw(i).try_cast(COLUMN_TYPES[kind]) for i, kind in enumerate(kinds)]
+    lost = F.array_compact(F.array(*[F.when(raw(i).isNotNull() & t.isNull(), F.lit(f[0])) for i, (t, f) in enumerate(zip(typed, fields))]).cast("array<string>"))
+    field_of = F.create_map(*[F.lit(x) for path, i in place.items() for x in (path, fields[i][0])]) if place else F.create_map().cast("map<string,string>")
+    failed = F.array_sort(F.array_distinct(F.concat(lost, F.transform(F.map_keys("unplaced"), lambda p: field_of[p]))))
+    raw_lost = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f[0]).alias("k"), F.when(t.isNull(), raw(i)).alias("v")) for i, (t, f) in enumerate(zip(typed, fields))]), lambda e: e["v"].isNotNull())) if fields else F.col("unplaced")
+    return placed.join(counting, "file_id").select("file_id", "series_id", *[t.alias(f[0]) for t, f in zip(typed, fields)], failed.alias("failed_casts"), F.map_concat("unplaced", raw_lost).alias("unplaced"))

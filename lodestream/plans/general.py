@@ -117,20 +117,35 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "result_files")).select("file_id", "change_kind", "field_path", "old_path")
 
 
-#: Columns of the typed table: name, path, type.
-P2_FIELDS = [
-    ("any_calibration_certified", "verdict/any_calibration_certified", "boolean"),
-    ("survives", "VERDICT/SURVIVES", "boolean"),
-    ("down_certified", "VERDICT/DOWN_certified", "boolean"),
-    ("ci_lo", "VERDICT/ci_lo", "double"),
-    ("breakeven", "breakeven", "double"),
-    ("stride", "stride", "double"),
-]
+def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One typed row per counting file with every field there is, the casts that failed and what they lost."""
+    return drift.consistent_table(table(spark, sf_dir, "result_files"))
 
 
-def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One typed row per readable file, with the casts that failed."""
-    return drift.typed_table(table(spark, sf_dir, "result_files"), P2_FIELDS)
+def p2_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many files a field's value was no value of its column's type or had no place in it."""
+    return p2_table(spark, sf_dir).select(F.explode("failed_casts").alias("field")).groupBy("field").agg(F.count("*").alias("n_files"))
+
+
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many counting files every path has a value of every JSON type."""
+    return drift.path_statistics(table(spark, sf_dir, "result_files"))
+
+
+#: JSON has no NaN: here it is read as 0, a number as well.
+_P2_FILES = r"""
+WITH RECURSIVE text AS (SELECT file_id, series_id, written_at, regexp_replace(payload, '([:\[,]\s*)(NaN|-?Infinity)', '\1 0', 'g') AS t FROM result_files),
+readable AS (SELECT file_id, series_id, written_at, t::JSON AS top FROM text WHERE json_valid(t) AND json_type(CASE WHEN json_valid(t) THEN t END) = 'OBJECT'),
+counting AS (SELECT series_id, written_at, min(file_id) AS file_id FROM readable WHERE series_id IS NOT NULL AND written_at IS NOT NULL GROUP BY ALL),
+walk AS (
+  SELECT file_id, '' AS path, top AS val FROM readable SEMI JOIN counting USING (file_id)
+  UNION ALL
+  SELECT file_id, CASE WHEN path = '' THEN k ELSE path || '/' || k END, json_extract(val, '$."' || k || '"')
+  FROM (SELECT file_id, path, val, unnest(json_keys(val)) AS k FROM walk WHERE json_type(val) = 'OBJECT')),
+leaf AS (SELECT file_id, path, CASE json_type(val) WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind
+         FROM walk WHERE path <> '' AND json_type(val) <> 'OBJECT')
+"""
+P2_STATISTICS_SQL = _P2_FILES + "SELECT path, kind, count(*) AS n_files FROM leaf GROUP BY ALL"
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,5 +163,5 @@ def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.object_table(_nodes(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ranges": p6_ranges, "p6_stuck": p6_stuck, "p6_limits": p6_limits}
-SQL = {"p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL, "p6_ranges": P6_RANGES_SQL, "p6_stuck": P6_STUCK_SQL}
+QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p2_casts": p2_casts, "p2_statistics": p2_statistics, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ranges": p6_ranges, "p6_stuck": p6_stuck, "p6_limits": p6_limits}
+SQL = {"p2_statistics": P2_STATISTICS_SQL, "p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL, "p6_ranges": P6_RANGES_SQL, "p6_stuck": P6_STUCK_SQL}

@@ -145,3 +145,81 @@ def test_awkward_files(spark):
     assert drift.changes(df.limit(0)).count() == 0
     typed = {r["file_id"]: r for r in drift.typed_table(df, [("a", "A", "double"), ("b", "b", "boolean")]).collect()}
     assert typed[1]["a"] == 1.0 and typed[5]["failed_casts"] == ["a"] and typed[5]["b"] is True and typed[2]["a"] is None
+
+
+def test_long_and_mixed_renames():
+    """Any number of words may be joined, also together with shortening."""
+    from lodestream.operators.drift import same_field
+
+    assert same_field("a_b_c_d_e_f_g", "gfedcba") == 2
+    assert same_field("alphabetagammadeltaepszetaeta", "alpha_beta_gamma_delta_eps_zeta_eta") == 2
+    assert same_field("alpha_beta_gamma_delta_eps_zeta_eta_theta_iota_kappa", "al_be_ga_de_ep_ze_et_th_io_ka") == 1
+    assert same_field("path_mean_calibration", "pathmean_calib") == 1
+    assert same_field("verdict/down_certified", "VERDICT/downcert") == 4
+    assert same_field("mean_of_path", "mean_path") == 0
+    assert same_field("a/b", "a_b") == 0
+
+
+def test_agreement_against_all_ways():
+    """Joined and shortened words against a search through all partitions of short lists."""
+    from itertools import permutations, product
+
+    from lodestream.operators.drift import _agree
+
+    def pieces(x, parts):
+        if not parts:
+            return not x
+        return any(x[:k] and (x[:k].startswith(parts[0]) or parts[0].startswith(x[:k])) and pieces(x[k:], parts[1:]) for k in range(1, len(x) + 1))
+
+    def groups(a, b):
+        if not a:
+            return not b
+        for n in range(1, len(b) + 1):
+            for part in permutations(range(len(b)), n):
+                if pieces(a[0], [b[i] for i in part]) and groups(a[1:], [w for i, w in enumerate(b) if i not in part]):
+                    return True
+        for j, w in enumerate(b):
+            for n in range(1, len(a)):
+                for others in permutations(range(1, len(a)), n):
+                    for at in range(n + 1):
+                        order = [a[i] for i in others]
+                        order.insert(at, a[0])
+                        if pieces(w, order) and groups([x for i, x in enumerate(a) if i and i not in others], b[:j] + b[j + 1 :]):
+                            return True
+        return False
+
+    some = ["a", "ab", "ba", "abb", "c", "cab"]
+    lists = [list(p) for n in (1, 2) for p in product(some, repeat=n)] + [["a", "b", "c"], ["ab", "c", "a"], ["cab", "b", "a"]]
+    for a in lists:
+        for b in lists:
+            assert _agree(a, b, False) == groups(a, b), (a, b)
+
+
+def test_consistent_table(spark):
+    """All fields, under all names; nothing is lost."""
+    import datetime as dt
+    import json
+
+    from lodestream.operators.drift import consistent_table
+
+    at = [dt.datetime(2020, 1, d) for d in range(1, 6)]
+    rows = [
+        (1, "s", at[0], json.dumps({"a": {"max_n": 1, "ok": True}, "t": "x", "list": [1]})),
+        (2, "s", at[1], '{"a": {"MaxN": NaN, "ok": "maybe"}, "t": null, "list": "none"}'),
+        (3, "s", at[1], json.dumps({"a": {"max_n": 9}})),  # a repeated delivery
+        (4, "s", at[2], json.dumps({"a": {"max_n": 3, "MaxN": 4}, "t": 5, "only_null": None})),
+        (5, "s", at[3], "no json"),
+        (6, None, at[4], json.dumps({"z": 1})),
+        (7, "s", at[4], json.dumps({"a": {"ok": "true"}, "t": "y", "list": [2, 3]})),
+    ]
+    df = spark.createDataFrame(rows, "file_id long, series_id string, written_at timestamp, payload string")
+    table = consistent_table(df)
+    assert table.columns == ["file_id", "series_id", "a/MaxN", "a/ok", "list", "only_null", "t", "failed_casts", "unplaced"]  # equally frequent names: byte order
+    got = {r["file_id"]: tuple(r)[2:] for r in table.collect()}
+    assert sorted(got) == [1, 2, 4, 7]
+    assert got[1] == (1.0, True, "[1]", None, "x", [], {})
+    assert got[2][0] != got[2][0] and got[2][1:] == (None, None, None, None, ["a/ok", "list"], {"a/ok": "maybe", "list": "none"})
+    assert got[4] == (4.0, None, None, None, "5", ["a/MaxN"], {"a/max_n": "3"})
+    assert got[7] == (None, True, "[2, 3]", None, "y", [], {})
+    empty = consistent_table(df.limit(0))
+    assert empty.columns == ["file_id", "series_id", "failed_casts", "unplaced"] and empty.count() == 0
