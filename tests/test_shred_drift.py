@@ -210,7 +210,7 @@ def test_consistent_table(spark):
         (4, "s", at[2], json.dumps({"a": {"max_n": 3, "MaxN": 4}, "t": 5, "only_null": None})),
         (5, "s", at[3], "no json"),
         (6, None, at[4], json.dumps({"z": 1})),
-        (7, "s", at[4], json.dumps({"a": {"ok": "true"}, "t": "y", "list": [2, 3]})),
+        (7, "s", at[4], json.dumps({"a": {"ok": True}, "t": "y", "list": [2, 3]})),
     ]
     df = spark.createDataFrame(rows, "file_id long, series_id string, written_at timestamp, payload string")
     table = consistent_table(df)
