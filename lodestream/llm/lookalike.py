@@ -28,6 +28,12 @@ LOOKALIKES = {
     "Å": "Å", "Ω": "Ω", "μ": "µ", "Ɛ": "Ԑ", "ə": "ә", "Ə": "Ә", "æ": "ӕ", "Æ": "Ӕ", "Г": "Γ", "П": "Π", "Ф": "Φ", "к": "ĸ", "ʼ": "ʹ",
     "-": "‐‑‒−﹣⁃˗", ":": "։∶", ";": ";", "·": "·", "…": "⋯", "'": "ʼ", "!": "ǃ", "|": "ǀ∣", "/": "⁄∕", "*": "∗", "~": "∼", "<": "‹˂", ">": "›˃",
 }
+#: Letters of Lisu, Cherokee and Coptic that are drawn like the Latin ones they follow.
+OTHER_SCRIPTS = {
+    "A": "ꓮⲀ", "B": "ꓐⲂ", "C": "ꓚᏟⲤ", "D": "ꓓᎠ", "E": "ꓰᎬ", "F": "ꓝ", "G": "ꓖᏀ", "H": "ꓧᎻⲎ", "I": "ꓲⲒ", "J": "ꓙᎫ", "K": "ꓗᏦⲔ", "L": "ꓡᏞ", "M": "ꓟᎷⲘ",
+    "N": "ꓠⲚ", "O": "ꓳⲞ", "P": "ꓑᏢⲢ", "R": "ꓣᏒ", "S": "ꓢᏚ", "T": "ꓔᎢⲦ", "U": "ꓴՍ", "V": "ꓦᏙ", "W": "ꓪᎳ", "X": "ꓫⲬ", "Y": "ꓬᎽⲨ", "Z": "ꓜᏃⲌ",
+    "c": "ⲥ", "o": "ⲟ", "p": "ⲣ", ".": "ꓸ․", ",": "ꓹ‚",
+}
 #: Joined letters and what they join.
 JOINED = {
     "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj",
@@ -36,8 +42,25 @@ JOINED = {
     "ⅱ": "ii", "ⅲ": "iii", "ⅳ": "iv", "ⅵ": "vi", "ⅶ": "vii", "ⅷ": "viii", "ⅸ": "ix", "ⅺ": "xi", "ⅻ": "xii", "‥": "..", "…": "...", "⋯": "...",
     "㍉": "ミリ", "㌔": "キロ", "㍑": "リットル", "℡": "TEL", "№": "No", "㏄": "cc", "㎏": "kg", "㎜": "mm", "㎝": "cm", "㎞": "km",
 }
-#: Characters without a look: format controls, joiners, variation selectors, fillers.
-INVISIBLE = r"[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{0000}-\x{0008}\x{000E}-\x{001F}\x{007F}]+"
+#: Format characters that are drawn, such as the signs before numbers.
+DRAWN = [*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD, *range(0x13430, 0x13456)]
+
+
+def _invisible() -> str:
+    """A class of the characters without a look: format controls but DRAWN, joiners, variation selectors, fillers."""
+    codes = {c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"} - set(DRAWN)
+    codes |= {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, 0x7F}
+    for low, high in ((0x180B, 0x180F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF), (0x00, 0x08), (0x0E, 0x1F)):
+        codes |= set(range(low, high + 1))
+    spans: list[list[int]] = []
+    for c in sorted(codes):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"\\x{{{low:04X}}}-\\x{{{high:04X}}}" for low, high in spans) + "]+"
+
+
 #: Every blank but the line feed; several in a row look like one wider one and count as one.
 BLANKS = r"[\p{Zs}\t\x{000B}\x{000C}]+"
 
@@ -52,7 +75,7 @@ def letter_map() -> tuple[str, str]:
             wide = unicodedata.normalize("NFKC", char) if code < 0xFF9E or code > 0xFF9F else chr(0x3099 + code - 0xFF9E)
             if len(wide) == 1:
                 table[char] = wide
-    base = {old: new for new, olds in LOOKALIKES.items() for old in olds if old not in JOINED}
+    base = {old: new for letters in (LOOKALIKES, OTHER_SCRIPTS) for new, olds in letters.items() for old in olds if old not in JOINED}
     table |= base
     table = {k: base.get(v, v) for k, v in table.items() if k not in JOINED}
     for code in range(0xC0, 0x2000):  # an accented look-alike is the accented letter
@@ -74,7 +97,7 @@ def form_sql(column: str) -> str:
     """The consistent form of a column as a DuckDB expression."""
     old, new = letter_map()
     letters = lambda x: f"translate({x}, {_quoted(old)}, {_quoted(new)})"
-    sql = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
+    sql = f"regexp_replace({column}, '{_invisible()}', '', 'g')"
     for joined, apart in JOINED.items():
         sql = f"replace({sql}, {_quoted(joined)}, {_quoted(apart)})"
     sql = letters(f"nfc_normalize({letters(sql)})")
@@ -108,21 +131,37 @@ def consistent(df: DataFrame, row_id: str, text: str, with_text: bool = True) ->
     return df.select(row_id, text).mapInArrow(run, schema)
 
 
+def _alike(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row_id, form_key, text_key) of the rows whose look is that of several texts."""
+    keys = cut(consistent(df, row_id, text, with_text=False))
+    several = keys.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("form_key")
+    return cut(keys.join(several, "form_key", "left_semi"))
+
+
 def alike_pairs(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose texts look the same but are not the same characters.
 
-    Only looks with several texts go on, and only rows of different texts pair; exact copies never
-    pair with each other, however many there are.
+    Distinct texts of a look pair first, then their rows are added, so that no pair is made that is
+    not a result: exact copies never meet each other, however many there are.
     """
-    keys = cut(consistent(df, row_id, text, with_text=False))
-    several = keys.groupBy("form_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("form_key")
-    alike = cut(keys.join(several, "form_key", "left_semi"))
-    a, b = (alike.select("form_key", F.col("text_key").alias(f"text_{x}"), F.col(row_id).alias(f"id_{x}")) for x in "ab")
-    return a.join(b, "form_key").where("id_a < id_b AND text_a <> text_b").select("id_a", "id_b")
+    alike = _alike(df, row_id, text)
+    texts = alike.select("form_key", "text_key").distinct()
+    a, b = (texts.select("form_key", F.col("text_key").alias(f"text_{x}")) for x in "ab")
+    pairs = a.join(b, "form_key").where("text_a < text_b").drop("form_key")
+    rows_a, rows_b = (alike.select(F.col("text_key").alias(f"text_{x}"), F.col(row_id).alias(f"row_{x}")) for x in "ab")
+    both = pairs.join(rows_a, "text_a").join(rows_b, "text_b")
+    return both.select(F.least("row_a", "row_b").alias("id_a"), F.greatest("row_a", "row_b").alias("id_b"))
 
 
 def look_classes(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, class_id): the smallest id among the rows of the same look."""
+    """(row_id, class_id, n_links) of every row with a text.
+
+    class_id is the smallest id among the rows of the same look, n_links the number of rows of the
+    same look but other characters. Counts are taken per text and look before they meet the rows, so
+    a text of any number of copies is one row of the counts.
+    """
     keys = cut(consistent(df, row_id, text, with_text=False))
-    first = keys.groupBy("form_key").agg(F.min(row_id).alias("class_id"))
-    return keys.join(first, "form_key").select(row_id, "class_id")
+    texts = cut(keys.groupBy("form_key", "text_key").agg(F.count("*").alias("n"), F.min(row_id).alias("first")))
+    looks = texts.groupBy("form_key").agg(F.sum("n").alias("of_look"), F.min("first").alias("class_id"))
+    known = texts.join(looks, "form_key").select("form_key", "text_key", "class_id", (F.col("of_look") - F.col("n")).alias("n_links"))
+    return keys.join(known, ["form_key", "text_key"]).select(row_id, "class_id", "n_links")

@@ -10,16 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestream.runtime import shared_path
+from lodestream.runtime import shared_path, written
 
 #: Seconds of one entity's time in one state; an entity with most of the rows thus is many states.
 BUCKET_S = 3_600
-#: Right rows of one slice of a replay, which bounds the state.
-SLICE_ROWS = 8_000_000
+#: Rows of a replay that a core takes at once, which bounds the state.
+CORE_ROWS = 2_000_000
+#: Partitions of one slice when it is written.
+SLICE_PARTS = 32
 #: Event time, after all others, of the row that closes a replay.
 END_EPOCH = 9_000_000_000
 
@@ -107,36 +109,57 @@ def nearest_time_stream(left: DataFrame, right: DataFrame, tolerance: int, laten
     return both.groupBy("entity", "bucket").applyInPandasWithState(_step(tolerance), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def replay_nearest(spark: SparkSession, left: DataFrame, right: DataFrame, tolerance: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def _time_slices(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """(bucket, slice): the buckets of time in order, cut into slices of at most so many rows, or of one bucket.
+
+    One row per bucket of time that has rows, whatever the number of rows and entities.
+    """
+    at = F.floor(F.col("epoch") / BUCKET_S)
+    counts = rows.groupBy(at.alias("hour")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    raw = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / slice_rows)
+    return counts.withColumn("raw", raw).select("hour", (F.dense_rank().over(Window.orderBy("raw")) - 1).alias("slice"))
+
+
+def _move(spark: SparkSession, source: str, target: str, prefix: str) -> None:
+    """Move the files of a folder, if there is one, into another of the shared file system, under new names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target))
+    for file in fs.listStatus(path(source)) if fs.exists(path(source)) else []:
+        if not fs.rename(file.getPath(), path(f"{target}/{prefix}-{file.getPath().getName()}")):
+            raise OSError(f"could not move {file.getPath()}")
+
+
+def replay_nearest(spark: SparkSession, left: DataFrame, right: DataFrame, tolerance: int, slice_rows: int | None = None) -> DataFrame:
     """nearest_time_stream over two whole tables (tagged by tag()), however late their rows are.
 
-    The tables are handed to the stream in slices of time, each written to the shared folder and
-    run as one available-now trigger of the same checkpointed query; so within the stream no row
-    is late, and the state holds one slice at most. A closing row then moves the watermark past all
+    Both tables are written once to the shared folder, by slices of time; each slice is moved into
+    the stream's input and run as one available-now trigger of the same checkpointed query. So
+    every row is read once, within the stream no row is late, and the state holds one slice at
+    most. A slice has CORE_ROWS rows for every core of the session unless slice_rows says
+    otherwise; the result is the same for any size. A closing row then moves the watermark past all
     horizons. Left rows without partner give no row; empty tables give none.
     """
     base = shared_path(spark, "nearest")
-    n = right.count()
-    slices = max(1, -(-n // slice_rows))
-    edges = []
-    if slices > 1:
-        edges = right.agg(F.percentile_approx("epoch", [i / slices for i in range(1, slices)], 10_000)).first()[0]
-        edges = sorted(set(edges))
-    bounds = list(zip([None, *edges], [*edges, None]))
+    slice_rows = slice_rows or CORE_ROWS * spark.sparkContext.defaultParallelism
+    slices = written(_time_slices(left.select("epoch").unionByName(right.select("epoch")), slice_rows), "slices")
+    n = (slices.agg(F.max("slice")).first()[0] or 0) + 1
+    closing = F.lit(END_EPOCH).cast("bigint")
     sides = {"left": left, "right": right}
-    schema = left.schema
-    for i, (low, high) in enumerate(bounds):
-        for name, side in sides.items():
-            part = side
-            if low is not None:
-                part = part.where(F.col("epoch") > low)
-            if high is not None:
-                part = part.where(F.col("epoch") <= high)
-            if i == len(bounds) - 1:
-                closing = spark.range(1).select(F.lit("").alias("entity"), F.lit(-1).cast("bigint").alias("bucket"), F.lit(name == "left").alias("is_left"), F.lit(END_EPOCH).cast("bigint").alias("epoch"), F.lit(0).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("tol_s"), F.lit(False).alias("usable"), F.timestamp_seconds(F.lit(END_EPOCH)).alias("event_time"))
-                part = part.unionByName(closing)
-            part.write.mode("append").parquet(f"{base}/in/{name}")
-        streams = [spark.readStream.schema(schema).parquet(f"{base}/in/{name}") for name in sides]
+    for name, side in sides.items():
+        last = spark.range(1).select(
+            F.lit("").alias("entity"), F.lit(-1).cast("bigint").alias("bucket"), F.lit(name == "left").alias("is_left"), closing.alias("epoch"), F.lit(0).cast("bigint").alias("id"),
+            F.lit(0).cast("bigint").alias("tol_s"), F.lit(False).alias("usable"), F.timestamp_seconds(closing).alias("event_time"), F.lit(n - 1).cast("int").alias("slice"),
+        )
+        cut_up = side.join(slices, F.floor(F.col("epoch") / BUCKET_S) == F.col("hour")).drop("hour") if n > 1 else side.withColumn("slice", F.lit(0))
+        if n > 1:  # few files a slice, however many tasks there are
+            cut_up = cut_up.repartition("slice", F.pmod(F.xxhash64("entity", "bucket"), F.lit(SLICE_PARTS)))
+        cut_up.unionByName(last).write.partitionBy("slice").parquet(f"{base}/cut/{name}")
+    for i in range(n):
+        for name in sides:
+            _move(spark, f"{base}/cut/{name}/slice={i}", f"{base}/in/{name}", f"s{i}")
+        streams = [spark.readStream.schema(left.schema).parquet(f"{base}/in/{name}") for name in sides]
         query = (
             nearest_time_stream(*streams, tolerance)
             .writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")

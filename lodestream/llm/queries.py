@@ -104,6 +104,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal look, and how many documents of its class are of other characters."""
+    return lookalike.look_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in the consistent form."""
     return lookalike.consistent(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "form")
@@ -111,5 +116,5 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_shares, p3_found, p7_found, p7_packing, p7_use, p8_found, p8_shares, p8_mixture, p9_found, p9_forms)
+    for f in (p1_found, p1_splits, p1_shares, p3_found, p7_found, p7_packing, p7_use, p8_found, p8_shares, p8_mixture, p9_found, p9_classes, p9_forms)
 }

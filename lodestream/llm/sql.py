@@ -1,4 +1,10 @@
-"""DuckDB SQL with the same results, for the queries that SQL can express."""
+"""DuckDB SQL with the same results, for the queries that SQL can express.
+
+The consistent form is a DuckDB expression in both; the tests hold it against Python's own Unicode
+forms and single characters.
+"""
+
+from lodestream.llm.lookalike import form_sql
 
 P1_FOUND = r"""
 WITH RECURSIVE r AS (
@@ -31,4 +37,9 @@ sides AS (
 SELECT decision_id, tick_id FROM sides WHERE far <= tol_s QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY far, epoch) = 1
 """
 
-SQL = {"p1_found": P1_FOUND, "p3_found": P3_FOUND}
+_FORMS = f"WITH k AS (SELECT doc_id, text, {form_sql('text')} AS form FROM documents WHERE text IS NOT NULL)"
+P9_FOUND = _FORMS + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"
+P9_CLASSES = _FORMS + """ SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS n_links FROM k"""
+P9_FORMS = _FORMS + " SELECT doc_id, form FROM k"
+
+SQL = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p9_found": P9_FOUND, "p9_classes": P9_CLASSES, "p9_forms": P9_FORMS}
