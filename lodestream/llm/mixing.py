@@ -14,6 +14,21 @@ SHUFFLE_SHARDS, TIME_SLICES = 256, 512
 SHARD_ROWS = 200_000
 
 
+def latest_finish(sources: list[tuple[float, int, int]], budget: int) -> float:
+    """A virtual time by which fair queueing has surely spent the budget; infinite if supply ends before.
+
+    sources: (share, tokens offered, longest item) of each. At time t a source has finished at least
+    min(share * t, offered) less one item. Only the rows up to this time need an order.
+    """
+    served = lambda t: sum(offered if share * t >= offered else max(share * t - longest, 0) for share, offered, longest in sources)
+    high = 1.0
+    while served(high) < budget:
+        if all(share * high >= offered for share, offered, _ in sources):
+            return float("inf")
+        high *= 1.1
+    return high
+
+
 def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(chosen, report) of documents (doc_id, source, text_key, n_tokens) mixed to target shares.
 
@@ -44,8 +59,11 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFr
     queue = running_total(offers, F.col("n_tokens"), [at, F.col("doc_id")], place, ["source_name"], "own_tokens")
     finish = F.col("own_tokens") / F.col("target_share")
     queue = cut(queue.withColumn("finish", finish))
-    horizon = queue.agg(F.coalesce(F.max("finish"), F.lit(1.0))).first()[0]
-    slice_no = F.floor(F.col("finish") / horizon * (slices - 1))
+    # one row for each source of the targets, a fixed table
+    known = queue.groupBy("source_name").agg(F.max("target_share").alias("share"), F.sum("n_tokens").alias("offered"), F.max("n_tokens").alias("longest"), F.max("finish").alias("finish")).collect()
+    end = min(latest_finish([(r["share"], r["offered"], r["longest"]) for r in known], budget), max((r["finish"] for r in known), default=1.0))
+    queue = queue.where(F.col("finish") <= end)
+    slice_no = F.floor(F.col("finish") / end * (slices - 1))
     spent = running_total(queue, F.col("n_tokens"), [F.col("finish"), F.col("source_name"), F.col("doc_id"), F.col("repeat")], slice_no, out="spent")
     chosen = cut(spent.where(F.col("spent") <= budget).select("doc_id", "source_name", "repeat", "n_tokens"))
     supply = offers.groupBy("source_name").agg(F.sum("n_tokens").alias("offered_tokens"))

