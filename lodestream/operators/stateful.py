@@ -40,13 +40,14 @@ def by_blocks(df: DataFrame, key: str, ts: str, value: str, block_s: int, warmup
     return rows.groupBy(key, "_block").applyInArrow(run, f"{key} string, {ts} {kind}, " + ", ".join(f"{c} double" for c in out))
 
 
-def by_rows(df: DataFrame, key: str, ts: str, value: str, block: int, warmup: int, function: Callable[[np.ndarray], dict[str, np.ndarray]], out: list[str]) -> DataFrame:
-    """(key, ts, *out): function over blocks of `block` rows of a key, each with the `warmup` rows before it.
+def frames_by_rows(df: DataFrame, key: str, ts: str, columns: list[str], block: int, warmup: int, function: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: list[str]) -> DataFrame:
+    """(key, ts, *out): function over frames of `block` rows of a key, each with the `warmup` rows before it.
 
     A function of the last warmup + 1 rows gives the same as over the whole series, however far the
-    rows lie apart. Rows with NULL key, time or value are left out; times must not repeat.
+    rows lie apart; so does one that forgets older rows. Rows with NULL key or time or in a column
+    are left out; times must not repeat. NaN in the result is NULL.
     """
-    some = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(value).isNotNull()).select(key, ts, F.col(value).cast("double").alias("_v"))
+    some = df.select(key, ts, *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     nth = numbered(some, [F.col(ts)], F.floor(F.col(ts) / 86_400), [key], "_nth").withColumn("_nth", F.col("_nth") - 1)
     last = nth.groupBy(key).agg(F.floor(F.max("_nth") / block).alias("_last"))
     until = F.least(F.floor((F.col("_nth") + warmup) / block), F.col("_last"))
@@ -56,12 +57,17 @@ def by_rows(df: DataFrame, key: str, ts: str, value: str, block: int, warmup: in
     def run(group_key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_nth")
         keep = rows["_nth"].to_numpy() // block == group_key[1].as_py()
-        made = function(rows["_v"].to_numpy())
+        made = function({c: rows[c].to_numpy() for c in columns})
         return pa.table([rows[key].filter(pa.array(keep)), rows[ts].filter(pa.array(keep))] + [pa.array(np.asarray(made[c], float)[keep], from_pandas=True) for c in out], names=[key, ts, *out])
 
     return rows.groupBy(key, "_block").applyInArrow(run, f"{key} string, {ts} {kind}, " + ", ".join(f"{c} double" for c in out))
 
 
+def by_rows(df: DataFrame, key: str, ts: str, value: str, block: int, warmup: int, function: Callable[[np.ndarray], dict[str, np.ndarray]], out: list[str]) -> DataFrame:
+    """frames_by_rows of a function of one column's values."""
+    return frames_by_rows(df, key, ts, [value], block, warmup, lambda columns: function(columns[value]), out)
+
+
 def local_trend(v: np.ndarray, level_gain: float = 0.2, slope_gain: float = 0.02) -> dict[str, np.ndarray]:
     """Steady-gain Kalman filter of a local linear trend: slope and innovation."""
     slope, innovation = np.zeros(len(v)), np.zeros(len(v))

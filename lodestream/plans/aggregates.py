@@ -221,12 +221,12 @@ def ref_a22_index_percentile(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("stream_id").agg(F.max(F.when(F.col("k") == F.floor(0.95 * (F.col("m") - 1)) + 1, F.col("n"))).alias("p95"))
 
 
-@query(BARS_SQL + """, r AS (SELECT stream_id, close, (close / lag(close) OVER (PARTITION BY stream_id ORDER BY t) - 1) * 10000 AS r FROM b), f AS (SELECT * FROM r WHERE abs(r) < 100)
+@query(BARS_SQL + """, r AS (SELECT stream_id, close, (close / lag(close) OVER (PARTITION BY stream_id ORDER BY t) - 1) * 10000 AS r FROM b), f AS (SELECT * FROM r WHERE r IS NOT NULL)
 SELECT stream_id, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS sd, round(stddev_pop(r), 6) AS sd_pop, round(skewness(r), 4) AS skew, round(kurtosis(r), 4) AS kurt FROM f GROUP BY 1""")
 def ref_a23_moments(spark: SparkSession, sf: str) -> DataFrame:
     """Moments of bar returns with the bias-corrected skewness and kurtosis."""
     w = Window.partitionBy("stream_id").orderBy("t")
-    r = minute_bars(spark, sf).select("stream_id", ((F.col("close") / F.lag("close").over(w) - 1) * 10000).alias("r")).where("abs(r) < 100")
+    r = minute_bars(spark, sf).select("stream_id", ((F.col("close") / F.lag("close").over(w) - 1) * 10000).alias("r")).where("r IS NOT NULL")
     n = F.count("r").cast("double")
     skew = F.skewness("r") * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = ((n + 1) * F.kurtosis("r") + 6) * (n - 1) / ((n - 2) * (n - 3))

@@ -229,14 +229,14 @@ def ref_x04_payout_floor(spark: SparkSession, sf: str) -> DataFrame:
     return w.groupBy("pair").agg(F.max_by("pay_floor", F.struct("worst", -F.col("pay_floor"))).alias("pay_floor"), F.max("worst").alias("worst"))
 
 
-@query(BARS_SQL + """, v AS (SELECT t, max(close) FILTER (stream_id = 'EURUSD:alder') AS a, max(close) FILTER (stream_id = 'AUDUSD:alder') AS c FROM b GROUP BY t), x AS (SELECT 'EURAUD' AS stream_id, t, (a / c - lag(a / c) OVER (ORDER BY t)) * 10000 AS d FROM v WHERE a IS NOT NULL AND c IS NOT NULL), y AS (SELECT *, greatest(d, 0) AS up, greatest(-d, 0) AS dn FROM x WHERE d IS NOT NULL AND abs(d) < 1000) """
+@query(BARS_SQL + """, v AS (SELECT t, max(close) FILTER (stream_id = 'EURUSD:alder') AS a, max(close) FILTER (stream_id = 'AUDUSD:alder') AS c FROM b GROUP BY t), x AS (SELECT 'EURAUD' AS stream_id, t, (a / c - lag(a / c) OVER (ORDER BY t)) * 10000 AS d FROM v WHERE a IS NOT NULL AND c IS NOT NULL), y AS (SELECT *, greatest(d, 0) AS up, greatest(-d, 0) AS dn FROM x WHERE d IS NOT NULL) """
        + f"SELECT stream_id, t, round(100 * {rolled('avg(up)', 'up', 14)} / ({rolled('avg(up)', 'up', 14)} + {rolled('avg(dn)', 'dn', 14)} + 1e-6), 4) AS rsi FROM y")
 def ref_x15_ratio_cross(spark: SparkSession, sf: str) -> DataFrame:
     """Simple-mean RSI of a synthetic ratio."""
     leg = lambda s: F.max(F.when(F.col("stream_id") == s, F.col("close")))
     v = minute_bars(spark, sf).where(F.col("stream_id").isin("EURUSD:alder", "AUDUSD:alder")).groupBy("t").agg(leg("EURUSD:alder").alias("a"), leg("AUDUSD:alder").alias("c")).dropna()
     x = v.select(F.lit("EURAUD").alias("stream_id"), "t", (F.col("a") / F.col("c")).alias("q"))
-    y = x.withColumn("d", (F.col("q") - F.lag("q").over(win())) * 10000).where("d IS NOT NULL AND abs(d) < 1000")
+    y = x.withColumn("d", (F.col("q") - F.lag("q").over(win())) * 10000).where("d IS NOT NULL")
     y = y.withColumns({"up": F.greatest("d", F.lit(0.0)), "dn": F.greatest(-F.col("d"), F.lit(0.0))})
     up, dn = roll(F.avg("up"), "up", 14), roll(F.avg("dn"), "dn", 14)
     return y.select("stream_id", "t", F.round(100 * up / (up + dn + 1e-6), 4).alias("rsi"))

@@ -26,16 +26,14 @@ def by_time(rows: DataFrame) -> DataFrame:
     return numbered(rows, [F.col("ts"), F.col("row_id")], F.floor(F.col("ts") / 86400), ["pair"])
 
 
-#: Bars with the return in basis points; faulty prices give wild returns, which are nulled.
+#: Bars with the return in basis points.
 RET_SQL = BARS_SQL + """,
-r0 AS (SELECT *, (close / lag(close) OVER (PARTITION BY stream_id ORDER BY t) - 1) * 10000 AS r00 FROM b),
-r AS (SELECT stream_id, t, open, high, low, close, n, CASE WHEN abs(r00) < 100 THEN r00 END AS r FROM r0)"""
+r AS (SELECT stream_id, t, open, high, low, close, n, (close / lag(close) OVER (PARTITION BY stream_id ORDER BY t) - 1) * 10000 AS r FROM b)"""
 
 
 def returns(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars with r, the return in basis points, NULL where it is wild."""
-    raw = (F.col("close") / F.lag("close").over(win()) - 1) * 10000
-    return minute_bars(spark, sf).withColumn("r", raw).withColumn("r", F.when(F.abs("r") < 100, F.col("r")))
+    """Bars with r, the return in basis points."""
+    return minute_bars(spark, sf).withColumn("r", (F.col("close") / F.lag("close").over(win()) - 1) * 10000)
 
 
 def frame(rows: int, end: int = 0) -> str:
