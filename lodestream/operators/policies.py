@@ -10,19 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.operators.scan import clipped_levels, numbered, running_total
+from lodestream.operators.scan import clipped_levels, numbered, running_total, with_previous
 
 
 def policy_replay(df: DataFrame, key: str, close: str, edge: str, row_id: str, pair: str, sign: str, hold_s: int, cap: int) -> DataFrame:
-    """(row_id, taken, reason) of candidates replayed day by day in order of (close, -edge, row_id).
+    """(row_id, taken, reason) of candidates replayed in order of (close, -edge, row_id).
 
     A candidate is refused while its pair has an open position (`same_pair`) or while `cap` open
-    positions have its sign (`sign_cap`). Positions are open for hold_s and end with their day, the
-    unit of work; key spreads independent books.
+    positions have its sign (`sign_cap`). Positions are open for hold_s, over midnight as well. The
+    series of a key is cut only where no position can be open: where hold_s passed since the last
+    candidate; without such a place it is replayed in one piece, as the rule's state has no bound
+    that could be summed up. key spreads independent books. Rows without time have no turn.
     """
+    order = [F.col(close), F.col(row_id)]
+    rows = df.where(F.col(close).isNotNull()).select(key, close, edge, F.col(row_id).cast("bigint").alias(row_id), pair, sign)
+    chunk = max(86_400, hold_s)
+    far = with_previous(rows, [key], close, order, [close], chunk_s=chunk)
+    new = F.coalesce((F.col(close) - F.col(f"prev.{close}") >= hold_s).cast("int"), F.lit(1))
+    pieces = running_total(far.withColumn("_new", new).drop("prev"), F.col("_new"), order, F.floor(F.col(close) / chunk), [key], "_piece")
 
-    def replay(day: pa.Table) -> pa.Table:
-        rows = day.to_pylist()
+    def replay(piece: pa.Table) -> pa.Table:
+        rows = piece.to_pylist()
         rows.sort(key=lambda r: (r[close], -(r[edge] if r[edge] is not None else -math.inf), r[row_id]))
         held: list[tuple] = []
         out = []
@@ -35,8 +43,7 @@ def policy_replay(df: DataFrame, key: str, close: str, edge: str, row_id: str, p
         cols = list(zip(*out)) or [[], [], []]
         return pa.table({"row_id": pa.array(cols[0], pa.int64()), "taken": pa.array(cols[1], pa.bool_()), "reason": pa.array(cols[2], pa.string())})
 
-    rows = df.where(F.col(close).isNotNull()).select(key, close, edge, F.col(row_id).cast("bigint").alias(row_id), pair, sign)
-    return rows.withColumn("_day", F.floor(F.col(close) / 86_400)).groupBy(key, "_day").applyInArrow(replay, "row_id bigint, taken boolean, reason string")
+    return pieces.groupBy(key, "_piece").applyInArrow(replay, "row_id bigint, taken boolean, reason string")
 
 
 def adaptive_gate(errors: Iterable[int], target: float = 0.1, rate: float = 0.05, start: float = 0.1) -> np.ndarray:
@@ -75,8 +82,6 @@ MOVES = {"new": {"claimed", "expired"}, "claimed": {"sent", "released", "expired
 
 def illegal_moves(log: DataFrame, signal: str, seq: str, status: str) -> DataFrame:
     """(signal, seq, was, status) of log rows that aren't legal moves; the first status must be 'new'."""
-    from lodestream.operators.scan import with_previous
-
     rows = with_previous(log, [signal], seq, [F.col(seq)], [status], chunk_s=1_000_000)
     was = F.coalesce(F.col(f"prev.{status}"), F.lit(""))
     legal = (was == "") & (F.col(status) == "new")
@@ -85,13 +90,38 @@ def illegal_moves(log: DataFrame, signal: str, seq: str, status: str) -> DataFra
     return rows.where(~F.coalesce(legal, F.lit(False))).select(signal, seq, was.alias("was"), status)
 
 
-def two_look_bounds(n1: int, n2: int, p0: float, alpha: float) -> tuple[int, int]:
-    """Fewest wins at the first look and in total at the second that reject p0, spending alpha / 2 on each, exactly."""
-    tail = lambda n, k: sum(math.comb(n, i) * p0**i * (1 - p0) ** (n - i) for i in range(k, n + 1))
-    first = next(k for k in range(n1 + 2) if tail(n1, k) <= alpha / 2)
+def two_look_bounds(n1: int, n2: int, p0: float, alpha: float, alpha1: float, z1: float = 0.0, z2: float = 0.0) -> tuple[int, int]:
+    """Fewest wins of n1 at the first look, and in total of n1 + n2 at the second, that reject p0.
+
+    Exact: the first look spends at most alpha1, both together at most alpha; what the first did not
+    spend is left to the second. z1 and z2 are least normal scores of the counts at the looks.
+    """
+    tail = lambda n, k: sum(math.comb(n, i) * p0**i * (1 - p0) ** (n - i) for i in range(max(k, 0), n + 1))
+    least = lambda n, z: math.ceil(p0 * n + z * math.sqrt(p0 * (1 - p0) * n) - 1e-9)
+    first = max(next(k for k in range(n1 + 2) if tail(n1, k) <= alpha1), least(n1, z1))
     stay = [math.comb(n1, i) * p0**i * (1 - p0) ** (n1 - i) for i in range(min(first, n1 + 1))]
-    second = next(k for k in range(n1 + n2 + 2) if sum(w * tail(n2, max(0, k - i)) for i, w in enumerate(stay)) <= alpha / 2)
-    return first, second
+    spent = tail(n1, first)
+    second = next((k for k in range(n1 + n2 + 1) if spent + sum(w * tail(n2, k - i) for i, w in enumerate(stay)) <= alpha), n1 + n2 + 1)
+    return first, max(second, least(n1 + n2, z2))
+
+
+def selective_gate(scores: np.ndarray, wins: np.ndarray, target: float, rate: float = 0.02, start: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(traded, level): rows whose score reaches a threshold that moves after every traded row by rate (error - (1 - target)).
+
+    The level starts at the median score and stays between the scores' 5 % and 99.5 % quantiles; it
+    is never started again. Outcomes of rows that are not traded move nothing.
+    """
+    if not len(scores):
+        return np.zeros(0, bool), np.zeros(0)
+    level = float(np.quantile(scores, 0.5)) if start is None else start
+    low, high = float(np.quantile(scores, 0.05)), float(np.quantile(scores, 0.995))
+    traded, levels = np.zeros(len(scores), bool), np.zeros(len(scores))
+    for i, (score, win) in enumerate(zip(scores, wins)):
+        levels[i] = level
+        if score >= level:
+            traded[i] = True
+            level = min(high, max(low, level + rate * ((1 - win) - (1 - target))))
+    return traded, levels
 
 
 def surrogate_means(values: np.ndarray, replicates: int, seed: int) -> np.ndarray:

@@ -108,8 +108,8 @@ def indicator_set(bars: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     c = bars["close"]
     move = c - lagged(c)
     far = lambda n: c / rolled(c, n, np.mean) - 1
-    still = lambda x: np.where(x < 1e-8, 0.0, x)
-    dev = deviation(c, 10) * 1e4
+    still = lambda x: np.where(x < 1e-7, 0.0, x)
+    dev = still(deviation(c, 10)) * 1e4
     change = dev - lagged(dev)
     ups, downs = (ewm(np.where(np.isnan(change), np.nan, np.maximum(s * change, 0)), 0.1) for s in (1, -1))
     path = np.abs(move)

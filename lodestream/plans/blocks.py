@@ -98,26 +98,31 @@ def ref_f02_all_clocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def indicators_sql(seconds: int, s: str) -> str:
     """Tables that end in g_<s>: (stream_id, t) and the indicator set."""
-    still = lambda n: f"CASE WHEN {_over('stddev_samp(c)', n)} < 1e-8 THEN 0 ELSE {_over('stddev_samp(c)', n)} END"
-    dev10, far = _over("stddev_samp(c)", 10), lambda n: f"c / {_over('avg(c)', n)} - 1"
+    still = lambda n: f"CASE WHEN {_over('stddev_samp(c)', n)} < 1e-7 THEN 0 ELSE {_over('stddev_samp(c)', n)} END"
+    far = lambda n: f"c / {_over('avg(c)', n)} - 1"
     return f"""b_{s} AS (SELECT stream_id, epoch // {seconds} * {seconds} AS t, arg_max(quote, epoch) AS c FROM u GROUP BY ALL),
-x_{s} AS (SELECT *, abs(c - lag(c) {_W}) AS path, greatest(c - lag(c) {_W}, 0) AS rise, greatest(lag(c) {_W} - c, 0) AS fall, lag(c) {_W} IS NOT NULL AS ok, {dev10} * 1e4 AS dev, {far(14)} AS far14, {far(20)} AS far20, c - {_over('avg(c)', 30)} AS over30 FROM b_{s}),
+x_{s} AS (SELECT *, abs(c - lag(c) {_W}) AS path, greatest(c - lag(c) {_W}, 0) AS rise, greatest(lag(c) {_W} - c, 0) AS fall, lag(c) {_W} IS NOT NULL AS ok, ({still(10)}) * 1e4 AS dev, {far(14)} AS far14, {far(20)} AS far20, c - {_over('avg(c)', 30)} AS over30 FROM b_{s}),
 v_{s} AS (SELECT stream_id, t, dev - lag(dev) {_W} AS ch FROM x_{s}), w_{s} AS (SELECT stream_id, t, row_number() {_W} - 1 AS i, greatest(ch, 0) AS vu, greatest(-ch, 0) AS vd FROM v_{s} WHERE ch IS NOT NULL),
 {_ema('vu', f'w_{s}', 0.1, f'vu_{s}')}, {_ema('vd', f'w_{s}', 0.1, f'vd_{s}')},
 y_{s} AS (SELECT *, CASE WHEN ok THEN rise END AS up, CASE WHEN ok THEN fall END AS dn, (over30 > 1e-9)::INT AS above, (over30 < -1e-9)::INT AS below FROM x_{s}),
 g_{s} AS (SELECT y.stream_id, y.t, far14 * 100 AS disp, far20 / (2 * {_over('stddev_samp(far20)', 20, 'far20')} + 1e-7) AS madz, 100 - 100 / (1 + vu_{s} / (vd_{s} + 1e-7)) AS rvivol,
 ({_over('sum(up)', 14, 'up')} - {_over('sum(dn)', 14, 'up')}) / ({_over('sum(up)', 14, 'up')} + {_over('sum(dn)', 14, 'up')} + 1e-7) * 100 AS cmo, {_over('sum(above)', 30, 'above')} / ({_over('sum(above)', 30, 'above')} + {_over('sum(below)', 30, 'above')} + 1e-12) * 100 AS tii,
-abs(c - lag(c, 10) {_W}) / ({_over('sum(path)', 10, 'path')} + 1e-7) AS kamaer, {still(5)} / ({still(20)} + 1e-7) AS volr,
+abs(c - lag(c, 10) {_W}) / ({_over('sum(path)', 10, 'path')} + 1e-7) AS kamaer, ({still(5)}) / (({still(20)}) + 1e-7) AS volr,
 100 * log10({_over('sum(path)', 14, 'path')} / ({_over('max(c)', 14)} - {_over('min(c)', 14)} + 1e-7) + 1e-7) / log10(14) AS chop FROM y_{s} y LEFT JOIN vu_{s} USING (stream_id, t) LEFT JOIN vd_{s} USING (stream_id, t))"""
 
 
+def _digits(indicator: str) -> int:
+    """Decimals of an indicator; ratios of deviations are exact to fewer."""
+    return 2 if indicator in ("volr", "rvivol") else 3
+
+
 #: The clocks of the indicators.
 _SLOW = {"1m": 60, "5m": 300, "15m": 900, "30m": 1_800, "60m": 3_600}
 
 
 @query(TICKS_SQL + ", " + ", ".join(indicators_sql(s, c) for c, s in _SLOW.items())
        + "".join(f", l_{c} AS (SELECT stream_id, t, {', '.join(f'lag({x}) {_W} AS {x}' for x in T.INDICATORS)} FROM g_{c})" for c in _SLOW if c != "1m")
-       + " SELECT g_1m.stream_id, g_1m.t, " + ", ".join(f"round({'g' if c == '1m' else 'l'}_{c}.{x}, 3) AS k{c}_{x}" for c in _SLOW for x in T.INDICATORS) + " FROM g_1m "
+       + " SELECT g_1m.stream_id, g_1m.t, " + ", ".join(f"round({'g' if c == '1m' else 'l'}_{c}.{x}, {_digits(x)}) AS k{c}_{x}" for c in _SLOW for x in T.INDICATORS) + " FROM g_1m "
        + " ".join(f"JOIN l_{c} ON g_1m.stream_id = l_{c}.stream_id AND l_{c}.t = g_1m.t // {_SLOW[c]} * {_SLOW[c]}" for c in _SLOW if c != "1m"))
 def ref_f38_all_clocks(spark: SparkSession, sf: str) -> DataFrame:
     """The indicator set on five clocks, of the slower ones that of the last completed bar."""
@@ -129,7 +134,7 @@ def ref_f38_all_clocks(spark: SparkSession, sf: str) -> DataFrame:
         else:
             done = made.select("stream_id", F.col("t").alias("slow"), *[F.lag(x).over(win()).alias(f"k{c}_{x}") for x in T.INDICATORS])
             wide = wide.withColumn("slow", F.floor(F.col("t") / s) * s).join(done, ["stream_id", "slow"]).drop("slow")
-    return wide.select("stream_id", "t", *[F.round(f"k{c}_{x}", 3).alias(f"k{c}_{x}") for c in _SLOW for x in T.INDICATORS])
+    return wide.select("stream_id", "t", *[F.round(f"k{c}_{x}", _digits(x)).alias(f"k{c}_{x}") for c in _SLOW for x in T.INDICATORS])
 
 
 #: Lookbacks of the block across pairs.

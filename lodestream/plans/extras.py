@@ -240,7 +240,7 @@ def ref_x27_capped_ranks(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ref_x29_sequential_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Two-look exact binomial bounds against what the pairs reached."""
-    a, b = P.two_look_bounds(60, 60, 0.5, 0.05)
+    a, b = P.two_look_bounds(60, 60, 0.5, 0.05, 0.01, 2.0, 1.645)
     s = numbered(scored(spark, sf), [F.col("ts"), F.col("row_id")], F.floor(F.col("ts") / 86_400), ["pair"])
     wins = lambda n: F.sum(F.when(F.col("nth") <= n, won().cast("int")).otherwise(0))
     return s.groupBy("pair").agg(wins(60).alias("first"), wins(120).alias("total")).select("pair", "first", (F.col("first") >= a).alias("stop_first"), "total", (F.col("total") >= b).alias("reject"))
@@ -277,7 +277,7 @@ def ref_e20_hedge_ensemble(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ref_e24_policy_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Decisions replayed under exposure rules, day by day."""
+    """Decisions replayed under exposure rules."""
     d = table(spark, sf, "decisions").where("candidate_direction IS NOT NULL").withColumn("edge", F.get_json_object("row_json", "$.p_up").cast("double"))
     d = d.withColumn("book", F.lit("all")).withColumn("sign", F.when(F.col("candidate_direction") == "UP", 1).otherwise(-1))
     return P.policy_replay(d, "book", "decision_close_epoch", "edge", "decision_id", "pair", "sign", 900, 3)

@@ -277,9 +277,10 @@ def ref_f39_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("stream_id", "t", nr7.cast("int").alias("nr7"), F.coalesce(rev.cast("int"), F.lit(0)).alias("reversal"))
 
 
-def _blocks(spark: SparkSession, sf: str, function, columns: list[str], source: str = "p") -> DataFrame:
+def _blocks(spark: SparkSession, sf: str, function, columns: list[str], source: str = "p", warmup: int = 1_024) -> DataFrame:
+    """A function of at most warmup + 1 rows, or one that forgets what lies further back, in blocks of rows."""
     rows = indexed(spark, sf) if source == "p" else returns(spark, sf)
-    return S.by_blocks(rows.select("stream_id", "t", source), "stream_id", "t", source, 86_400, 43_200, function, columns)
+    return S.by_rows(rows.select("stream_id", "t", source), "stream_id", "t", source, 4_096, warmup, function, columns)
 
 
 @query()
@@ -295,10 +296,15 @@ def ref_f20_fractional_difference(spark: SparkSession, sf: str) -> DataFrame:
     return S.by_rows(rows, "stream_id", "t", "p", 4_096, len(S.fractional_weights()) - 1, S.fractional_difference, ["ffd"])
 
 
+#: Rows after which the two-state filter has forgotten where it started.
+_FORGOTTEN = 1_024
+
+
 @query()
 def ref_f22_two_state_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Forward probability of the wild state."""
-    return _blocks(spark, sf, S.two_state_filter, ["wild"], "r")
+    """Forward probability of the wild state; scales of 480 rows before, 60 at least, as the streams are short."""
+    rows = returns(spark, sf).select("stream_id", "t", "r")
+    return S.by_rows(rows, "stream_id", "t", "r", 4_096, 480 + _FORGOTTEN, lambda v: S.two_state_filter(v, rows=480, least=60), ["wild"])
 
 
 @query()
