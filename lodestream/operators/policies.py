@@ -90,12 +90,13 @@ def illegal_moves(log: DataFrame, signal: str, seq: str, status: str) -> DataFra
     return rows.where(~F.coalesce(legal, F.lit(False))).select(signal, seq, was.alias("was"), status)
 
 
-def two_look_bounds(n1: int, n2: int, p0: float, alpha: float, alpha1: float, z1: float = 0.0, z2: float = 0.0) -> tuple[int, int]:
+def two_look_bounds(n1: int, n2: int, p0: float, alpha: float, alpha1: float | None = None, z1: float = 0.0, z2: float = 0.0) -> tuple[int, int]:
     """Fewest wins of n1 at the first look, and in total of n1 + n2 at the second, that reject p0.
 
-    Exact: the first look spends at most alpha1, both together at most alpha; what the first did not
+    Exact: the first look spends at most alpha1 (half of alpha unless given), both together at most alpha; what the first did not
     spend is left to the second. z1 and z2 are least normal scores of the counts at the looks.
     """
+    alpha1 = alpha / 2 if alpha1 is None else alpha1
     tail = lambda n, k: sum(math.comb(n, i) * p0**i * (1 - p0) ** (n - i) for i in range(max(k, 0), n + 1))
     least = lambda n, z: math.ceil(p0 * n + z * math.sqrt(p0 * (1 - p0) * n) - 1e-9)
     first = max(next(k for k in range(n1 + 2) if tail(n1, k) <= alpha1), least(n1, z1))
@@ -105,25 +106,6 @@ def two_look_bounds(n1: int, n2: int, p0: float, alpha: float, alpha1: float, z1
     return first, max(second, least(n1 + n2, z2))
 
 
-def selective_gate(scores: np.ndarray, wins: np.ndarray, target: float, rate: float = 0.02, start: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(traded, level): rows whose score reaches a threshold that moves after every traded row by rate (error - (1 - target)).
-
-    The level starts at the median score and stays between the scores' 5 % and 99.5 % quantiles; it
-    is never started again. Outcomes of rows that are not traded move nothing.
-    """
-    if not len(scores):
-        return np.zeros(0, bool), np.zeros(0)
-    level = float(np.quantile(scores, 0.5)) if start is None else start
-    low, high = float(np.quantile(scores, 0.05)), float(np.quantile(scores, 0.995))
-    traded, levels = np.zeros(len(scores), bool), np.zeros(len(scores))
-    for i, (score, win) in enumerate(zip(scores, wins)):
-        levels[i] = level
-        if score >= level:
-            traded[i] = True
-            level = min(high, max(low, level + rate * ((1 - win) - (1 - target))))
-    return traded, levels
-
-
 def surrogate_means(values: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """Lag-one product means of phase-randomised surrogates: same spectrum, random phases."""
     rng = np.random.default_rng(seed)

@@ -63,7 +63,10 @@ def ref_e03_nonoverlap(spark: SparkSession, sf: str) -> DataFrame:
     return X.nonoverlap_chrono(s, ["pair"], "ts", "row_id", 3600)
 
 
-@query()
+@query(SCORED_SQL.replace("WITH", "WITH RECURSIVE") + """, o AS (SELECT pair, ts, row_id, row_number() OVER (PARTITION BY pair ORDER BY abs(p - 0.5) DESC, row_id) AS k FROM s),
+g AS (SELECT pair, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS ts, NULL::BIGINT AS row_id, false AS ok FROM (SELECT DISTINCT pair FROM o)
+  UNION ALL SELECT o.pair, o.k, CASE WHEN len(list_filter(g.taken, lambda x: abs(x - o.ts) < 3600)) = 0 THEN list_append(g.taken, o.ts) ELSE g.taken END, o.ts, o.row_id, len(list_filter(g.taken, lambda x: abs(x - o.ts) < 3600)) = 0 FROM g JOIN o ON o.pair = g.pair AND o.k = g.k + 1)
+SELECT pair, ts, row_id FROM g WHERE ok""")
 def ref_e04_nonoverlap_by_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy picks by confidence an hour apart."""
     return X.nonoverlap_by_confidence(scored(spark, sf).withColumn("conf", conf()), ["pair"], "ts", "row_id", "conf", 3600)

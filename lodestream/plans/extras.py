@@ -237,7 +237,8 @@ def ref_x27_capped_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return r.where((F.col("n") <= 200) | (F.floor(k * (F.col("n") - 1) / 199) == F.col("i"))).select("row_id")
 
 
-@query()
+@query(SCORED_SQL + f""", n AS (SELECT pair, {_WIN_SQL} AS won, row_number() OVER (PARTITION BY pair ORDER BY ts, row_id) AS nth FROM s), w AS (SELECT pair, coalesce(sum(won) FILTER (nth <= 60), 0)::BIGINT AS first, coalesce(sum(won) FILTER (nth <= 120), 0)::BIGINT AS total FROM n GROUP BY 1)
+SELECT pair, first, first >= 40 AS stop_first, total, total >= 70 AS reject FROM w""")
 def ref_x29_sequential_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Two-look exact binomial bounds against what the pairs reached."""
     a, b = P.two_look_bounds(60, 60, 0.5, 0.05, 0.01, 2.0, 1.645)
@@ -260,11 +261,14 @@ def ref_e18_surrogate_null(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("stream_id", "block").applyInArrow(run, "stream_id string, block bigint, observed double, p_value double")
 
 
-@query()
+@query(SCORED_SQL.replace("WITH", "WITH RECURSIVE") + f""", o AS (SELECT pair, row_id, 1 - {_WIN_SQL} AS error, row_number() OVER (PARTITION BY pair ORDER BY ts, row_id) AS k FROM s),
+g AS (SELECT pair, k, row_id, error, 0.1::DOUBLE AS level FROM o WHERE k = 1
+  UNION ALL SELECT o.pair, o.k, o.row_id, o.error, least(1.0, greatest(0.0, g.level + 0.05 * (0.1 - g.error)))::DOUBLE FROM g JOIN o ON o.pair = g.pair AND o.k = g.k + 1)
+SELECT row_id, round(level, 9) AS level FROM g""")
 def ref_e20_adaptive_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Adaptive conformal level of each pair, carried through the whole series."""
     s = scored(spark, sf).withColumn("error", 1 - won().cast("int"))
-    return P.gate(s, "pair", "ts", "row_id", "error")
+    return P.gate(s, "pair", "ts", "row_id", "error").select("row_id", F.round("level", 9).alias("level"))
 
 
 @query(SCORED_SQL + """, x AS (SELECT *, row_id * 104729 % 1000 / 1000 AS q, 1 - p AS o FROM s), l AS (SELECT *, coalesce(sum((p - y) ** 2) OVER w, 0) AS lp, coalesce(sum((q - y) ** 2) OVER w, 0) AS lq, coalesce(sum((o - y) ** 2) OVER w, 0) AS lo FROM x WINDOW w AS (PARTITION BY pair ORDER BY ts, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -275,7 +279,13 @@ def ref_e20_hedge_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return P.hedge(s, "pair", "ts", "row_id", "y", ["p", "q", "o"], 0.5).select("row_id", F.round("blend", 6).alias("blend"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT decision_id AS row_id, decision_close_epoch AS t, pair, CASE WHEN candidate_direction = 'UP' THEN 1 ELSE -1 END AS sign, TRY_CAST(json_extract_string(row_json, '$.p_up') AS DOUBLE) AS edge FROM decisions WHERE candidate_direction IS NOT NULL AND decision_close_epoch IS NOT NULL),
+o AS (SELECT *, row_number() OVER (ORDER BY t, edge DESC NULLS LAST, row_id) AS k FROM d),
+g AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS row_id, NULL::VARCHAR AS reason, []::STRUCT(u BIGINT, p VARCHAR, s INT)[] AS held
+  UNION ALL SELECT k, row_id, reason, CASE WHEN reason = 'taken' THEN list_append(live, {'u': t + 900, 'p': pair, 's': sign}) ELSE live END FROM (
+    SELECT *, CASE WHEN len(list_filter(live, lambda h: h.p = pair)) > 0 THEN 'same_pair' WHEN len(list_filter(live, lambda h: h.s = sign)) >= 3 THEN 'sign_cap' ELSE 'taken' END AS reason FROM (
+      SELECT o.k, o.row_id, o.t, o.pair, o.sign, list_filter(g.held, lambda h: h.u > o.t) AS live FROM g JOIN o ON o.k = g.k + 1)))
+SELECT row_id, reason = 'taken' AS taken, reason FROM g WHERE k > 0""")
 def ref_e24_policy_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions replayed under exposure rules."""
     d = table(spark, sf, "decisions").where("candidate_direction IS NOT NULL").withColumn("edge", F.get_json_object("row_json", "$.p_up").cast("double"))

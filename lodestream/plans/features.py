@@ -283,10 +283,12 @@ def _blocks(spark: SparkSession, sf: str, function, columns: list[str], source:
     return S.by_rows(rows.select("stream_id", "t", source), "stream_id", "t", source, 4_096, warmup, function, columns)
 
 
-@query()
+@query(_IDX_SQL.replace("WITH", "WITH RECURSIVE") + """, k AS (SELECT stream_id, t, i, p AS level, 0.0::DOUBLE AS slope, 0.0::DOUBLE AS innovation FROM x WHERE i = 0
+  UNION ALL SELECT x.stream_id, x.t, x.i, k.level + k.slope + 0.2 * (x.p - k.level - k.slope), k.slope + 0.02 * (x.p - k.level - k.slope), x.p - k.level - k.slope FROM k JOIN x ON x.stream_id = k.stream_id AND x.i = k.i + 1)
+SELECT stream_id, t, round(slope, 6) AS slope, round(innovation, 6) AS innovation FROM k""")
 def ref_f18_kalman(spark: SparkSession, sf: str) -> DataFrame:
     """Local linear trend by a steady-gain filter."""
-    return _blocks(spark, sf, S.local_trend, ["slope", "innovation"])
+    return _blocks(spark, sf, S.local_trend, ["slope", "innovation"]).select("stream_id", "t", F.round("slope", 6).alias("slope"), F.round("innovation", 6).alias("innovation"))
 
 
 @query()
@@ -300,17 +302,25 @@ def ref_f20_fractional_difference(spark: SparkSession, sf: str) -> DataFrame:
 _FORGOTTEN = 1_024
 
 
-@query()
+@query(RET_SQL.replace("WITH", "WITH RECURSIVE") + """, q AS (SELECT stream_id, t, r, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS i, count(r) OVER w AS n, quantile_cont(abs(r), 0.25) OVER w * sqrt(pi() / 2) AS lo, quantile_cont(abs(r), 0.75) OVER w * sqrt(pi() / 2) AS hi FROM r WHERE r IS NOT NULL
+  WINDOW w AS (PARTITION BY stream_id ORDER BY t ROWS BETWEEN 480 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT stream_id, 0::BIGINT AS i, 0.5::DOUBLE AS p, false AS has, NULL::BIGINT AS t FROM (SELECT DISTINCT stream_id FROM q)
+  UNION ALL SELECT stream_id, i, CASE WHEN has AND wild + calm > 0 THEN wild / (wild + calm) WHEN has THEN prior ELSE was END, has, t FROM (
+    SELECT stream_id, i, t, has, was, prior, CASE WHEN has THEN prior * exp(-0.5 * (r / hi) * (r / hi)) / hi ELSE 0 END AS wild, CASE WHEN has THEN (1 - prior) * exp(-0.5 * (r / lo) * (r / lo)) / lo ELSE 0 END AS calm FROM (
+      SELECT q.*, k.p AS was, k.p * 0.98 + (1 - k.p) * (1 - 0.98) AS prior, q.n >= 60 AND q.lo > 0 AND q.hi > q.lo AS has FROM k JOIN q ON q.stream_id = k.stream_id AND q.i = k.i + 1)))
+SELECT stream_id, t, CASE WHEN has THEN round(p, 6) END AS wild FROM k WHERE i > 0""")
 def ref_f22_two_state_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Forward probability of the wild state; scales of 480 rows before, 60 at least, as the streams are short."""
     rows = returns(spark, sf).select("stream_id", "t", "r")
-    return S.by_rows(rows, "stream_id", "t", "r", 4_096, 480 + _FORGOTTEN, lambda v: S.two_state_filter(v, rows=480, least=60), ["wild"])
+    return S.by_rows(rows, "stream_id", "t", "r", 4_096, 480 + _FORGOTTEN, lambda v: S.two_state_filter(v, rows=480, least=60), ["wild"]).select("stream_id", "t", F.round("wild", 6).alias("wild"))
 
 
-@query()
+@query(_IDX_SQL.replace("WITH", "WITH RECURSIVE") + """, k AS (SELECT stream_id, t, i, p AS play FROM x WHERE i = 0
+  UNION ALL SELECT x.stream_id, x.t, x.i, least(x.p + 2, greatest(x.p - 2, k.play)) FROM k JOIN x ON x.stream_id = k.stream_id AND x.i = k.i + 1)
+SELECT stream_id, t, round(play, 6) AS play FROM k""")
 def ref_f27_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     """Play operator, carried through the whole stream."""
-    return S.hysteresis(indexed(spark, sf).select("stream_id", "t", "p"), "stream_id", "t", "p")
+    return S.hysteresis(indexed(spark, sf).select("stream_id", "t", "p"), "stream_id", "t", "p").select("stream_id", "t", F.round("play", 6).alias("play"))
 
 
 @query()

@@ -144,7 +144,9 @@ def lane_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).where(inside)
 
 
-@query()
+@query(SCORED_SQL.replace("WITH", "WITH RECURSIVE") + """, c AS (SELECT * FROM s WHERE hour(timezone('America/New_York', to_timestamp(ts))) BETWEEN 8 AND 16 AND abs(p - 0.5) >= 0.2 AND hour(to_timestamp(ts)::TIMESTAMP) < 21),
+pick AS (SELECT min(ts) AS ts FROM c UNION ALL SELECT (SELECT min(ts) FROM c WHERE c.ts >= pick.ts + 900) FROM pick WHERE pick.ts IS NOT NULL)
+SELECT 'all' AS lane, ts, min(row_id) AS row_id FROM pick JOIN c USING (ts) GROUP BY ts""")
 def ref_e05_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     """First come, first served over all lanes with a cooldown of 15 minutes."""
     return X.nonoverlap_chrono(lane_candidates(spark, sf).withColumn("lane", F.lit("all")), ["lane"], "ts", "row_id", 900)
