@@ -77,3 +77,23 @@ def ref_t06_gap_recovery(spark: SparkSession, sf: str) -> DataFrame:
     live = F.coalesce(F.col("feed"), F.lit("")) == "live"
     rank = t.select("stream_id", "epoch", F.struct(live.cast("int").alias("live"), "tick_id").alias("seq"), "tick_id")
     return keep_last(rank, ["stream_id", "epoch"], "seq").select("stream_id", "epoch", "tick_id")
+
+
+@query("""WITH u AS (SELECT * FROM ticks WHERE stream_id IS NOT NULL AND NOT isnan(quote) QUALIFY row_number() OVER (PARTITION BY stream_id, epoch ORDER BY tick_id DESC) = 1), l AS (SELECT stream_id, max(epoch) AS newest FROM u GROUP BY 1)
+SELECT stream_id, any_value(newest) AS newest, count(*) AS n, min(epoch) AS first, round(avg(quote), 7) AS mean FROM u JOIN l USING (stream_id) WHERE epoch > newest - 600 GROUP BY 1""")
+def ref_t03_ring_buffer(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stream's buffer of the last ten minutes."""
+    return M.run_to_table(M.ring_buffer(replay(spark, sf, closing=False), "stream_id", "epoch", "tick_id", "quote", 600), "ring", "update").withColumn("mean", F.round("mean", 7))
+
+
+@query("""SELECT stream_id, count(*) AS rows_in, count(*) AS rows_out, 1 AS batches, 0 AS lost FROM ticks GROUP BY 1""")
+def ref_t08_counted_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that came in and were written, per stream: none is lost."""
+    return M.counted_sink(replay(spark, sf, closing=False), "sink", "stream_id")
+
+
+@query("""WITH g AS (SELECT stream_id, epoch, coalesce(epoch - lag(epoch) OVER w > 30, true) AS new FROM ticks WINDOW w AS (PARTITION BY stream_id ORDER BY epoch)), i AS (SELECT *, sum(new::INT) OVER (PARTITION BY stream_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT stream_id, epoch, bool_or(new) AS new, count(*) AS c FROM g GROUP BY ALL))
+SELECT stream_id, min(epoch) AS first, max(epoch) AS last, sum(c)::BIGINT AS n FROM i GROUP BY stream_id, k""")
+def ref_t13_session_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Gap-based sessions of the ticks, closed by the watermark."""
+    return M.run_to_table(M.gap_sessions(replay(spark, sf), "stream_id", "epoch", 30, "0 seconds"), "sessions").where("stream_id <> ''")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import lzma
-import struct
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -32,11 +31,11 @@ def complete_days(files: DataFrame, sidecars: DataFrame, key: Sequence[str]) ->
     return files.join(done, list(key), "left_semi"), files.join(done, list(key), "left_anti")
 
 
-def read_ticks(spark: SparkSession, path: str, ns: str, price: str) -> DataFrame:
-    """(epoch, price, seq): nanoseconds floored to seconds; seq is the place in file order, so that
+def read_ticks(spark: SparkSession, path: str, ns: str, price: str, also: Sequence[str] = ()) -> DataFrame:
+    """(epoch, price, seq, *also): nanoseconds floored to seconds; seq is the place in file order, so that
     ordering by (epoch, seq) is a stable sort."""
     rows = spark.read.parquet(path)
-    return rows.select(F.floor(F.col(ns) / 1_000_000_000).alias("epoch"), F.col(price).cast("double").alias("price"), F.monotonically_increasing_id().alias("seq"))
+    return rows.select(F.floor(F.col(ns) / 1_000_000_000).alias("epoch"), F.col(price).cast("double").alias("price"), F.monotonically_increasing_id().alias("seq"), *also)
 
 
 def json_records(df: DataFrame, text: str, schema: str, rules: dict[str, Column], must_contain: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -59,27 +58,101 @@ def read_strict_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)
 
 
-def read_bi5(spark: SparkSession, path: str, point: float) -> DataFrame:
-    """Hourly LZMA tick files of big-endian records (ms, ask, bid, ask size, bid size).
+def unpack_bi5(files: DataFrame, keys: Sequence[str], content: str, point: float) -> DataFrame:
+    """(*keys, ms, ask, bid, ask_vol, bid_vol) of compressed files of big-endian records (ms, ask, bid, ask size, bid size).
 
-    (path, ms, ask, bid, ask_vol, bid_vol); an empty or unreadable file gives no rows.
+    An empty or unreadable file gives no rows, an incomplete last record none either.
     """
-    schema = pa.schema([("path", pa.string()), ("ms", pa.int64()), ("ask", pa.float64()), ("bid", pa.float64()), ("ask_vol", pa.float64()), ("bid_vol", pa.float64())])
+    kinds = dict(files.dtypes)
+    numbers = ["ms bigint", *[f"{c} double" for c in ("ask", "bid", "ask_vol", "bid_vol")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, packed in enumerate(batch.column(len(keys)).to_pylist()):
                 try:
-                    raw = lzma.decompress(content) if content else b""
+                    raw = lzma.decompress(packed) if packed else b""
                 except (lzma.LZMAError, EOFError):
                     continue
-                rows = list(struct.iter_unpack(">3i2f", raw[: len(raw) // 20 * 20]))
-                if rows:
-                    ms, ask, bid, av, bv = (np.array(c) for c in zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(ms.astype(np.int64)), pa.array(ask * point), pa.array(bid * point), pa.array(av.astype(float)), pa.array(bv.astype(float))], schema=schema)
+                rows = np.frombuffer(raw[: len(raw) // 20 * 20], np.dtype([("ms", ">i4"), ("ask", ">i4"), ("bid", ">i4"), ("av", ">f4"), ("bv", ">f4")]))
+                if len(rows):
+                    own = [pa.array(batch.column(k).slice(i, 1).to_pylist() * len(rows), batch.schema.field(k).type) for k in range(len(keys))]
+                    made = [rows["ms"].astype(np.int64), rows["ask"] * point, rows["bid"] * point, rows["av"].astype(float), rows["bv"].astype(float)]
+                    yield pa.RecordBatch.from_arrays([*own, *map(pa.array, made)], names=[*keys, "ms", "ask", "bid", "ask_vol", "bid_vol"])
+
+    return files.select(*keys, content).mapInArrow(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + numbers))
+
+
+def read_bi5(spark: SparkSession, path: str, point: float) -> DataFrame:
+    """unpack_bi5 of the *.bi5 files of a folder, by path."""
+    return unpack_bi5(spark.read.format("binaryFile").option("pathGlobFilter", "*.bi5").load(path), ["path"], "content", point)
+
+
+def candle_pages(spark: SparkSession, path: str, granularity: int = 60) -> DataFrame:
+    """Closed candles of staged API pages {now, candles: [{epoch, open, high, low, close}]} in any file system.
+
+    The open candle of a page is left out; of one epoch the candle of the latest page counts. A page
+    that isn't of this form fails the read; a candle without a field or with a text in it too.
+    """
+    fields = ["open", "high", "low", "close"]
+    schema = "now bigint not null, candles array<struct<epoch: bigint, " + ", ".join(f"{f}: double" for f in fields) + ">>"
+    pages = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    rows = pages.select("now", F.inline("candles")).where(F.col("epoch") + granularity <= F.col("now"))
+    whole = F.assert_true(F.array_contains(F.array(*[F.col(f).isNull() for f in ["epoch", *fields]]), True) == False, "a candle lacks a field")  # noqa: E712
+    return keep_last(rows.withColumn("_ok", whole).where("_ok IS NULL").drop("_ok"), ["epoch"], "now").drop("now")
+
+
+def calendar_events(spark: SparkSession, path: str, currencies: Sequence[str], levels: Sequence[str]) -> DataFrame:
+    """Releases of a staged calendar (JSON lines) with actual and consensus, of some currencies and impacts, and their surprise.
+
+    Rows without one of both, or of another currency or impact, are left out, as are unreadable lines.
+    """
+    schema = "id bigint, dateUtc string, currencyCode string, name string, volatility string, actual double, consensus double, previous double"
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    kept = rows.where(F.col("currencyCode").isin(*currencies) & F.col("volatility").isin(*levels) & F.col("actual").isNotNull() & F.col("consensus").isNotNull())
+    return kept.withColumn("surprise", F.col("actual") - F.col("consensus"))
+
+
+class _Span(InputPartition):
+    def __init__(self, low: int, high: int) -> None:
+        self.low, self.high = low, high
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bi5").load(path)
-    return files.select("path", "content").mapInArrow(run, "path string, ms bigint, ask double, bid double, ask_vol double, bid_vol double")
+class _SqliteReader(DataSourceReader):
+    def __init__(self, options: dict, schema) -> None:
+        self.path, self.table, self.parts = options["path"].removeprefix("file://"), options["table"], int(options.get("parts", "4"))
+        self.columns = [f.name for f in schema.fields]
+
+    def _open(self):
+        import sqlite3
+
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
+    def partitions(self) -> list[InputPartition]:
+        with self._open() as con:
+            low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+        if low is None:
+            return []
+        width = -(-(high - low + 1) // self.parts)
+        return [_Span(a, a + width) for a in range(low, high + 1, width)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        names = ", ".join(f'"{c}"' for c in self.columns)
+        with self._open() as con:
+            yield from con.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ? ORDER BY rowid', (partition.low, partition.high))
+
+
+class SqliteTable(DataSource):
+    """Data source `sqlite_table`: a table of a SQLite file (options path, table, parts) opened read-only, in spans of rowid.
+
+    The file must lie where all workers can read it, such as the shared folder. An empty table gives no rows.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_table"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SqliteReader(dict(self.options), schema)
 
 
 class _Page(InputPartition):

@@ -18,25 +18,79 @@ def monotone_filter(stream: DataFrame, key: str, epoch: str, seq: str) -> DataFr
     rows of the same micro-batch and key were dropped just before each.
 
     Arrival order is seq within a micro-batch and the order of batches beyond; one number per key is
-    kept as state. A key's rows of one micro-batch are held at once: bound them by the source's
-    maxFilesPerTrigger or its like.
+    kept as state. Of a key's rows of one micro-batch only epoch and seq are held, 16 bytes a row, as
+    the batch must be put in order; the source's maxFilesPerTrigger bounds them.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(seq, kind="stable")
+        parts = [(rows[epoch].to_numpy(np.int64), rows[seq].to_numpy(np.int64)) for rows in frames]
+        e, s = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(s, kind="stable")
+        e, s = e[order], s[order]
         last = state.get[0] if state.exists else -(2**62)
-        e = rows[epoch].to_numpy(np.int64)
         before = np.maximum.accumulate(np.append(last, e))[:-1]
         keep = e > before
         count = np.diff(np.append(0, np.cumsum(~keep)[keep]))
         if keep.any():
-            state.update((int(e.max()) if e.max() > last else int(last),))
-            yield pd.DataFrame({key: k[0], epoch: e[keep], seq: rows[seq].to_numpy(np.int64)[keep], "dropped": count})
+            state.update((int(e[keep][-1]),))
+            yield pd.DataFrame({key: k[0], epoch: e[keep], seq: s[keep], "dropped": count})
 
     clean = stream.where(F.col(key).isNotNull() & F.col(epoch).isNotNull()).select(key, epoch, seq)
     return clean.groupBy(key).applyInPandasWithState(step, f"{key} string, {epoch} bigint, {seq} bigint, dropped bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def ring_buffer(stream: DataFrame, key: str, epoch: str, seq: str, value: str, seconds: int) -> DataFrame:
+    """(key, newest, n, first, mean): after every micro-batch each key's buffer of the last `seconds` seconds.
+
+    The buffer holds the distinct seconds (of repeated ones the largest seq) later than the newest less
+    `seconds`, whatever the order of arrival; older ones are dropped. So its size is bounded by the time
+    span, not by the feed. Rows without key or time, or without value, are left out. For update mode.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (b"", b"", b"")
+        e, s, v = (np.frombuffer(x, d) for x, d in zip(held, (np.int64, np.int64, float)))
+        for rows in frames:  # trimmed batch by batch: the buffer never holds more than the span and one batch
+            e, s, v = np.append(e, rows[epoch].to_numpy(np.int64)), np.append(s, rows[seq].to_numpy(np.int64)), np.append(v, rows[value].to_numpy(float))
+            order = np.lexsort((s, e))
+            e, s, v = e[order], s[order], v[order]
+            keep = np.append(e[1:] != e[:-1], True) & (e > e[-1] - seconds)
+            e, s, v = e[keep], s[keep], v[keep]
+        state.update((e.tobytes(), s.tobytes(), v.tobytes()))
+        yield pd.DataFrame({key: [k[0]], "newest": [int(e[-1])], "n": [len(e)], "first": [int(e[0])], "mean": [float(v.mean())]})
+
+    clean = stream.where(F.col(key).isNotNull() & F.col(epoch).isNotNull() & F.col(value).isNotNull()).select(key, epoch, seq, value)
+    return clean.groupBy(key).applyInPandasWithState(step, f"{key} string, newest bigint, n bigint, first bigint, mean double", "e binary, s binary, v binary", "update", GroupStateTimeout.NoTimeout)
+
+
+def gap_sessions(stream: DataFrame, key: str, epoch: str, gap: int, lateness: str) -> DataFrame:
+    """Sessions of a key's rows that are at most `gap` seconds apart: first and last second, rows."""
+    at = stream.withColumn("at", F.timestamp_seconds(epoch)).withWatermark("at", lateness)
+    return at.groupBy(key, F.session_window("at", f"{gap} seconds").alias("w")).agg(F.min(epoch).alias("first"), F.max(epoch).alias("last"), F.count("*").alias("n")).select(key, "first", "last", "n")
+
+
+def counted_sink(stream: DataFrame, name: str, count_by: str) -> DataFrame:
+    """Run a stream into a sink that accounts for every row: (count_by, rows_in, rows_out, lost, batches).
+
+    Each micro-batch is written under its own number, so a batch that is run again after a failure
+    replaces itself and nothing is lost or written twice; the rows that came in are counted beside it,
+    and both counts are read back from what was written.
+    """
+    spark, base = stream.sparkSession, shared_path(stream.sparkSession, name)
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.persist()  # both writes see the same rows of the source
+        df.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
+        df.groupBy(count_by).agg(F.count("*").alias("rows_in")).write.mode("overwrite").parquet(f"{base}/counts/batch={batch}")
+        df.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    came = spark.read.parquet(f"{base}/counts").groupBy(count_by).agg(F.sum("rows_in").alias("rows_in"), F.countDistinct("batch").alias("batches"))
+    went = spark.read.parquet(f"{base}/rows").groupBy(count_by).agg(F.count("*").alias("rows_out"))
+    both = came.join(went, came[count_by].eqNullSafe(went[count_by]), "left").select(came[count_by], "rows_in", F.coalesce("rows_out", F.lit(0)).alias("rows_out"), "batches")
+    return both.withColumn("lost", F.col("rows_in") - F.col("rows_out"))
+
+
 def exact_windows(stream: DataFrame, key: str, epoch: str, price: str, seq: str, length: int, slide: int, seconds_needed: int, lateness: str) -> DataFrame:
     """Right-closed sliding windows (end - length, end] with at least so many distinct seconds.
 
