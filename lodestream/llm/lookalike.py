@@ -154,6 +154,11 @@ def alike_pairs(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def look_classes(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row_id, class_id): the smallest id among the rows of the same look."""
+    return look_links(df, row_id, text).select(row_id, "class_id")
+
+
+def look_links(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(row_id, class_id, n_links) of every row with a text.
 
     class_id is the smallest id among the rows of the same look, n_links the number of rows of the

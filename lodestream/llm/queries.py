@@ -148,7 +148,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal look, and how many documents of its class are of other characters."""
-    return lookalike.look_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lookalike.look_links(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
