@@ -45,26 +45,18 @@ def asof(
     kind = r.schema["_r"].dataType
     left = left.withColumn("_left", F.struct(*[F.col(f"`{c}`") for c in left.columns]))
     rows = left.select(*by, F.col(on).alias("_on"), bucket.alias("_bucket"), "_left").unionByName(r, allowMissingColumns=True)
-    side = F.col("_left").isNotNull().cast("int")  # right rows first, so that an equal time matches
-    order = [F.col("_on"), side if exact != forward else -side]
-    seqs = F.coalesce(F.col("_r.seq"), F.lit(0))
-    within = Window.partitionBy(*by, "_bucket").orderBy(*order, seqs)
+    # right rows first, so that an equal time matches, unless it must not; forward from the end: frames that shrink are costly
+    side, seqs = F.col("_left").isNotNull().cast("int"), F.coalesce(F.col("_r.seq"), F.lit(0))
+    place = [F.desc("_on"), side, seqs.desc()] if forward else [F.col("_on"), side, seqs]
+    within = Window.partitionBy(*by, "_bucket").orderBy(place[0], side if exact else -side, place[2])
     summary = r.groupBy(*by, "_bucket").agg((F.min("_r") if forward else F.max("_r")).alias("_edge"))
     buckets = rows.where("_left IS NOT NULL").select(*by, "_bucket").distinct().unionByName(summary.select(*by, "_bucket")).distinct()
-    along = Window.partitionBy(*by).orderBy("_bucket")
-    edge = (
-        F.first("_edge", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
-        if forward
-        else F.last("_edge", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    )
+    along = Window.partitionBy(*by).orderBy(F.desc("_bucket") if forward else F.col("_bucket"))
+    edge = F.last("_edge", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in [*by, "_bucket"]]
     summaries = buckets.join(summary, same(buckets, summary), "left").select(*[buckets[c] for c in [*by, "_bucket"]], "_edge")
     carry = summaries.select(*[F.col(c).alias(f"_c_{c}") for c in [*by, "_bucket"]], edge.alias("_carry"))
-    near = (
-        F.first("_r", ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing))
-        if forward
-        else F.last("_r", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    near = F.last("_r", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
     hit = rows.withColumn("_near", near).where("_left IS NOT NULL")
     joined = hit.join(carry, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in [*by, "_bucket"]], "left")
     got = F.when(F.col("_on").isNotNull(), F.coalesce("_near", "_carry"))
@@ -74,13 +66,34 @@ def asof(
 
 
 def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, seq: str, payload: Sequence[str], tolerance: int, match: str = "match") -> DataFrame:
-    """left with the nearest right row within the tolerance; of two equally near the earlier."""
-    both = asof(left, right, by, on, seq, payload, match="_before")
-    both = asof(both, right, by, on, seq, payload, forward=True, match="_after")
-    back, ahead = F.col(on) - F.col("_before.on"), F.col("_after.on") - F.col(on)
+    """left with the nearest right row within the tolerance; of two equally near the earlier.
+
+    One union and one shuffle: the tolerance bounds how far a partner can be, so right rows go to
+    every bucket of time that it reaches, and a bucket knows all its left rows' partners. Of right rows
+    of one time the largest seq counts before, the smallest after. Rows with NULL keys or time match nothing.
+    """
+    width = max(BUCKET_S, tolerance + 1)
+    at = F.col(on)
+    bucket = lambda c: F.floor(c / width)
+    keyed = at.isNotNull()
+    for c in by:
+        keyed = keyed & F.col(c).isNotNull()
+    found = F.struct(at.alias("on"), F.col(seq).alias("seq"), *payload)
+    r = right.where(keyed).select(*by, at.alias("_on"), F.explode(F.array_distinct(F.array(bucket(at - tolerance), bucket(at), bucket(at + tolerance)))).alias("_bucket"), found.alias("_r"))
+    kind = r.schema["_r"].dataType
+    marked = left.withColumn("_left", F.struct(*[F.col(f"`{c}`") for c in left.columns]))
+    rows = marked.select(*by, at.alias("_on"), bucket(at).alias("_bucket"), "_left").unionByName(r, allowMissingColumns=True)
+    side, seqs = F.col("_left").isNotNull().cast("int"), F.coalesce(F.col("_r.seq"), F.lit(0))
+    group = Window.partitionBy(*by, "_bucket")
+    last = lambda w: F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.withColumn("_before", last(group.orderBy("_on", side, seqs))).withColumn("_after", last(group.orderBy(F.desc("_on"), side, seqs.desc()))).where("_left IS NOT NULL")
+    back, ahead = F.col("_on") - F.col("_before.on"), F.col("_after.on") - F.col("_on")
     got = F.when(F.col("_after").isNull() | (back <= ahead), F.col("_before")).otherwise(F.col("_after"))
     near = F.least(F.coalesce(back, ahead), F.coalesce(ahead, back)) <= tolerance
-    return both.withColumn(match, F.when(near, got)).drop("_before", "_after")
+    known = F.lit(True)
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    return both.withColumn("_got", F.when(near & known, got).cast(kind)).select("_left.*", F.col("_got").alias(match))
 
 
 def fill_limited(joined: DataFrame, by: Sequence[str], on: str, limit: int, match: str = "match") -> DataFrame:

@@ -118,6 +118,31 @@ def surrogate_means(values: np.ndarray, replicates: int, seed: int) -> np.ndarra
     return out
 
 
+#: Kinds of surrogates: random phases, the same with the values' own distribution, rotations, random signs.
+SURROGATES = ("phase", "iaaft", "rotation", "flip")
+
+
+def surrogates(values: np.ndarray, kind: str, replicates: int, seed: int, rounds: int = 20) -> list[np.ndarray]:
+    """Seeded surrogates of a series that keep all but what the kind destroys."""
+    rng, n = np.random.default_rng(seed), len(values)
+    spectrum, ordered = np.abs(np.fft.rfft(values - values.mean())), np.sort(values)
+    out = []
+    for _ in range(replicates):
+        if kind == "rotation":
+            x = np.roll(values, int(rng.integers(1, max(n, 2))))
+        elif kind == "flip":
+            x = values * rng.choice([-1.0, 1.0], n)
+        elif kind == "phase":
+            x = np.fft.irfft(spectrum * np.exp(1j * rng.uniform(0, 2 * np.pi, len(spectrum))), n) + values.mean()
+        else:
+            x = rng.permutation(values)
+            for _ in range(rounds):  # by turns the spectrum and the distribution of the series
+                x = np.fft.irfft(spectrum * np.exp(1j * np.angle(np.fft.rfft(x))), n)
+                x = ordered[np.argsort(np.argsort(x))]
+        out.append(x)
+    return out
+
+
 def market_residuals(wide: np.ndarray) -> np.ndarray:
     """Rows less their projection on the components of the correlation matrix above the Marchenko-Pastur edge."""
     n, k = wide.shape

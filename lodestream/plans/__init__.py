@@ -1,8 +1,8 @@
 """Queries over the driver's tables, each with its SQL where SQL can express it."""
 
-from lodestream.plans import aggregates, blocks, evaluation, extras, features, flagship, general, joins, more, stores, streams, supply, windows
+from lodestream.plans import aggregates, blocks, evaluation, extras, features, flagship, general, joins, more, stores, streams, supply, wider, windows
 
-MODULES = [flagship, general, aggregates, windows, joins, features, blocks, evaluation, stores, streams, extras, more, supply]
+MODULES = [flagship, general, aggregates, windows, joins, features, blocks, evaluation, stores, streams, extras, more, supply, wider]
 FLAGSHIP = flagship.ref_flagship
 
 

@@ -49,8 +49,8 @@ def indexed(spark: SparkSession, sf: str) -> DataFrame:
 def ref_f01_macd(spark: SparkSession, sf: str) -> DataFrame:
     """MACD from block-scan exponential means."""
     x = indexed(spark, sf).select("stream_id", "t", "p")
-    m = R.ewm(R.ewm(x, KEY, "t", "p", 2 / 13, "fast"), KEY, "t", "p", 2 / 27, "slow").withColumn("macd", F.col("fast") - F.col("slow"))
-    s = R.ewm(m, KEY, "t", "macd", 0.2, "signal")
+    macd = F.col("fast") - F.col("slow")
+    s = R.ewm_set(x, KEY, "t", [(F.col("p"), 2 / 13, "fast"), (F.col("p"), 2 / 27, "slow"), (macd, 0.2, "signal")]).withColumn("macd", macd)
     return s.select("stream_id", "t", F.round("macd", 5).alias("macd"), F.round(F.col("macd") - F.col("signal"), 5).alias("hist"), (F.col("macd") > F.col("signal")).cast("int").alias("above"))
 
 
@@ -62,7 +62,7 @@ def ref_f01_rsi(spark: SparkSession, sf: str) -> DataFrame:
     """RSI of 14 bars; 50 where there is no loss."""
     d = indexed(spark, sf).withColumn("c", F.col("p") - F.lag("p").over(win())).where("c IS NOT NULL")
     d = d.select("stream_id", "t", F.greatest("c", F.lit(0.0)).alias("g"), F.greatest(-F.col("c"), F.lit(0.0)).alias("l"))
-    e = R.ewm(R.ewm(d, KEY, "t", "g", 1 / 14, "up"), KEY, "t", "l", 1 / 14, "down")
+    e = R.ewm_set(d, KEY, "t", [(F.col("g"), 1 / 14, "up"), (F.col("l"), 1 / 14, "down")])
     rsi = F.when(F.col("down") > 1e-12, 100 - 100 / (1 + F.col("up") / F.col("down"))).otherwise(50.0)
     return e.select("stream_id", "t", F.round(rsi, 4).alias("rsi"))
 

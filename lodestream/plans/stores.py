@@ -77,12 +77,28 @@ def ref_k07_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return stores.manifest(spark, f"{sf}/streams.parquet").unionByName(stores.manifest(spark, f"{sf}/split_targets.parquet"))
 
 
-@query("""SELECT source_table, source_id, open_epoch, close_epoch FROM sessions s WHERE EXISTS (SELECT 1 FROM decisions d WHERE d.decision_id % 50 = 0 AND d.decision_close_epoch - 300 <= s.close_epoch AND d.decision_close_epoch >= s.open_epoch) GROUP BY ALL""")
-def ref_x30_shard_pruning(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions as shards: those that overlap the intervals before some decisions."""
-    wanted = table(spark, sf, "decisions").where("decision_id % 50 = 0").select((F.col("decision_close_epoch") - 300).alias("start"), F.col("decision_close_epoch").alias("stop"))
-    index = table(spark, sf, "sessions").select("source_table", "source_id", "open_epoch", "close_epoch")
-    return stores.prune_shards(index, wanted, "open_epoch", "close_epoch")
+#: Tables of a build and the columns that no row may lack.
+_BUILD = {"ticks": "tick_id", "observation_series": "obs_id", "decisions": "decision_id", "sessions": "session_id", "label_rows": "row_id", "result_files": "file_id", "run_records": "record_id", "documents": "doc_id", "streams": "stream_id"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, count(DISTINCT {c}) AS n_ids, count(*) - count({c}) AS n_without_id FROM {t}" for t, c in _BUILD.items()))
+def ref_k07_row_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, distinct ids and missing ids of every table of a build."""
+    parts = [table(spark, sf, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows"), F.countDistinct(c).alias("n_ids"), F.count_if(F.col(c).isNull()).alias("n_without_id")) for t, c in _BUILD.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+@query("""SELECT pair, count(*) AS n_rows, count(*) FILTER (y IS NULL) AS no_label, count(*) FILTER (y NOT IN (0, 1)) AS odd_label, round(avg(y) FILTER (y IN (0, 1)), 6) AS up_rate, count(*) FILTER (valid AND y IS NOT NULL AND fwd_ret IS NOT NULL AND NOT isnan(fwd_ret) AND fwd_ret <> 0 AND (y = 1) <> (fwd_ret > 0)) AS contrary FROM label_rows GROUP BY 1""")
+def ref_k07_label_sanity(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of a build: missing, odd, their rate, and those that contradict their return."""
+    y, f = F.col("y"), F.col("fwd_ret")
+    moved = F.col("valid") & y.isNotNull() & f.isNotNull() & ~F.isnan(f) & (f != 0)
+    return table(spark, sf, "label_rows").groupBy("pair").agg(
+        F.count("*").alias("n_rows"), F.count_if(y.isNull()).alias("no_label"), F.count_if(~y.isin(0, 1)).alias("odd_label"), F.round(F.avg(F.when(y.isin(0, 1), y)), 6).alias("up_rate"), F.count_if(moved & ((y == 1) != (f > 0))).alias("contrary"),
+    )
 
 
 @query("""SELECT source_table, source_id, open_epoch, close_epoch FROM sessions s WHERE EXISTS (SELECT 1 FROM decisions d WHERE d.decision_close_epoch - 300 <= s.close_epoch AND d.decision_close_epoch >= s.open_epoch) GROUP BY ALL""")
