@@ -131,7 +131,7 @@ class _SqliteReader(DataSourceReader):
         with self._open() as con:
             low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
         if low is None:
-            return []
+            return [_Span(0, 0)]  # no rows
         width = -(-(high - low + 1) // self.parts)
         return [_Span(a, a + width) for a in range(low, high + 1, width)]
 
