@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.runtime import written
+
 #: Seconds of a source's time that are joined with its sessions in one group.
 JOIN_SHARD_S = 3600
 #: Slots of a session that are filled in one group.
@@ -77,14 +79,16 @@ def regular_series(kept: DataFrame, sessions: DataFrame) -> DataFrame:
         inside.withColumn("slot", slot)
         .withColumn("part", F.floor(F.col("slot") / SLOTS_PER_SHARD))
         .groupBy(*session, "part", "slot")
-        .agg(F.max(F.struct("epoch", "value")).alias("last"))
+        .agg(F.max("epoch").alias("epoch"), F.max_by("value", "epoch").alias("value"))
     )
+    # both the summaries and the fill read it: written once, a slot a row
+    filled = written(filled, "slots").withColumn("last", F.struct("epoch", "value")).drop("epoch", "value")
     slots = F.ceil((F.col("close_epoch") - F.col("open_epoch")) / F.col("grid_s"))
     parts = sessions.withColumn("slots", slots).withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / SLOTS_PER_SHARD)))
     )
     summaries = filled.groupBy(*session, "part").agg(
-        F.min(F.struct("slot", "last")).alias("first"), F.max(F.struct("slot", "last")).alias("final")
+        F.struct(F.min_by("last", "slot").alias("last")).alias("first"), F.struct(F.max_by("last", "slot").alias("last")).alias("final")
     )
     along = Window.partitionBy(*session).orderBy("part")
     carried = (
