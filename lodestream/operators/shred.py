@@ -12,8 +12,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "record_id bigint, node_path string, parent_path string, name string, ordinal int, object_id string, content string"
-_NODES = pa.schema([("record_id", pa.int64()), ("node_path", pa.string()), ("parent_path", pa.string()), ("name", pa.string()), ("ordinal", pa.int32()), ("object_id", pa.string()), ("content", pa.string())])
+NODES = "record_id bigint, node_path string, parent_path string, name string, ordinal int, object_id string, content string, parent_id string"
+_NODES = pa.schema([("record_id", pa.int64()), ("node_path", pa.string()), ("parent_path", pa.string()), ("name", pa.string()), ("ordinal", pa.int32()), ("object_id", pa.string()), ("content", pa.string()), ("parent_id", pa.string())])
+
+
+def readability(text: str | None) -> str:
+    """Whether a payload can be read: `object`, `missing`, `other` (JSON, but no object), `too_deep` or `broken`."""
+    if text is None:
+        return "missing"
+    try:
+        value = json.loads(text)
+        while isinstance(value, str):
+            value = json.loads(value)
+    except RecursionError:
+        return "too_deep"
+    except ValueError:
+        return "broken"
+    return "object" if isinstance(value, dict) else "other"
 
 
 def read_object(text: str | None) -> dict | None:
@@ -45,7 +60,7 @@ def unwrap(value: Any) -> Any:
 def shred(record_id: int, top: dict) -> list[tuple]:
     """NODES rows of every object of a record; the top one has node_path '' and no parent.
 
-    Works with a stack, not by recursion. An object's canonical content is its fields in order of
+    Works with a stack, not by recursion. parent_id is the identity of the parent. An object's canonical content is its fields in order of
     name, with objects inside (also those in arrays) replaced by their ids; equal content gives
     the equal SHA-256 id, whatever the order of fields.
     """
@@ -73,7 +88,8 @@ def shred(record_id: int, top: dict) -> list[tuple]:
             rows.append((record_id, path, parent, name, ordinal, identity, content.encode("utf-8", "replace").decode()))
         else:
             parts[id(value)] = "[" + ",".join(_part(x, parts) for x in value) + "]"
-    return rows
+    identities = {row[1]: row[5] for row in rows}
+    return [(*row, identities.get(row[2])) for row in rows]
 
 
 def _part(value: Any, parts: dict[int, str]) -> str:
@@ -119,6 +135,20 @@ def latest_readable(df: DataFrame, key: str, order: str, row_id: str, payload: s
     return df.join(chosen, F.col(row_id) == F.col("__chosen_id"), "left_semi")
 
 
+def readable_counts(df: DataFrame, payload: str) -> DataFrame:
+    """(readable, n): how many payloads can be read, and why the others can't."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        counts: dict[str, int] = {}
+        for text in batch.column(0).to_pylist():
+            kind = readability(text)
+            counts[kind] = counts.get(kind, 0) + 1
+        yield from counts.items()
+
+    schema = pa.schema([("readable", pa.string()), ("n", pa.int64())])
+    return df.select(payload).mapInArrow(_by_batch(schema, rows), "readable string, n bigint").groupBy("readable").agg(F.sum("n").alias("n"))
+
+
 def occurrences(df: DataFrame, row_id: str, payload: str) -> DataFrame:
     """One row (NODES) for each object of each readable payload, the top one included."""
 
@@ -137,8 +167,8 @@ def object_table(nodes: DataFrame) -> DataFrame:
 
 
 def bridge_table(nodes: DataFrame) -> DataFrame:
-    """Parent-child bridge: every occurrence with its parent's object and its ordinal."""
-    return nodes.select("record_id", "node_path", "parent_path", "name", "ordinal", "object_id")
+    """Parent-child bridge: every occurrence with its object, its parent's object and its ordinal."""
+    return nodes.select("record_id", "node_path", "parent_path", "name", "ordinal", "object_id", "parent_id")
 
 
 def leaf_table(objects: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators import technical as T
+from lodestream.operators.bars import time_bars, usable_ticks
 from lodestream.operators.stateful import frames_by_rows
 from lodestream.plans.base import BARS_SQL, TICKS_SQL, Registry, minute_bars
 from lodestream.plans.features import roll
-from lodestream.plans.windows import win
+from lodestream.plans.windows import KEY, win
+from lodestream.runtime import table
 
 query = Registry()
 #: The clocks of the technical set in seconds.
@@ -75,6 +77,20 @@ def ref_f01_technical(spark: SparkSession, sf: str) -> DataFrame:
     return technical(spark, sf, 60).select("stream_id", "t", *[F.round(c, 7).alias(c) for c in T.TECHNICAL])
 
 
+@query(TICKS_SQL + ", " + technical_sql(60, "1m") + " SELECT stream_id, t, " + ", ".join(f"round({c}, 7) AS {c}" for c in T.TECHNICAL) + " FROM f_1m QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY t DESC) = 1")
+def ref_f01_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The technical set of each stream's latest minute, from the ticks of the last 14 days alone: what a minute's scoring waits for.
+
+    A stream with fewer bars than the warm-up in that time keeps a trace of where its means began.
+    """
+    rows = table(spark, sf, "ticks")
+    since = (rows.agg(F.max("epoch")).first()[0] or 0) - 14 * 86_400
+    bars = time_bars(usable_ticks(rows.where(F.col("epoch") >= since)), KEY, 60)  # the filter reaches the scan
+    made = frames_by_rows(bars, "stream_id", "t", ["high", "low", "close"], 2 * T.WARMUP, T.WARMUP, T.technical_set, T.TECHNICAL)
+    last = made.groupBy("stream_id").agg(*[F.max_by(c, "t").alias(c) for c in T.TECHNICAL], F.max("t").alias("t"))
+    return last.select("stream_id", "t", *[F.round(c, 7).alias(c) for c in T.TECHNICAL])
+
+
 _HIGHER = [c for c in CLOCKS if c != "1m"]
 
 

@@ -163,5 +163,48 @@ def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.object_table(_nodes(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p2_casts": p2_casts, "p2_statistics": p2_statistics, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ranges": p6_ranges, "p6_stuck": p6_stuck, "p6_limits": p6_limits}
-SQL = {"p2_statistics": P2_STATISTICS_SQL, "p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL, "p6_ranges": P6_RANGES_SQL, "p6_stuck": P6_STUCK_SQL}
+def p4_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of an object with its identity, its parent's and its ordinal there."""
+    return shred.bridge_table(_nodes(spark, sf_dir))
+
+
+def p4_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain fields of the distinct objects."""
+    return shred.leaf_table(shred.object_table(_nodes(spark, sf_dir)))
+
+
+def p4_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many payloads can be read, and why the others can't."""
+    return shred.readable_counts(table(spark, sf_dir, "run_records"), "payload")
+
+
+def p4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects, and bridge rows whose object or parent's object isn't in the object table, or whose parent's occurrence is missing."""
+    nodes = _nodes(spark, sf_dir)
+    ids = shred.object_table(nodes).select(F.col("object_id").alias("known"))
+    bridge = shred.bridge_table(nodes)
+    lost = lambda c: bridge.where(F.col(c).isNotNull()).join(ids, F.col(c) == F.col("known"), "left_anti").agg(F.count("*").alias(f"{c}_lost"))
+    places = bridge.select(F.col("record_id").alias("r"), F.col("node_path").alias("p"), F.col("object_id").alias("is"))
+    held = bridge.where("parent_path IS NOT NULL").join(places, (F.col("record_id") == F.col("r")) & (F.col("parent_path") == F.col("p")), "left")
+    wrong = held.agg(F.count_if(~F.col("is").eqNullSafe(F.col("parent_id"))).alias("parents_wrong"))
+    return bridge.agg(F.count_if(F.col("parent_path").isNotNull()).alias("n_inner")).join(F.broadcast(lost("object_id"))).join(F.broadcast(lost("parent_id"))).join(F.broadcast(wrong))
+
+
+_P4_WALK = r"""
+WITH RECURSIVE text AS (SELECT record_id, run_key, exported_at, regexp_replace(payload, '([:\[,]\s*)(NaN|-?Infinity)', '\1 0', 'g') AS t FROM run_records),
+readable AS (SELECT * FROM text WHERE json_valid(t) AND json_type(CASE WHEN json_valid(t) THEN t END) = 'OBJECT'),
+chosen AS (SELECT * FROM readable QUALIFY row_number() OVER (PARTITION BY run_key ORDER BY exported_at DESC NULLS LAST, record_id DESC) = 1),
+walk AS (
+  SELECT record_id, '' AS path, NULL::VARCHAR AS parent, t::JSON AS val FROM chosen
+  UNION ALL
+  SELECT record_id, CASE WHEN path = '' THEN k ELSE path || '/' || k END, CASE WHEN json_type(val) = 'OBJECT' THEN path ELSE parent END,
+         CASE WHEN json_type(c) = 'VARCHAR' AND regexp_matches(c->>'$', '^\s*[{\[]') AND json_valid(c->>'$') THEN (c->>'$')::JSON ELSE c END
+  FROM (SELECT *, CASE WHEN json_type(val) = 'OBJECT' THEN json_extract(val, '$."' || k || '"') ELSE json_extract(val, '$[' || k || ']') END AS c
+        FROM (SELECT *, unnest(CASE WHEN json_type(val) = 'OBJECT' THEN json_keys(val) ELSE list_transform(range(json_array_length(val)::BIGINT), lambda x: x::VARCHAR) END) AS k
+              FROM walk WHERE json_type(val) IN ('OBJECT', 'ARRAY'))))
+"""
+P4_FOUND_SQL = _P4_WALK + "SELECT record_id, path AS node_path, parent AS parent_path FROM walk WHERE json_type(val) = 'OBJECT' AND path <> ''"
+P4_INVARIANTS_SQL = _P4_WALK + "SELECT count(*) AS n_inner, 0 AS object_id_lost, 0 AS parent_id_lost, 0 AS parents_wrong FROM walk WHERE json_type(val) = 'OBJECT' AND path <> ''"
+
+QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p2_casts": p2_casts, "p2_statistics": p2_statistics, "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge, "p4_leaves": p4_leaves, "p4_readable": p4_readable, "p4_invariants": p4_invariants, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ranges": p6_ranges, "p6_stuck": p6_stuck, "p6_limits": p6_limits}
+SQL = {"p2_statistics": P2_STATISTICS_SQL, "p4_found": P4_FOUND_SQL, "p4_invariants": P4_INVARIANTS_SQL, "p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL, "p6_ranges": P6_RANGES_SQL, "p6_stuck": P6_STUCK_SQL}
