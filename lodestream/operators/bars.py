@@ -38,6 +38,12 @@ def time_bars(ticks: DataFrame, key: Sequence[str], seconds: int, price: str = "
     )
 
 
+def slower_bars(bars: DataFrame, key: Sequence[str], seconds: int) -> DataFrame:
+    """Bars of a slower clock from bars whose length divides it: the same as from the ticks."""
+    t = F.floor(F.col("t") / seconds) * seconds
+    return bars.groupBy(*key, t.alias("_t")).agg(F.min_by("open", "t").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "t").alias("close"), F.sum("n").alias("n")).withColumnRenamed("_t", "t")
+
+
 def information_bars(ticks: DataFrame, key: Sequence[str], size: Column, threshold: float, price: str = "quote") -> DataFrame:
     """Bars that end when the cumulated size passes multiples of the threshold.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodestream.operators.scan import numbered, running_total, with_previous
+from lodestream.runtime import cut
 
 
 def span(key: list[str], ts: str, rows: int, end: int = 0) -> WindowSpec:
@@ -78,7 +79,7 @@ def ewm_set(df: DataFrame, key: list[str], ts: str, means: list[tuple[Column, fl
     """Several means (value, alpha, out) of rows that are numbered once; a value may be made of earlier means."""
     rows = numbered(df, [F.col(ts)], F.floor(F.col(ts) / 86_400), key, "_i").withColumn("_i", F.col("_i") - 1)
     for x, alpha, out in means:
-        rows = _ewm(rows, key, x, alpha, out)
+        rows = _ewm(cut(rows), key, x, alpha, out)  # a mean reads its rows twice
     return rows.drop("_i")
 
 

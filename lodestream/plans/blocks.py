@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators import technical as T
-from lodestream.operators.bars import time_bars, usable_ticks
+from lodestream.operators.bars import slower_bars, time_bars, usable_ticks
 from lodestream.operators.stateful import frames_by_rows
 from lodestream.plans.base import BARS_SQL, TICKS_SQL, Registry, minute_bars
 from lodestream.plans.features import roll
 from lodestream.plans.windows import KEY, win
-from lodestream.runtime import table
+from lodestream.runtime import table, written
 
 query = Registry()
 #: The clocks of the technical set in seconds.
@@ -66,15 +66,15 @@ def technical_sql(seconds: int, s: str) -> str:
     return ", ".join(tables) + f", f_{s} AS (SELECT stream_id, t, " + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in f.items()) + f" FROM k_{s})"
 
 
-def technical(spark: SparkSession, sf: str, seconds: int) -> DataFrame:
-    """The technical set on one clock."""
-    return frames_by_rows(minute_bars(spark, sf, seconds), "stream_id", "t", ["high", "low", "close"], BLOCK, T.WARMUP, T.technical_set, T.TECHNICAL)
+def technical(bars: DataFrame, seconds: int = 60) -> DataFrame:
+    """The technical set of minute bars on one clock."""
+    return frames_by_rows(bars if seconds == 60 else slower_bars(bars, KEY, seconds), "stream_id", "t", ["high", "low", "close"], BLOCK, T.WARMUP, T.technical_set, T.TECHNICAL)
 
 
 @query(TICKS_SQL + ", " + technical_sql(60, "1m") + " SELECT stream_id, t, " + ", ".join(f"round({c}, 7) AS {c}" for c in T.TECHNICAL) + " FROM f_1m")
 def ref_f01_technical(spark: SparkSession, sf: str) -> DataFrame:
     """The whole technical set on minute bars."""
-    return technical(spark, sf, 60).select("stream_id", "t", *[F.round(c, 7).alias(c) for c in T.TECHNICAL])
+    return technical(minute_bars(spark, sf)).select("stream_id", "t", *[F.round(c, 7).alias(c) for c in T.TECHNICAL])
 
 
 @query(TICKS_SQL + ", " + technical_sql(60, "1m") + " SELECT stream_id, t, " + ", ".join(f"round({c}, 7) AS {c}" for c in T.TECHNICAL) + " FROM f_1m QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY t DESC) = 1")
@@ -101,10 +101,11 @@ _HIGHER = [c for c in CLOCKS if c != "1m"]
        + " ".join(f"JOIN l_{c} ON f_1m.stream_id = l_{c}.stream_id AND l_{c}.t = f_1m.t // {CLOCKS[c]} * {CLOCKS[c]}" for c in _HIGHER))
 def ref_f02_all_clocks(spark: SparkSession, sf: str) -> DataFrame:
     """The technical set on six clocks, of the slower ones that of the last completed bar, and how far the clocks agree."""
-    wide = technical(spark, sf, 60).select("stream_id", "t", *[F.col(x).alias(f"f1m_{x}") for x in T.TECHNICAL])
+    bars = written(minute_bars(spark, sf), "bars")  # six clocks read them
+    wide = technical(bars).select("stream_id", "t", *[F.col(x).alias(f"f1m_{x}") for x in T.TECHNICAL])
     for c in _HIGHER:
         # every minute bar lies in a slower bar: the one before that is the last completed
-        done = technical(spark, sf, CLOCKS[c]).select("stream_id", F.col("t").alias("slow"), *[F.lag(x).over(win()).alias(f"f{c}_{x}") for x in T.TECHNICAL])
+        done = technical(bars, CLOCKS[c]).select("stream_id", F.col("t").alias("slow"), *[F.lag(x).over(win()).alias(f"f{c}_{x}") for x in T.TECHNICAL])
         wide = wide.withColumn("slow", F.floor(F.col("t") / CLOCKS[c]) * CLOCKS[c]).join(done, ["stream_id", "slow"]).drop("slow")
     over = lambda x: [F.col(f"f{c}_{x}") for c in CLOCKS]
     mean = lambda cols: sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0)) / F.nullif(sum((c.isNotNull().cast("int") for c in cols), F.lit(0)), F.lit(0))
@@ -142,9 +143,9 @@ _SLOW = {"1m": 60, "5m": 300, "15m": 900, "30m": 1_800, "60m": 3_600}
        + " ".join(f"JOIN l_{c} ON g_1m.stream_id = l_{c}.stream_id AND l_{c}.t = g_1m.t // {_SLOW[c]} * {_SLOW[c]}" for c in _SLOW if c != "1m"))
 def ref_f38_all_clocks(spark: SparkSession, sf: str) -> DataFrame:
     """The indicator set on five clocks, of the slower ones that of the last completed bar."""
-    wide = None
+    wide, bars = None, written(minute_bars(spark, sf), "bars")  # five clocks read them
     for c, s in _SLOW.items():
-        made = frames_by_rows(minute_bars(spark, sf, s), "stream_id", "t", ["close"], BLOCK, 480, T.indicator_set, T.INDICATORS)
+        made = frames_by_rows(slower_bars(bars, KEY, s), "stream_id", "t", ["close"], BLOCK, 480, T.indicator_set, T.INDICATORS)
         if wide is None:
             wide = made.select("stream_id", "t", *[F.col(x).alias(f"k{c}_{x}") for x in T.INDICATORS])
         else:

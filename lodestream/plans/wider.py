@@ -39,9 +39,10 @@ m AS (SELECT q.stream_id, q.peer, q.t, b.t AS on_, """ + ", ".join(_PEER) + """
 k AS (SELECT *, row_number() OVER (PARTITION BY stream_id, peer, on_, t <> on_ ORDER BY t) AS k FROM m) SELECT stream_id, peer, t, """ + ", ".join(f"round({c}, 7) AS {c}" for c in _PEER) + " FROM k WHERE t = on_ OR k <= 3")
 def ref_f05_all_peers(spark: SparkSession, sf: str) -> DataFrame:
     """Ten columns of each peer of the venue on the own clock, each row of a peer serving three further rows at most."""
-    wide = technical(spark, sf, 60).select("stream_id", "t", *[F.col(x).alias(f"f1m_{x}") for x in PEER_COLUMNS["1m"]])
+    bars = written(minute_bars(spark, sf), "bars")  # three clocks read them
+    wide = technical(bars).select("stream_id", "t", *[F.col(x).alias(f"f1m_{x}") for x in PEER_COLUMNS["1m"]])
     for c in ("5m", "15m"):
-        done = technical(spark, sf, CLOCKS[c]).select("stream_id", F.col("t").alias("slow"), *[F.lag(x).over(win()).alias(f"f{c}_{x}") for x in PEER_COLUMNS[c]])
+        done = technical(bars, CLOCKS[c]).select("stream_id", F.col("t").alias("slow"), *[F.lag(x).over(win()).alias(f"f{c}_{x}") for x in PEER_COLUMNS[c]])
         wide = wide.withColumn("slow", F.floor(F.col("t") / CLOCKS[c]) * CLOCKS[c]).join(done, ["stream_id", "slow"]).drop("slow")
     base = written(wide.withColumn("venue", F.split_part("stream_id", F.lit(":"), F.lit(2))), "base")
     ids = base.select(F.col("stream_id").alias("peer"), "venue").distinct()  # one row a stream, a venue has a pair once
@@ -151,7 +152,7 @@ CASE WHEN was7 AND low < pl AND close < sma - 1e-9 THEN -1 WHEN was7 AND high >
 def ref_f39_all_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """Bar patterns 3-2-2 and 3-1-2, reversal and momentum at round numbers, and the break after the narrowest of seven bars."""
     bars = minute_bars(spark, sf).select("stream_id", "t", "open", "high", "low", "close")
-    rsi = technical(spark, sf, 60).select("stream_id", "t", "rsi")
+    rsi = technical(minute_bars(spark, sf)).select("stream_id", "t", "rsi")
     lag = lambda c, k=1: F.lag(c, k).over(win())
     a = bars.withColumns({"ph": lag("high"), "pl": lag("low"), "rng": F.col("high") - F.col("low"), "level": F.floor(F.col("close") / 0.005 + 0.5) * 0.005, "c1": lag("close"), "c2": lag("close", 2), "c3": lag("close", 3), "o1": lag("open")})
     h, l, c = F.col("high"), F.col("low"), F.col("close")  # noqa: E741
