@@ -43,6 +43,8 @@ SEASON_S, SEASON_DAYS, ROUNDS = 1_800, 3, 3
 MARKED = 4.0
 #: Residuals are counted in bins by the logarithm of their size over the shard's usual step.
 BINS, BIN_LOW, BIN_WIDTH = 192, -6.0, 0.125
+#: Bins of a reading's size in a factor of e, by which sources are summed up.
+CELLS = 20
 #: A value is possible if it is positive and within this factor of the source's median.
 RANGE_FACTOR = 1.5
 #: Readings below which a shard is decomposed with the source's step: a few strays make up too much of its own.
@@ -191,9 +193,9 @@ def _shard_rows(shard: int, readings: pa.Table, known: dict) -> list[dict]:
     core = _core(epoch, shard)
     if not core.any():
         return []
-    middle, season = known["middle"], known["season"]
-    odd = (v <= 0) | (v > middle * RANGE_FACTOR) | (v < middle / RANGE_FACTOR)
-    least = float(max(abs(middle) * 1e-9, 1e-300))
+    middle, season = known["middle"], known["season"] or []
+    odd = v <= 0 if middle is None else (v <= 0) | (v > middle * RANGE_FACTOR) | (v < middle / RANGE_FACTOR)
+    least = float(max(abs(middle or 0.0) * 1e-9, 1e-300))
     if known["usual_step"] is not None:  # a sparse shard, read again
         sums, marked = _decomposed(epoch, ids, v, core, odd, known["usual_step"] or least, season)
         return [dict(kind="sums") | sums, *marked]
@@ -264,22 +266,31 @@ _SHARDS = ["source_table", "source_id", "shard", "field_name"]
 def sources(own: DataFrame) -> DataFrame:
     """(source_table, source_id, field_name, shard, middle, season): what a shard must know of its source.
 
-    own: readings with a value, each in its own shard. middle is the source's median, season an
+    own: readings with a value, each in its own shard. One pass counts and sums them by half hour and
+    bin of size (CELLS bins for a factor of e); the rest comes from these cells. middle is the
+    source's median, as the mean of the bin that holds it, NULL without a positive reading; season an
     array over times of day: the median over days of the possible readings' mean in half an hour,
     less the median of those means over a day around it. A time of day seen on fewer than
     SEASON_DAYS days has no season. One row per shard with readings.
     """
-    middles = written(own.groupBy(*BY).agg(F.percentile_approx("value", 0.5).cast("double").alias("middle")), "middles")
-    possible = (F.col("value") > 0) & (F.col("value") <= F.col("middle") * RANGE_FACTOR) & (F.col("value") >= F.col("middle") / RANGE_FACTOR)
+    value = F.col("value").cast("double")
+    cell = F.when((value > 0) & (value < float("inf")), F.floor(F.log(value) * CELLS))
     bucket = F.floor(F.col("epoch") / SEASON_S)
-    levels = written(own.join(middles, BY).groupBy(*BY, bucket.alias("bucket")).agg(F.avg(F.when(possible, F.col("value"))).alias("level")), "levels")
+    cells = written(own.groupBy(*BY, bucket.alias("bucket"), cell.alias("cell")).agg(F.count("*").alias("n"), F.sum(value).alias("total")), "cells")
+    bins = cells.where("cell IS NOT NULL").groupBy(*BY, "cell").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    by_size = Window.partitionBy(*BY).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # bins of size, however many readings they hold
+    reached = bins.withColumns({"upto": F.sum("n").over(by_size), "all": F.sum("n").over(Window.partitionBy(*BY))}).where(F.col("upto") * 2 >= F.col("all"))
+    middles = written(reached.groupBy(*BY).agg(F.min_by(F.col("total") / F.col("n"), "cell").alias("middle")), "middles")
+    mean = F.col("total") / F.col("n")
+    possible = (mean <= F.col("middle") * RANGE_FACTOR) & (mean >= F.col("middle") / RANGE_FACTOR)
+    levels = cells.join(middles, BY).where(possible).groupBy(*BY, "bucket").agg((F.sum("total") / F.sum("n")).alias("level"))
     day = Window.partitionBy(*BY).orderBy("bucket").rangeBetween(-_SEASONS // 2, _SEASONS // 2)  # buckets of time, however many readings they hold
     apart = levels.withColumn("apart", F.col("level") - F.percentile_approx("level", 0.5).over(day)).withColumn("tod", F.pmod("bucket", F.lit(_SEASONS)).cast("int"))
     season = apart.groupBy(*BY, "tod").agg(F.when(F.count("apart") >= SEASON_DAYS, F.median("apart")).alias("seasonal"))
     by_tod = season.groupBy(*BY).agg(F.map_from_entries(F.collect_list(F.struct("tod", "seasonal"))).alias("m"))
     seasons = by_tod.select(*BY, F.array(*[F.try_element_at("m", F.lit(i)) for i in range(_SEASONS)]).alias("season"))
-    shards = levels.select(*BY, F.floor(F.col("bucket") * SEASON_S / SHARD_S).alias("shard")).distinct()
-    return shards.join(middles, BY).join(seasons, BY)
+    shards = cells.select(*BY, F.floor(F.col("bucket") * SEASON_S / SHARD_S).alias("shard")).distinct()
+    return shards.join(middles.join(seasons, BY, "left"), BY, "left")
 
 
 def decompose(readings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
