@@ -42,9 +42,15 @@ P9_FOUND = _FORMS + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a
 P9_CLASSES = _FORMS + """ SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS n_links FROM k"""
 P9_FORMS = _FORMS + " SELECT doc_id, form FROM k"
 
+#: Groups of one size are interchangeable, so the rows of every split follow from the sizes.
+P1_SHARES = P1_FOUND.split("named AS")[0].rstrip().rstrip(",") + """, sizes AS (SELECT g, count(*) AS n FROM member GROUP BY g), laid AS (SELECT n, sum(n) OVER (ORDER BY n DESC, g ROWS UNBOUNDED PRECEDING) - n / 2 AS middle FROM sizes),
+goal AS (SELECT split_name, target_share, sum(target_share) OVER (ORDER BY target_share DESC, split_name ROWS UNBOUNDED PRECEDING) / sum(target_share) OVER () AS edge FROM split_targets), whole AS (SELECT count(*) AS n_total FROM member),
+cut AS (SELECT n, (SELECT arg_min(split_name, edge) FROM goal WHERE middle <= edge * n_total + 1e-6) AS split_name FROM laid, whole), got AS (SELECT split_name, sum(n)::BIGINT AS n_rows FROM cut GROUP BY 1)
+SELECT goal.split_name, target_share, coalesce(n_rows, 0) AS n_rows, coalesce(n_rows, 0) / n_total AS actual_share FROM goal LEFT JOIN got USING (split_name), whole"""
+
 #: What must hold of the results that SQL can't make, as SQL's own counts.
 P1_INVARIANTS = "SELECT count(*) AS n_rows, 0 AS rows_without, 0 AS books_apart, 0 AS analysts_apart, 0 AS settlements_apart FROM label_rows"
 P7_INVARIANTS = "SELECT count(DISTINCT doc_id) AS n_documents, 0 AS not_whole, 0 AS split_without_need, 0 AS windows_over, true AS few_windows FROM documents"
 P8_INVARIANTS = "SELECT count(*) AS n_sources, 0 AS used_too_often, 0 AS of_other_sources, 0 AS misreported, true AS within_budget FROM mix_targets"
 
-SQL = {"p1_invariants": P1_INVARIANTS, "p7_invariants": P7_INVARIANTS, "p8_invariants": P8_INVARIANTS, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p9_found": P9_FOUND, "p9_classes": P9_CLASSES, "p9_forms": P9_FORMS}
+SQL = {"p1_shares": P1_SHARES, "p1_invariants": P1_INVARIANTS, "p7_invariants": P7_INVARIANTS, "p8_invariants": P8_INVARIANTS, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p9_found": P9_FOUND, "p9_classes": P9_CLASSES, "p9_forms": P9_FORMS}
