@@ -143,7 +143,7 @@ def rescaled_range(v: np.ndarray, window: int = 64) -> dict[str, np.ndarray]:
         f = np.lib.stride_tricks.sliding_window_view(v, window)
         path = np.cumsum(f - f.mean(axis=1, keepdims=True), axis=1)
         sd = f.std(axis=1)
-        rs = (path.max(axis=1) - path.min(axis=1)) / np.where(sd > 0, sd, np.nan)
+        rs = (path.max(axis=1) - path.min(axis=1)) / np.where(sd > 1e-9, sd, np.nan)
         out[window - 1 :] = np.log(rs) / np.log(window / 2)
     return {"hurst": out}
 

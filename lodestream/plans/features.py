@@ -291,11 +291,13 @@ def ref_f18_kalman(spark: SparkSession, sf: str) -> DataFrame:
     return _blocks(spark, sf, S.local_trend, ["slope", "innovation"]).select("stream_id", "t", F.round("slope", 6).alias("slope"), F.round("innovation", 6).alias("innovation"))
 
 
-@query()
+@query(_IDX_SQL.replace("WITH", "WITH RECURSIVE") + """, w AS (SELECT 0 AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4 - (k + 1) + 1) / (k + 1) FROM w WHERE abs(w * (0.4 - (k + 1) + 1) / (k + 1)) >= 1e-5), n AS (SELECT max(k) AS last FROM w),
+s AS (SELECT a.stream_id, a.t, sum(w.w * b.p) AS ffd FROM x a JOIN n ON a.i >= n.last JOIN x b ON b.stream_id = a.stream_id AND b.i <= a.i AND b.i >= a.i - n.last JOIN w ON w.k = a.i - b.i GROUP BY ALL)
+SELECT x.stream_id, x.t, round(ffd, 5) AS ffd FROM x LEFT JOIN s USING (stream_id, t)""")
 def ref_f20_fractional_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-width fractional difference over all weights of at least 1e-5."""
     rows = indexed(spark, sf).select("stream_id", "t", "p")
-    return S.by_rows(rows, "stream_id", "t", "p", 4_096, len(S.fractional_weights()) - 1, S.fractional_difference, ["ffd"])
+    return S.by_rows(rows, "stream_id", "t", "p", 4_096, len(S.fractional_weights()) - 1, S.fractional_difference, ["ffd"]).select("stream_id", "t", F.round("ffd", 5).alias("ffd"))
 
 
 #: Rows after which the two-state filter has forgotten where it started.
@@ -323,10 +325,13 @@ def ref_f27_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     return S.hysteresis(indexed(spark, sf).select("stream_id", "t", "p"), "stream_id", "t", "p").select("stream_id", "t", F.round("play", 6).alias("play"))
 
 
-@query()
+@query(RET_SQL + """, q AS (SELECT stream_id, t, r, row_number() OVER (PARTITION BY stream_id ORDER BY t) AS i FROM r WHERE r IS NOT NULL),
+j AS (SELECT a.stream_id, a.t, b.i, b.r, avg(b.r) OVER w AS m, stddev_pop(b.r) OVER w AS sd FROM q a JOIN q b ON b.stream_id = a.stream_id AND b.i BETWEEN a.i - 63 AND a.i WHERE a.i >= 64 WINDOW w AS (PARTITION BY a.stream_id, a.t)),
+p AS (SELECT stream_id, t, sd, sum(r - m) OVER (PARTITION BY stream_id, t ORDER BY i) AS path FROM j), h AS (SELECT stream_id, t, CASE WHEN any_value(sd) > 1e-9 THEN ln((max(path) - min(path)) / any_value(sd)) / ln(32) END AS hurst FROM p GROUP BY ALL)
+SELECT q.stream_id, q.t, round(hurst, 5) AS hurst FROM q LEFT JOIN h USING (stream_id, t)""")
 def ref_f33_hurst(spark: SparkSession, sf: str) -> DataFrame:
     """Rescaled range of trailing windows."""
-    return _blocks(spark, sf, S.rescaled_range, ["hurst"], "r")
+    return _blocks(spark, sf, S.rescaled_range, ["hurst"], "r").select("stream_id", "t", F.round("hurst", 5).alias("hurst"))
 
 
 @query()

@@ -206,5 +206,7 @@ walk AS (
 P4_FOUND_SQL = _P4_WALK + "SELECT record_id, path AS node_path, parent AS parent_path FROM walk WHERE json_type(val) = 'OBJECT' AND path <> ''"
 P4_INVARIANTS_SQL = _P4_WALK + "SELECT count(*) AS n_inner, 0 AS object_id_lost, 0 AS parent_id_lost, 0 AS parents_wrong FROM walk WHERE json_type(val) = 'OBJECT' AND path <> ''"
 
+P4_READABLE_SQL = _P4_WALK.split("readable AS")[0].rstrip().rstrip(",") + """ SELECT CASE WHEN t IS NULL THEN 'missing' WHEN NOT json_valid(t) THEN 'broken' WHEN json_type(CASE WHEN json_valid(t) THEN t END) = 'OBJECT' THEN 'object' ELSE 'other' END AS readable, count(*) AS n FROM text GROUP BY 1"""
+
 QUERIES = {"p2_found": p2_found, "p2_table": p2_table, "p2_casts": p2_casts, "p2_statistics": p2_statistics, "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge, "p4_leaves": p4_leaves, "p4_readable": p4_readable, "p4_invariants": p4_invariants, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_reasons": p6_reasons, "p6_ranges": p6_ranges, "p6_stuck": p6_stuck, "p6_limits": p6_limits}
-SQL = {"p2_statistics": P2_STATISTICS_SQL, "p4_found": P4_FOUND_SQL, "p4_invariants": P4_INVARIANTS_SQL, "p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL, "p6_ranges": P6_RANGES_SQL, "p6_stuck": P6_STUCK_SQL}
+SQL = {"p2_statistics": P2_STATISTICS_SQL, "p4_found": P4_FOUND_SQL, "p4_invariants": P4_INVARIANTS_SQL, "p4_readable": P4_READABLE_SQL, "p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL, "p6_ranges": P6_RANGES_SQL, "p6_stuck": P6_STUCK_SQL}

@@ -188,6 +188,21 @@ def ref_j16_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_vectors(v, v.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).withColumn("dist", F.round("dist", 5))
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), x AS (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), m AS (SELECT i, avg(x) AS mu, stddev_pop(x) AS sd FROM x GROUP BY 1),
+top AS (SELECT * FROM m WHERE sd > 0 ORDER BY round(sd, 9) DESC, i LIMIT 20), z AS (SELECT vec_id, list((e[i] - mu) / sd ORDER BY i) AS z FROM v, top GROUP BY 1), q AS (SELECT * FROM z WHERE vec_id % 100 = 0),
+d AS (SELECT q.vec_id AS query_id, z.vec_id, list_sum(list_transform(range(1, len(q.z) + 1), lambda i: (q.z[i] - z.z[i]) * (q.z[i] - z.z[i]))) AS dist FROM q JOIN z ON q.vec_id <> z.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM d) SELECT query_id, vec_id, rank::INT AS rank, round(dist, 4) AS dist FROM k WHERE rank <= 100""")
+def ref_j16_standardized_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred nearest rows of every query (ids divisible by 100) on the twenty most variable elements, standardized."""
+    from lodestream.operators.neighbours import nearest_vectors
+
+    v = table(spark, sf, "embeddings").where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    m = v.select(F.posexplode("e").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd")).where("sd > 0")  # one row an element
+    top = m.orderBy(F.round("sd", 9).desc(), "i").limit(20).agg(F.sort_array(F.collect_list(F.struct("i", "mu", "sd"))).alias("top"))
+    z = v.join(F.broadcast(top)).select("vec_id", F.transform("top", lambda c: (F.get("e", c["i"]) - c["mu"]) / c["sd"]).alias("z"))
+    return nearest_vectors(z, z.where("vec_id % 100 = 0"), "vec_id", "z", 100).withColumn("dist", F.round("dist", 4))
+
+
 @query("""SELECT d.stream_id, s.venue, count(*) AS n, count(s.stream_id) AS matched, sum((d.candidate_gate_passed = 1 AND d.candidate_direction = 'UP')::INT)::BIGINT AS up FROM decisions d LEFT JOIN streams s ON s.stream_id = d.stream_id AND s.digits = 5 GROUP BY ALL""")
 def ref_j17_left_join_predicate(spark: SparkSession, sf: str) -> DataFrame:
     """A left join with a predicate on the right side, which keeps unmatched rows."""

@@ -44,6 +44,16 @@ def ref_t04_exact_windows(spark: SparkSession, sf: str) -> DataFrame:
     return M.run_to_table(windows, "windows")
 
 
+@query("""WITH u AS (SELECT * FROM ticks WHERE quote IS NOT NULL AND NOT isnan(quote) QUALIFY row_number() OVER (PARTITION BY stream_id, epoch ORDER BY tick_id DESC) = 1),
+w AS (SELECT stream_id, epoch, quote, unnest(range((epoch + 4) // 5 * 5, (epoch + 4) // 5 * 5 + 60, 5)) AS end_epoch FROM u), c AS (SELECT stream_id, end_epoch, count(*) AS n FROM w GROUP BY ALL)
+SELECT stream_id, count(*) FILTER (n = 60) AS whole, count(*) FILTER (n < 60) AS partial, max(n) AS fullest FROM c GROUP BY 1""")
+def ref_t04_whole_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Right-closed 60 s windows every 5 s: how many have all sixty seconds, how many have fewer."""
+    stream = replay(spark, sf).where("stream_id = '' OR quote IS NOT NULL")
+    windows = M.run_to_table(M.exact_windows(stream, "stream_id", "epoch", "quote", "tick_id", 60, 5, 1, "0 seconds"), "minutes").where("stream_id <> ''")
+    return windows.groupBy("stream_id").agg(F.count_if(F.col("n") == 60).alias("whole"), F.count_if(F.col("n") < 60).alias("partial"), F.max("n").alias("fullest"))
+
+
 @query("""SELECT stream_id, epoch // 60 * 60 AS t, arg_min(quote, struct_pack(epoch, tick_id)) AS open, max(quote) AS high, min(quote) AS low, arg_max(quote, struct_pack(epoch, tick_id)) AS close, count(*) AS n FROM ticks WHERE NOT isnan(quote) GROUP BY ALL""")
 def ref_t07_closed_candles(spark: SparkSession, sf: str) -> DataFrame:
     """One-minute candles closed by the watermark."""
