@@ -30,7 +30,9 @@ def rolled(x: np.ndarray, n: int, function) -> np.ndarray:
     """function(windows, axis=1) of the last n values; no value if one of them is missing."""
     out = np.full(len(x), np.nan)
     if len(x) >= n:
-        out[n - 1 :] = function(np.lib.stride_tricks.sliding_window_view(x, n), axis=1)
+        windows, at_once = np.lib.stride_tricks.sliding_window_view(x, n), max(1, 2_000_000 // n)  # functions copy their windows
+        for i in range(0, len(windows), at_once):
+            out[n - 1 + i : n - 1 + i + at_once] = function(windows[i : i + at_once], axis=1)
     return out
 
 
@@ -127,3 +129,47 @@ def indicator_set(bars: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 #: Names of indicator_set's features.
 INDICATORS = ["disp", "madz", "rvivol", "cmo", "tii", "kamaer", "volr", "chop"]
+
+
+#: Rows before a frame of the microstructure set, after which its slowest mean keeps less than 1e-12 of older values.
+MICRO_WARMUP = 50_000
+#: Spans and lengths of the microstructure set in rows.
+IMB_SPANS, DEV_SPANS, MICRO_RETURNS, MICRO_VOLS = (3, 5, 10, 20, 40, 80), (5, 15, 30, 60), (5, 15, 30, 60, 120, 300, 600, 1_800, 3_600), (30, 60, 300, 900, 1_800, 3_600)
+MEAN_SPANS, STRETCHES, PLACES = (60, 300, 900, 1_800, 3_600), (120, 300, 900, 1_800), (300, 900, 1_800, 3_600)
+
+
+def microstructure_set(bars: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Imbalance, micro-price, spread, activity, returns, volatilities, stretch and range places of short quote bars.
+
+    bars: t, mid, micro, imb, spread, nt, tsz. Exponential means have weights that sum to one;
+    windows of deviations and extremes are as long as their name says, in rows.
+    """
+    mid, micro, imb = (pd.Series(bars[c]) for c in ("mid", "micro", "imb"))
+    mean = lambda x, span: x.ewm(span=span).mean()
+    sign = np.sign(imb.round(9))
+    out = {"imb": imb} | {f"imb_ema{w}": mean(imb, w) for w in IMB_SPANS}
+    out |= {"imb_acc": out["imb_ema5"] - out["imb_ema40"], "imb_chg": imb.diff(3), "imb_sgn_ac30": (sign * sign.shift(1)).rolling(30).mean(), "imb_sameside30": (sign == sign.shift(1)).astype(float).rolling(30).mean()}
+    change = (sign != sign.shift(1)).cumsum()
+    out["imb_runlen"] = ((sign.groupby(change).cumcount() + 1) * sign).clip(-50, 50)
+    dev = (micro - mid) / mid * 1e4
+    out |= {"micro_dev": dev} | {f"micro_dev_ema{w}": mean(dev, w) for w in DEV_SPANS} | {f"micro_mom{w}": micro / micro.shift(w) - 1 for w in (15, 60)}
+    for c in ("spread", "nt", "tsz"):
+        x = pd.Series(bars[c]).astype(float)
+        out |= {c: x, f"{c}_ema30": mean(x, 30)}
+    ret = mid / mid.shift(1) - 1
+    # window by window: running sums stay wrong long after one wild price
+    vol = {w: pd.Series(deviation(ret.to_numpy(), w)) for w in sorted({*MICRO_VOLS, *STRETCHES, *PLACES})}
+    far = {w: mid / mean(mid, w) - 1 for w in sorted({*MEAN_SPANS, *STRETCHES})}
+    out |= {f"ret{w}": mid / mid.shift(w) - 1 for w in MICRO_RETURNS} | {f"rv{w}": vol[w] for w in MICRO_VOLS} | {f"emadist{w}": far[w] for w in MEAN_SPANS}
+    out |= {f"stretch{w}": far[w] / (vol[w] * np.sqrt(w) + 1e-6) for w in STRETCHES}
+    for w in PLACES:
+        hi, lo = mid.rolling(w).max(), mid.rolling(w).min()
+        out |= {f"rangepos{w}": (mid - lo) / (hi - lo + 1e-9), f"bbw{w}": vol[w] * np.sqrt(w)}
+    out |= {"rel_ratio": out["bbw300"] / (out["bbw1800"] + 1e-9), "rel_ratio2": out["bbw900"] / (out["bbw3600"] + 1e-9)}
+    hour, day = bars["t"] // 3_600 % 24, (bars["t"] // 86_400 + 3) % 7
+    out |= {"hsin": np.sin(2 * np.pi * hour / 24), "hcos": np.cos(2 * np.pi * hour / 24), "dow": day.astype(float)}
+    return {k: np.asarray(v, float) for k, v in out.items()}
+
+
+#: Names of microstructure_set's features.
+MICROSTRUCTURE = list(microstructure_set({c: np.arange(1.0, 4.0) for c in ("t", "mid", "micro", "imb", "spread", "nt", "tsz")}))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.operators import technical as T
 from lodestream.operators.bars import slower_bars, time_bars, usable_ticks
 from lodestream.operators.stateful import frames_by_rows
-from lodestream.plans.base import BARS_SQL, TICKS_SQL, Registry, minute_bars
+from lodestream.plans.base import BARS_SQL, TICKS_SQL, Registry, minute_bars, ticks
 from lodestream.plans.features import roll
 from lodestream.plans.windows import KEY, win
 from lodestream.runtime import table, written
@@ -197,3 +197,46 @@ def ref_f07_compression(spark: SparkSession, sf: str) -> DataFrame:
     """Deviation of the last 60 returns, of 20 at least."""
     r = minute_bars(spark, sf).withColumn("r", F.log(F.col("close") / F.lag("close").over(win())) * 1e4)
     return r.select("stream_id", "t", F.round(roll(F.stddev_samp("r"), "r", 60, least=20), 4).alias("comp60"))
+
+
+_MICRO_WINDOWS = {w: f"(PARTITION BY stream_id ORDER BY t ROWS {w - 1} PRECEDING)" for w in {*T.MICRO_VOLS, *T.STRETCHES, *T.PLACES}}
+
+
+def _places(feature: str) -> int:
+    """Decimals of a feature; a stretch divides by a deviation, which is exact to fewer."""
+    return 3 if feature.startswith("stretch") else 5
+
+
+def _micro_sql() -> str:
+    full = lambda fn, w, c: f"CASE WHEN count({c}) OVER {_MICRO_WINDOWS[w]} = {w} THEN {fn} OVER {_MICRO_WINDOWS[w]} END"
+    decay = lambda span: f"pow({1 - 2 / (span + 1)}, a.i - b.i)"
+    means = {f"imb_ema{w}": ("imb", w) for w in T.IMB_SPANS} | {f"micro_dev_ema{w}": ("dev", w) for w in T.DEV_SPANS} | {f"{c}_ema30": (c, 30) for c in ("spread", "nt", "tsz")}
+    means |= {f"mid_ema{w}": ("mid", w) for w in sorted({*T.MEAN_SPANS, *T.STRETCHES})}
+    f = {"imb": "imb"} | {k: k for k in means if not k.startswith("mid_")} | {"micro_dev": "dev", "spread": "spread", "nt": "nt", "tsz": "tsz"}
+    f |= {"imb_acc": "imb_ema5 - imb_ema40", "imb_chg": f"imb - lag(imb, 3) {_W}", "imb_sgn_ac30": "CASE WHEN i >= 30 THEN avg(s * s0) OVER (PARTITION BY stream_id ORDER BY t ROWS 29 PRECEDING) END", "imb_sameside30": "CASE WHEN i >= 29 THEN avg(coalesce(s = s0, false)::INT) OVER (PARTITION BY stream_id ORDER BY t ROWS 29 PRECEDING) END"}
+    f |= {"imb_runlen": "least(50, row_number() OVER (PARTITION BY stream_id, isl ORDER BY t)) * s"} | {f"micro_mom{w}": f"micro / lag(micro, {w}) {_W} - 1" for w in (15, 60)}
+    f |= {f"ret{w}": f"mid / lag(mid, {w}) {_W} - 1" for w in T.MICRO_RETURNS} | {f"rv{w}": full("stddev_samp(r)", w, "r") for w in T.MICRO_VOLS} | {f"emadist{w}": f"mid / mid_ema{w} - 1" for w in T.MEAN_SPANS}
+    f |= {f"stretch{w}": f"(mid / mid_ema{w} - 1) / ({full('stddev_samp(r)', w, 'r')} * sqrt({w}) + 1e-6)" for w in T.STRETCHES}
+    for w in T.PLACES:
+        f |= {f"rangepos{w}": f"(mid - {full('min(mid)', w, 'mid')}) / ({full('max(mid)', w, 'mid')} - {full('min(mid)', w, 'mid')} + 1e-9)", f"bbw{w}": f"{full('stddev_samp(r)', w, 'r')} * sqrt({w})"}
+    f |= {"rel_ratio": f"{f['bbw300']} / ({f['bbw1800']} + 1e-9)", "rel_ratio2": f"{f['bbw900']} / ({f['bbw3600']} + 1e-9)", "hsin": "sin(2 * pi() * (t // 3600 % 24) / 24)", "hcos": "cos(2 * pi() * (t // 3600 % 24) / 24)", "dow": "(t // 86400 + 3) % 7"}
+    return TICKS_SQL + f""", q AS (SELECT stream_id, epoch, bid, ask, tick_id % 97 + 1 AS bs, tick_id % 89 + 1 AS az FROM u WHERE bid IS NOT NULL AND ask IS NOT NULL),
+b AS (SELECT stream_id, epoch // 10 * 10 AS t, arg_max((bid + ask) / 2, epoch) AS mid, arg_max((bid * az + ask * bs) / (bs + az), epoch) AS micro, avg((bs - az) / (bs + az)) AS imb, avg(ask - bid) AS spread, count(*)::DOUBLE AS nt, avg(bs + az) AS tsz FROM q GROUP BY ALL),
+x AS (SELECT *, row_number() {_W} - 1 AS i, mid / lag(mid) {_W} - 1 AS r, (micro - mid) / mid * 1e4 AS dev, sign(round(imb, 9)) AS s, lag(sign(round(imb, 9))) {_W} AS s0 FROM b),
+e AS (SELECT a.stream_id, a.t, {", ".join(f"sum({decay(w)} * b.{c}) / sum({decay(w)}) AS {k}" for k, (c, w) in means.items())} FROM x a JOIN x b ON a.stream_id = b.stream_id AND b.i <= a.i GROUP BY ALL),
+y AS (SELECT x.*, e.* EXCLUDE (stream_id, t), sum(coalesce(s <> s0, true)::INT) OVER (PARTITION BY x.stream_id ORDER BY x.t ROWS UNBOUNDED PRECEDING) AS isl FROM x JOIN e USING (stream_id, t))
+SELECT stream_id, t, """ + ", ".join(f"round(({f[c]})::DOUBLE, {_places(c)}) AS {c}" for c in T.MICROSTRUCTURE) + " FROM y"
+
+
+@query(_micro_sql())
+def ref_f12_all_microstructure(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole tick microstructure set on ten-second quote bars with made-up sizes."""
+    bs, az = F.col("tick_id") % 97 + 1, F.col("tick_id") % 89 + 1
+    q = ticks(spark, sf).where("bid IS NOT NULL AND ask IS NOT NULL").withColumns({"bs": bs, "az": az})
+    b = q.groupBy("stream_id", (F.floor(F.col("epoch") / 10) * 10).alias("t")).agg(
+        F.max_by((F.col("bid") + F.col("ask")) / 2, "epoch").alias("mid"), F.max_by((F.col("bid") * F.col("az") + F.col("ask") * F.col("bs")) / (F.col("bs") + F.col("az")), "epoch").alias("micro"),
+        F.avg((F.col("bs") - F.col("az")) / (F.col("bs") + F.col("az"))).alias("imb"), F.avg(F.col("ask") - F.col("bid")).alias("spread"), F.count("*").alias("nt"), F.avg(F.col("bs") + F.col("az")).alias("tsz"),
+    )
+    b = b.withColumn("at", F.col("t"))
+    made = frames_by_rows(b, "stream_id", "t", ["at", "mid", "micro", "imb", "spread", "nt", "tsz"], T.MICRO_WARMUP, T.MICRO_WARMUP, lambda c: T.microstructure_set(c | {"t": c["at"]}), T.MICROSTRUCTURE)
+    return made.select("stream_id", "t", *[F.round(c, _places(c)).alias(c) for c in T.MICROSTRUCTURE])
