@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import bars
 from lodestream.operators.scan import numbered, with_previous
-from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks
+from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, TRAINED_SQL, Registry, minute_bars, scored, ticks, trained
 from lodestream.runtime import table
 
 query = Registry()
@@ -115,12 +115,12 @@ def ref_a11_event_intensity(spark: SparkSession, sf: str) -> DataFrame:
     return cells.agg(F.count("*").alias("n"), F.round(F.avg(F.abs("fwd_ret")) * 10000, 6).alias("intensity")).where("n > 10")
 
 
-@query(SCORED_SQL + """, train AS (SELECT * FROM s WHERE row_id % 2 = 0), g AS (SELECT avg(abs(fwd_ret)) AS m FROM train),
+@query(TRAINED_SQL + """, train AS (SELECT * FROM s WHERE train), g AS (SELECT avg(abs(fwd_ret)) AS m FROM train),
 prof AS (SELECT ts % 86400 // 60 AS minute, avg(abs(fwd_ret)) AS m FROM train GROUP BY 1), bins AS (SELECT unnest(range(1440)) AS minute)
 SELECT bins.minute::BIGINT AS minute, round(coalesce(prof.m, g.m) * 10000, 6) AS profile FROM bins CROSS JOIN g LEFT JOIN prof ON prof.minute = bins.minute""")
 def ref_a12_seasonal_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Mean move per minute of day of one half, empty minutes with the global mean."""
-    train = scored(spark, sf).where("row_id % 2 = 0")
+    train = trained(spark, sf).where("train")
     profile = train.groupBy(F.floor(F.col("ts") % 86400 / 60).alias("minute")).agg(F.avg(F.abs("fwd_ret")).alias("m"))
     whole = train.agg(F.avg(F.abs("fwd_ret")).alias("g"))
     bins = spark.range(1440).withColumnRenamed("id", "minute")

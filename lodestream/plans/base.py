@@ -63,6 +63,19 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() with train: whether a row lies in the first half of all time."""
+    rows = scored(spark, sf_dir)
+    middle = rows.agg(F.floor((F.min("ts") + F.max("ts")) / 2).alias("middle"))
+    return rows.join(F.broadcast(middle)).withColumn("train", F.col("ts") <= F.col("middle")).drop("middle")
+
+
+def first_half(rows: DataFrame, t: str = "t") -> DataFrame:
+    """The rows of the first half of all time."""
+    middle = rows.agg(F.floor((F.min(t) + F.max(t)) / 2).alias("_middle"))
+    return rows.join(F.broadcast(middle)).where(F.col(t) <= F.col("_middle")).drop("_middle")
+
+
 #: The same as SQL, as the start of a WITH clause.
 TICKS_SQL = """WITH kept AS (SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY stream_id, epoch ORDER BY tick_id DESC) = 1),
 u AS (SELECT stream_id, pair, epoch, tick_id, quote, CASE WHEN NOT isnan(bid) THEN bid END AS bid, CASE WHEN NOT isnan(ask) THEN ask END AS ask
@@ -71,3 +84,4 @@ BARS_SQL = TICKS_SQL + """,
 b AS (SELECT stream_id, epoch // 60 * 60 AS t, arg_min(quote, epoch) AS open, max(quote) AS high, min(quote) AS low, arg_max(quote, epoch) AS close, count(*) AS n FROM u GROUP BY ALL)"""
 SCORED_SQL = """WITH s AS (SELECT row_id, pair, epoch(datetime_utc)::BIGINT AS ts, (row_id * 7919 % 1000) / 1000 AS p, y, fwd_ret FROM label_rows
 WHERE valid AND y IS NOT NULL AND fwd_ret IS NOT NULL AND NOT isnan(fwd_ret) AND datetime_utc IS NOT NULL)"""
+TRAINED_SQL = SCORED_SQL.replace("WITH s AS", "WITH s0 AS") + ", s AS (SELECT s0.*, ts <= (SELECT (min(ts) + max(ts)) // 2 FROM s0) AS train FROM s0)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestream.operators import selection as X
 from lodestream.operators.rolling import correlation
 from lodestream.operators.scan import numbered, with_previous
-from lodestream.plans.base import SCORED_SQL, TICKS_SQL, Registry, scored, ticks
+from lodestream.plans.base import SCORED_SQL, TICKS_SQL, TRAINED_SQL, Registry, scored, ticks, trained
 from lodestream.plans.windows import RET_SQL, returns
 from lodestream.runtime import cut, table
 
@@ -72,12 +72,12 @@ def ref_e04_nonoverlap_by_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return X.nonoverlap_by_confidence(scored(spark, sf).withColumn("conf", conf()), ["pair"], "ts", "row_id", "conf", 3600)
 
 
-@query(SCORED_SQL + """, t AS (SELECT pair, quantile_cont(abs(p - 0.5), 0.9) AS thr FROM s WHERE row_id % 2 = 0 GROUP BY 1) SELECT pair, round(thr, 6) AS thr, count(*) AS n, round(avg((y = (p > 0.5)::INT)::INT), 6) AS acc FROM s JOIN t USING (pair) WHERE row_id % 2 = 1 AND abs(p - 0.5) >= thr GROUP BY ALL""")
+@query(TRAINED_SQL + """, t AS (SELECT pair, quantile_cont(abs(p - 0.5), 0.9) AS thr FROM s WHERE train GROUP BY 1) SELECT pair, round(thr, 6) AS thr, count(*) AS n, round(avg((y = (p > 0.5)::INT)::INT), 6) AS acc FROM s JOIN t USING (pair) WHERE NOT train AND abs(p - 0.5) >= thr GROUP BY ALL""")
 def ref_e06_accuracy_at_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy of the most confident tenth, by a threshold of other rows."""
-    s = scored(spark, sf)
-    thr = s.where("row_id % 2 = 0").groupBy("pair").agg(F.percentile(conf(), 0.9).alias("thr"))
-    rows = s.where("row_id % 2 = 1").join(thr, "pair").where(conf() >= F.col("thr"))
+    s = trained(spark, sf)
+    thr = s.where("train").groupBy("pair").agg(F.percentile(conf(), 0.9).alias("thr"))
+    rows = s.where("NOT train").join(thr, "pair").where(conf() >= F.col("thr"))
     return rows.groupBy("pair", F.round("thr", 6).alias("thr")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("y") == side()).cast("int")), 6).alias("acc"))
 
 

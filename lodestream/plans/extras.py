@@ -11,7 +11,7 @@ from lodestream.operators import asof as A
 from lodestream.operators import policies as P
 from lodestream.operators import rolling as R
 from lodestream.operators.scan import numbered
-from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks
+from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, TRAINED_SQL, Registry, first_half, minute_bars, scored, ticks, trained
 from lodestream.plans.evaluation import _WIN_SQL
 from lodestream.plans.evaluation import win as won
 from lodestream.plans.features import roll
@@ -91,11 +91,11 @@ def ref_f19_market_residuals(spark: SparkSession, sf: str) -> DataFrame:
     return P.residuals_by_chunks(r, "venue", "stream_id", "t", "r").select("stream_id", "t", "resid")
 
 
-@query(SCORED_SQL + """, m AS (SELECT pair, median(fwd_ret) AS md, avg(fwd_ret) AS mu, stddev_samp(fwd_ret) AS sd FROM s WHERE row_id % 2 = 0 GROUP BY 1) SELECT row_id, round(greatest(least((fwd_ret - mu) / nullif(sd, 0), 5), -5), 5) AS z FROM s JOIN m USING (pair)""")
+@query(TRAINED_SQL + """, m AS (SELECT pair, median(fwd_ret) AS md, avg(fwd_ret) AS mu, stddev_samp(fwd_ret) AS sd FROM s WHERE train GROUP BY 1) SELECT row_id, round(greatest(least((fwd_ret - mu) / nullif(sd, 0), 5), -5), 5) AS z FROM s JOIN m USING (pair)""")
 def ref_x05_standardize(spark: SparkSession, sf: str) -> DataFrame:
     """z-scores by training moments, clipped to five."""
-    s = scored(spark, sf)
-    m = s.where("row_id % 2 = 0").groupBy("pair").agg(F.avg("fwd_ret").alias("mu"), F.stddev_samp("fwd_ret").alias("sd"))
+    s = trained(spark, sf)
+    m = s.where("train").groupBy("pair").agg(F.avg("fwd_ret").alias("mu"), F.stddev_samp("fwd_ret").alias("sd"))
     z = F.try_divide(F.col("fwd_ret") - F.col("mu"), F.col("sd"))
     return s.join(m, "pair").select("row_id", F.round(F.when(z.isNotNull(), F.greatest(F.least(z, F.lit(5.0)), F.lit(-5.0))), 5).alias("z"))
 
@@ -130,12 +130,12 @@ def ref_x08_price_table(spark: SparkSession, sf: str) -> DataFrame:
     return cell(d.unionByName(l).distinct()).join(offered, ["pair", "dow", "bucket"], "left").select("pair", "t", F.coalesce("hit", F.lit(0)).alias("offered"))
 
 
-@query(RET_SQL + f""", f AS (SELECT stream_id, t, {rolled('stddev_samp(r)', 'r', 20)} AS sd FROM r), q AS (SELECT stream_id, quantile_cont(sd, 1/3) AS lo, quantile_cont(sd, 2/3) AS hi FROM f WHERE t % 120 = 0 GROUP BY 1)
+@query(RET_SQL + f""", f AS (SELECT stream_id, t, {rolled('stddev_samp(r)', 'r', 20)} AS sd FROM r), q AS (SELECT stream_id, quantile_cont(sd, 1/3) AS lo, quantile_cont(sd, 2/3) AS hi FROM f WHERE sd IS NOT NULL AND t <= (SELECT (min(t) + max(t)) // 2 FROM f WHERE sd IS NOT NULL) GROUP BY 1)
 SELECT stream_id, t, CASE WHEN sd <= lo THEN 'compressed' WHEN sd >= hi THEN 'expanded' ELSE 'normal' END AS regime FROM f JOIN q USING (stream_id) WHERE sd IS NOT NULL""")
 def ref_x09_regime_gates(spark: SparkSession, sf: str) -> DataFrame:
-    """Regimes by training terciles of volatility."""
+    """Regimes by terciles of volatility in the first half of time."""
     f = returns(spark, sf).select("stream_id", "t", roll(F.stddev_samp("r"), "r", 20).alias("sd")).where("sd IS NOT NULL")
-    q = f.where("t % 120 = 0").groupBy("stream_id").agg(F.percentile("sd", 1 / 3).alias("lo"), F.percentile("sd", 2 / 3).alias("hi"))
+    q = first_half(f).groupBy("stream_id").agg(F.percentile("sd", 1 / 3).alias("lo"), F.percentile("sd", 2 / 3).alias("hi"))
     regime = F.when(F.col("sd") <= F.col("lo"), "compressed").when(F.col("sd") >= F.col("hi"), "expanded").otherwise("normal")
     return f.join(q, "stream_id").select("stream_id", "t", regime.alias("regime"))
 
@@ -178,16 +178,19 @@ def ref_x14_fix_calendar(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select("row_id", (F.dayofmonth(jst) % 5 == 0).cast("int").alias("gotobi"), F.greatest(F.least(left, F.lit(120)), F.lit(-120)).alias("to_fix"), (F.abs(left) <= 30).cast("int").alias("near_fix"))
 
 
-@query(RET_SQL + """, v AS (SELECT t, max(ln(close)) FILTER (stream_id = 'EURUSD:alder') AS y, max(ln(close)) FILTER (stream_id = 'GBPUSD:alder') AS x FROM b GROUP BY t), o AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM v WHERE t % 120 = 0), e AS (SELECT t, (y - b0 - b1 * x) * 10000 AS e FROM v, o WHERE y IS NOT NULL AND x IS NOT NULL),
-q AS (SELECT stddev_samp(e) AS sd FROM e WHERE t % 120 = 0) SELECT t, CASE WHEN e > sd THEN -1 WHEN e < -sd THEN 1 ELSE 0 END AS signal FROM e, q""")
+@query(BARS_SQL + """, v AS (SELECT split_part(stream_id, ':', 2) AS venue, t, max(ln(close)) FILTER (split_part(stream_id, ':', 1) = 'EURUSD') AS y, max(ln(close)) FILTER (split_part(stream_id, ':', 1) = 'GBPUSD') AS x FROM b GROUP BY ALL), k AS (SELECT * FROM v WHERE x IS NOT NULL AND y IS NOT NULL),
+h AS (SELECT *, t <= (SELECT (min(t) + max(t)) // 2 FROM k) AS train FROM k), o AS (SELECT venue, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM h WHERE train GROUP BY 1), e AS (SELECT venue, t, train, (y - b0 - b1 * x) * 10000 AS e FROM h JOIN o USING (venue)),
+q AS (SELECT venue, stddev_samp(e) AS sd FROM e WHERE train GROUP BY 1) SELECT venue, t, CASE WHEN e > sd THEN -1 WHEN e < -sd THEN 1 ELSE 0 END AS signal FROM e JOIN q USING (venue)""")
 def ref_x16_cointegration(spark: SparkSession, sf: str) -> DataFrame:
-    """Reversion signal of the residual of a line fitted on training rows."""
-    leg = lambda s, n: F.max(F.when(F.col("stream_id") == s, F.log("close"))).alias(n)
-    v = minute_bars(spark, sf).where(F.col("stream_id").isin("EURUSD:alder", "GBPUSD:alder")).groupBy("t").agg(leg("EURUSD:alder", "y"), leg("GBPUSD:alder", "x")).dropna()
-    o = v.where("t % 120 = 0").agg(F.regr_slope("y", "x").alias("b1"), F.regr_intercept("y", "x").alias("b0"))
-    e = v.join(F.broadcast(o)).select("t", ((F.col("y") - F.col("b0") - F.col("b1") * F.col("x")) * 10000).alias("e"))
-    sd = e.where("t % 120 = 0").agg(F.stddev_samp("e").alias("sd"))
-    return e.join(F.broadcast(sd)).select("t", F.when(F.col("e") > F.col("sd"), -1).when(F.col("e") < -F.col("sd"), 1).otherwise(0).alias("signal"))
+    """Reversion signal of the residual of a line fitted on the first half of time, on every venue that has both legs."""
+    of = lambda i: F.split_part("stream_id", F.lit(":"), F.lit(i))
+    leg = lambda p, n: F.max(F.when(F.col("pair") == p, F.log("close"))).alias(n)
+    b = minute_bars(spark, sf).withColumns({"pair": of(1), "venue": of(2)}).where(F.col("pair").isin("EURUSD", "GBPUSD"))
+    v = b.groupBy("venue", "t").agg(leg("EURUSD", "y"), leg("GBPUSD", "x")).dropna()
+    o = first_half(v).groupBy("venue").agg(F.regr_slope("y", "x").alias("b1"), F.regr_intercept("y", "x").alias("b0"))
+    e = v.join(o, "venue").select("venue", "t", ((F.col("y") - F.col("b0") - F.col("b1") * F.col("x")) * 10000).alias("e"))
+    sd = first_half(e).groupBy("venue").agg(F.stddev_samp("e").alias("sd"))
+    return e.join(sd, "venue").select("venue", "t", F.when(F.col("e") > F.col("sd"), -1).when(F.col("e") < -F.col("sd"), 1).otherwise(0).alias("signal"))
 
 
 _HALF = 1 - 0.5 ** (1 / 8)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import rolling as R
 from lodestream.operators import stateful as S
-from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks
+from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, first_half, minute_bars, scored, ticks
 from lodestream.plans.windows import KEY, RET_SQL, frame, returns, rolled, win
 from lodestream.runtime import table
 
@@ -112,13 +112,13 @@ def ref_f07_cross_block(spark: SparkSession, sf: str) -> DataFrame:
     return k.select(out(r5=F.col("r5"), basket=basket, catch_up=basket - F.col("r5"), disp=F.stddev_pop("r5").over(x), agree=F.avg(F.signum("r5")).over(x)))
 
 
-@query(RET_SQL + """, f AS (SELECT t, avg(r) AS f FROM r WHERE r IS NOT NULL GROUP BY t), j AS (SELECT stream_id, t, r, f FROM r JOIN f USING (t) WHERE r IS NOT NULL), o AS (SELECT stream_id, regr_slope(r, f) AS b1, regr_intercept(r, f) AS b0 FROM j WHERE t % 120 = 0 GROUP BY 1)
+@query(RET_SQL + """, f AS (SELECT t, avg(r) AS f FROM r WHERE r IS NOT NULL GROUP BY t), j AS (SELECT stream_id, t, r, f FROM r JOIN f USING (t) WHERE r IS NOT NULL), o AS (SELECT stream_id, regr_slope(r, f) AS b1, regr_intercept(r, f) AS b0 FROM j WHERE t <= (SELECT (min(t) + max(t)) // 2 FROM j) GROUP BY 1)
 SELECT stream_id, t, round(r - b0 - b1 * f, 5) AS resid FROM j JOIN o USING (stream_id)""")
 def ref_f09_train_residual(spark: SparkSession, sf: str) -> DataFrame:
-    """Residual of a line that was fitted on training rows only."""
+    """Residual of a line that was fitted on the first half of time only."""
     r = returns(spark, sf).where("r IS NOT NULL").select("stream_id", "t", "r")
     j = r.join(r.groupBy("t").agg(F.avg("r").alias("f")), "t")
-    fit = j.where("t % 120 = 0").groupBy("stream_id").agg(F.regr_slope("r", "f").alias("b1"), F.regr_intercept("r", "f").alias("b0"))
+    fit = first_half(j).groupBy("stream_id").agg(F.regr_slope("r", "f").alias("b1"), F.regr_intercept("r", "f").alias("b0"))
     return j.join(fit, "stream_id").select("stream_id", "t", F.round(F.col("r") - F.col("b0") - F.col("b1") * F.col("f"), 5).alias("resid"))
 
 

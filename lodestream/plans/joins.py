@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.operators import asof as A
 from lodestream.operators import rolling as R
 from lodestream.operators.bars import keep_last
-from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks
+from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, TRAINED_SQL, Registry, minute_bars, scored, ticks, trained
 from lodestream.plans.windows import KEY, RET_SQL, returns, rolled, win
 from lodestream.runtime import table
 
@@ -162,12 +162,12 @@ def ref_j14_active_window(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("stream_id", "t", F.col("match.seq").alias("decision_id"))
 
 
-@query(SCORED_SQL + """, c AS (SELECT pair, ts % 86400 // 3600 AS hour, avg(abs(fwd_ret)) * 10000 AS m FROM s WHERE row_id % 3 = 0 GROUP BY ALL), g AS (SELECT median(m) AS g FROM c)
+@query(TRAINED_SQL + """, c AS (SELECT pair, ts % 86400 // 3600 AS hour, avg(abs(fwd_ret)) * 10000 AS m FROM s WHERE train GROUP BY ALL), g AS (SELECT median(m) AS g FROM c)
 SELECT s.row_id, round(coalesce(m, g), 6) AS intensity FROM s CROSS JOIN g LEFT JOIN c ON c.pair = s.pair AND c.hour = s.ts % 86400 // 3600""")
 def ref_j15_lookup_default(spark: SparkSession, sf: str) -> DataFrame:
     """Lookup in a table of cells; a missing cell gets the median cell."""
-    s = scored(spark, sf).withColumn("hour", F.floor(F.col("ts") % 86400 / 3600))
-    cells = s.where("row_id % 3 = 0").groupBy("pair", "hour").agg((F.avg(F.abs("fwd_ret")) * 10000).alias("m"))
+    s = trained(spark, sf).withColumn("hour", F.floor(F.col("ts") % 86400 / 3600))
+    cells = s.where("train").groupBy("pair", "hour").agg((F.avg(F.abs("fwd_ret")) * 10000).alias("m"))
     default = cells.agg(F.median("m").alias("g"))
     return s.join(cells, ["pair", "hour"], "left").join(F.broadcast(default)).select("row_id", F.round(F.coalesce("m", "g"), 6).alias("intensity"))
 
@@ -306,11 +306,11 @@ def ref_l06_residual_target(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("stream_id", "t", F.round(F.col("r") - beta * F.col("f"), 5).alias("resid"))
 
 
-@query(SCORED_SQL + """, q AS (SELECT pair, quantile_cont(abs(fwd_ret), 0.75) AS q FROM s WHERE row_id % 2 = 0 GROUP BY 1) SELECT row_id, (abs(fwd_ret) >= q)::INT AS large, round(pow(abs(fwd_ret) * 10000, 0.5), 6) AS weight FROM s JOIN q USING (pair)""")
+@query(TRAINED_SQL + """, q AS (SELECT pair, quantile_cont(abs(fwd_ret), 0.75) AS q FROM s WHERE train GROUP BY 1) SELECT row_id, (abs(fwd_ret) >= q)::INT AS large, round(pow(abs(fwd_ret) * 10000, 0.5), 6) AS weight FROM s JOIN q USING (pair)""")
 def ref_l07_large_move(spark: SparkSession, sf: str) -> DataFrame:
     """Large-move label by a training quantile, and the magnitude weight (L9)."""
-    s = scored(spark, sf)
-    q = s.where("row_id % 2 = 0").groupBy("pair").agg(F.percentile(F.abs("fwd_ret"), 0.75).alias("q"))
+    s = trained(spark, sf)
+    q = s.where("train").groupBy("pair").agg(F.percentile(F.abs("fwd_ret"), 0.75).alias("q"))
     return s.join(q, "pair").select("row_id", (F.abs("fwd_ret") >= F.col("q")).cast("int").alias("large"), F.round(F.pow(F.abs("fwd_ret") * 10000, F.lit(0.5)), 6).alias("weight"))
 
 

@@ -14,7 +14,7 @@ from lodestream.operators import asof as A
 from lodestream.operators import selection as X
 from lodestream.operators.bars import order_flow_imbalance
 from lodestream.operators.scan import with_previous
-from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks
+from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks, trained
 from lodestream.plans.evaluation import _WIN_SQL
 from lodestream.plans.evaluation import win as won
 from lodestream.plans.features import roll
@@ -173,14 +173,14 @@ def ref_e13_family_max(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ref_e27_logistic(spark: SparkSession, sf: str) -> DataFrame:
-    """Logistic regression on even rows, scored on odd rows; fitted distributed over all training rows."""
+    """Logistic regression on the first half of time, scored on the second; fitted distributed over all training rows."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    s = scored(spark, sf).withColumns({"hour": (F.col("ts") % 86400 / 86400).cast("double"), "label": F.col("y").cast("double")})
+    s = trained(spark, sf).withColumns({"hour": (F.col("ts") % 86400 / 86400).cast("double"), "label": F.col("y").cast("double")})
     v = VectorAssembler(inputCols=["p", "hour"], outputCol="features").transform(s)
-    model = LogisticRegression(maxIter=20, regParam=0.01).fit(v.where("row_id % 2 = 0"))
-    scores = model.transform(v.where("row_id % 2 = 1")).select("y", F.col("prediction").cast("int").alias("guess"))
+    model = LogisticRegression(maxIter=20, regParam=0.01).fit(v.where("train"))
+    scores = model.transform(v.where("NOT train")).select("y", F.col("prediction").cast("int").alias("guess"))
     return scores.groupBy("guess").agg(F.count("*").alias("n"), F.avg("y").alias("up_rate"))
 
 
