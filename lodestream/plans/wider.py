@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestream.operators import asof as A
 from lodestream.operators import policies as P
 from lodestream.operators import rolling as R
+from lodestream.operators import selection as X
 from lodestream.operators.bars import signed_flow
 from lodestream.operators.scan import carry_last, numbered, running_total, with_previous
 from lodestream.plans.base import BARS_SQL, SCORED_SQL, TICKS_SQL, Registry, minute_bars, scored, ticks
@@ -372,3 +373,53 @@ def ref_e23_all_venues(spark: SparkSession, sf: str) -> DataFrame:
     a = k.select(F.col("stream_id").alias("leader"), "pair", F.col("r").alias("x"), F.explode(F.array(*map(F.lit, range(4)))).alias("lag"), F.col("t")).withColumn("t", F.col("t") + 60 * F.col("lag"))
     j = a.join(k.select(F.col("stream_id").alias("follower"), "pair", "t", F.col("r").alias("y")), ["pair", "t"]).where("leader <> follower")  # a pair has a few venues
     return j.groupBy("leader", "follower", "lag").agg(F.count("*").alias("n"), F.round(R.correlation(F.col("x"), F.col("y")), 4).alias("corr"))
+
+
+def _interval(clusters: DataFrame) -> DataFrame:
+    """The middle 95 % of 400 bootstrap means of clusters (won, n)."""
+    reps = X.bootstrap_means(clusters, "won", "n", 400, 11)
+    return reps.agg(F.count("*").alias("replicates"), F.avg("mean").alias("mean"), F.percentile("mean", 0.025).alias("lo"), F.percentile("mean", 0.975).alias("hi"))
+
+
+@query()
+def ref_e12_row_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentile interval of the win rate, every row drawn on its own."""
+    return _interval(scored(spark, sf).select("row_id", won().cast("int").alias("won"), F.lit(1).alias("n")))
+
+
+@query()
+def ref_e12_block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentile intervals of the win rate over blocks of one, five and twenty days."""
+    s, parts = scored(spark, sf), []
+    for days in (1, 5, 20):
+        blocks = s.groupBy(F.floor(F.col("ts") / (86_400 * days)).alias("block")).agg(F.sum(won().cast("int")).alias("won"), F.count("*").alias("n"))
+        parts.append(_interval(blocks).withColumn("days", F.lit(days)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_PAST_SQL = BARS_SQL + """, r AS (SELECT stream_id, t, (close / lag(close) OVER (PARTITION BY stream_id ORDER BY t) - 1) * 1e4 AS r FROM b), k AS (SELECT * FROM r WHERE r IS NOT NULL), l AS (SELECT *, """ + ", ".join(f"lag(r, {k}) OVER (PARTITION BY stream_id ORDER BY t) AS r{k}" for k in (1, 2, 3)) + " FROM k)"
+
+
+def _with_past(spark: SparkSession, sf: str) -> DataFrame:
+    return returns(spark, sf).where("r IS NOT NULL").select("stream_id", "t", "r", *[F.lag("r", k).over(win()).alias(f"r{k}") for k in (1, 2, 3)])
+
+
+@query(_PAST_SQL + f""", m AS (SELECT stream_id, t, {rolled("avg((r > 0)::INT)", "r", 60)} AS up, {rolled("avg(r * r * r1 - r * r1 * r1)", "r1", 60)} AS skewed, {rolled("avg(r * r)", "r", 60)} AS power FROM l)
+SELECT stream_id, t, round(-(CASE WHEN up > 0 THEN up * ln(up) ELSE 0 END + CASE WHEN up < 1 THEN (1 - up) * ln(1 - up) ELSE 0 END) / ln(2) + 0 * up, 5) AS sign_entropy, round(skewed / (pow(power, 1.5) + 1e-6), 4) AS irreversibility FROM m""")
+def ref_f33_irreversibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Entropy of the signs and the cubic moment that tells time's direction, over 60 bars."""
+    r, r1, up = F.col("r"), F.col("r1"), F.col("up")
+    m = _with_past(spark, sf).select("stream_id", "t", roll(F.avg((r > 0).cast("int")), "r", 60).alias("up"), roll(F.avg(r * r * r1 - r * r1 * r1), "r1", 60).alias("skewed"), roll(F.avg(r * r), "r", 60).alias("power"))
+    part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    return m.select("stream_id", "t", F.round(-(part(up) + part(1 - up)) / math.log(2) + 0 * up, 5).alias("sign_entropy"), F.round(F.col("skewed") / (F.pow("power", F.lit(1.5)) + 1e-6), 4).alias("irreversibility"))
+
+
+@query(_PAST_SQL + f""", d AS (SELECT stream_id, t, (r - r1) * (r - r1) / 2 AS d1, (r + r1 - r2 - r3) * (r + r1 - r2 - r3) / 4 AS d2, (r + r1 + r2 + r3) * (r + r1 + r2 + r3) / 4 AS a2 FROM l WHERE r3 IS NOT NULL), e AS (SELECT stream_id, t, {rolled("avg(d1)", "d1", 32)} AS e1, {rolled("avg(d2)", "d2", 32)} AS e2, {rolled("avg(a2)", "a2", 32)} AS e3 FROM d)
+SELECT stream_id, t, round(e1 / (e1 + e2 + e3 + 1e-9), 5) AS fine, round(e2 / (e1 + e2 + e3 + 1e-9), 5) AS middle, round(e3 / (e1 + e2 + e3 + 1e-9), 5) AS coarse FROM e""")
+def ref_f34_wavelet_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of a return's energy at two Haar scales and beyond, over 32 bars."""
+    r, r1, r2, r3 = (F.col(c) for c in ("r", "r1", "r2", "r3"))
+    d = _with_past(spark, sf).where("r3 IS NOT NULL").select("stream_id", "t", ((r - r1) * (r - r1) / 2).alias("d1"), ((r + r1 - r2 - r3) * (r + r1 - r2 - r3) / 4).alias("d2"), ((r + r1 + r2 + r3) * (r + r1 + r2 + r3) / 4).alias("a2"))
+    e = {n: roll(F.avg(c), c, 32) for n, c in (("fine", "d1"), ("middle", "d2"), ("coarse", "a2"))}
+    whole = sum(e.values(), F.lit(0.0)) + 1e-9
+    return d.select("stream_id", "t", *[F.round(v / whole, 5).alias(k) for k, v in e.items()])
