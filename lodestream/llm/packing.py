@@ -18,7 +18,7 @@ MAX_ITEMS, MAX_PATTERNS = 48, 640
 #: Share of the capacity that a pattern must fill to be used.
 LEAST_FILL = 0.99
 #: Relative misfit of the histogram at which fitting ends.
-MISFIT = 1e-4
+MISFIT = 1e-3
 #: Least shards in which the items of a class are numbered, and the items of one residual packing.
 RANK_SHARDS, RESIDUAL_ITEMS = 64, 20_000
 #: Items beyond which a shard of the numbering is split further.
