@@ -29,7 +29,7 @@ query = Registry()
 def ref_s04_tick_load(spark: SparkSession, sf: str) -> DataFrame:
     """Nanosecond ticks staged as Parquet, read with their seconds and place in file order."""
     path = shared_path(spark, "ticks")
-    table(spark, sf, "ticks").where("quote IS NOT NULL").select("tick_id", (F.col("epoch") * 1_000_000_000 + F.pmod("tick_id", F.lit(1_000_000_000))).alias("ns"), "quote").write.parquet(path)
+    table(spark, sf, "ticks").where("quote IS NOT NULL").select("tick_id", (F.col("epoch") * 1_000_000_000 + F.coalesce(F.pmod("tick_id", F.lit(1_000_000_000)), F.lit(0))).alias("ns"), "quote").write.parquet(path)
     return readers.read_ticks(spark, path, "ns", "quote", ["tick_id"]).select("tick_id", "epoch", "price")
 
 

@@ -35,7 +35,9 @@ def read_ticks(spark: SparkSession, path: str, ns: str, price: str, also: Sequen
     """(epoch, price, seq, *also): nanoseconds floored to seconds; seq is the place in file order, so that
     ordering by (epoch, seq) is a stable sort."""
     rows = spark.read.parquet(path)
-    return rows.select(F.floor(F.col(ns) / 1_000_000_000).alias("epoch"), F.col(price).cast("double").alias("price"), F.monotonically_increasing_id().alias("seq"), *also)
+    n, second = F.col(ns).cast("bigint"), F.lit(1_000_000_000)  # whole numbers: a double is off by up to 128 ns
+    epoch = F.call_function("div", n, second) - (n % second < 0).cast("bigint")
+    return rows.select(epoch.alias("epoch"), F.col(price).cast("double").alias("price"), F.monotonically_increasing_id().alias("seq"), *also)
 
 
 def json_records(df: DataFrame, text: str, schema: str, rules: dict[str, Column], must_contain: str | None = None) -> tuple[DataFrame, DataFrame]:

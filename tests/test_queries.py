@@ -1,5 +1,9 @@
 """Every query of the core against its SQL; those without SQL must give rows of a stable schema."""
 
+import math
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lodestream import plans
@@ -32,3 +36,12 @@ def test_seven_closes_and_all_decisions(spark):
     kept = {tuple(r) for r in plans.queries()["ref_x30_all_decisions"](spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/sessions.parquet").select("source_table", "source_id", "open_epoch", "close_epoch").collect():
         assert (tuple(r) in kept) == any(t - 300 <= r.close_epoch and t >= r.open_epoch for (t,) in asked)
+
+
+def test_tick_load_at_the_end_of_a_second(spark, tmp_path):
+    """Nanoseconds just before the next second, before 1970 and without an id keep their second; NaN stays NaN."""
+    made = [(i, t, float(i % 7)) for i in (1, 999_999_871, 999_999_872, 999_999_999, 1_999_999_999) for t in (1_388_991_581, 0, -1)]
+    made += [(None, 1_388_991_581, 1.0), (2, None, 1.0), (3, 1_388_991_581, math.nan), (4, 1_388_991_581, None)]
+    columns = zip(("tick_id", "epoch", "quote"), (pa.int64(), pa.int64(), pa.float64()), zip(*made))
+    pq.write_table(pa.table({name: pa.array(values, kind) for name, kind, values in columns}), tmp_path / "ticks.parquet")
+    check(spark, str(tmp_path), plans.queries()["ref_s04_tick_load"], SQL["ref_s04_tick_load"])
